@@ -10,6 +10,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(c: Column | str) -> Column:
     """NULL for NaN and infinities, the value otherwise."""
     c = as_col(c).cast("double")

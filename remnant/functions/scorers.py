@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
 from remnant.functions import text as T
-from remnant.functions.common import as_col
+from remnant.functions.common import as_col, let
 
 
 def _within(part: Column, whole: Column) -> Column:
     """Non-blank `part` occurs inside `whole`."""
-    return (part != "") & F.contains(whole, part)
+    return let(part, lambda p: (p != "") & F.contains(whole, p))
 
 
 def _covers(words: Column, response_words: Column) -> Column:
     """Every word occurs among the response words (and there is at least one)."""
-    return (F.size(words) > 0) & (F.size(F.array_except(words, response_words)) == 0)
+    return let(
+        words, lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, response_words)) == 0)
+    )
 
 
 def entity_or_answer(response, entity, aliases, answer) -> Column:
@@ -37,16 +39,18 @@ def entity_or_answer(response, entity, aliases, answer) -> Column:
             names,
             lambda a: _within(T.norm_compact(a), compact) | _covers(T.norm_words(a), words),
         )
-        gold_words = T.norm_words(answer)
-        n = F.size(gold_words)
-        gold = (T.text_or_blank(answer) != "") & (
-            _within(T.norm_compact(answer), compact)
-            | ((n <= 5) & _covers(gold_words, words))
-            | ((n > 5) & (F.size(F.array_intersect(gold_words, words)) >= 2))
+        by_words = let(
+            T.norm_words(answer),
+            lambda gold: F.when(F.size(gold) <= 5, _covers(gold, words)).otherwise(
+                F.size(F.array_intersect(gold, words)) >= 2
+            ),
+        )
+        answered = (T.text_or_blank(answer) != "") & (
+            _within(T.norm_compact(answer), compact) | by_words
         )
-        return named | gold
+        return named | answered
 
-    return F.transform(F.array(r), hit)[0]
+    return let(r, hit)
 
 
 def refusal(response, phrases=None) -> Column:
@@ -63,9 +67,7 @@ def _any_candidate(response: Column, answer, aliases, norm) -> Column:
         F.array(T.text_or_blank(answer)),
         F.coalesce(as_col(aliases), F.array().cast("array<string>")),
     )
-    return F.transform(
-        F.array(norm(response)), lambda r: F.exists(candidates, lambda c: _within(norm(c), r))
-    )[0]
+    return let(norm(response), lambda r: F.exists(candidates, lambda c: _within(norm(c), r)))
 
 
 def answer_or_alias_normalized(response, answer, aliases) -> Column:
@@ -97,10 +99,10 @@ def keyword_terms(keywords, entity, answer) -> Column:
 
 def keyword_match(response, keywords, entity, answer) -> Column:
     terms = keyword_terms(keywords, entity, answer)
-    return F.transform(
-        F.array(T.norm_terms(response)),
+    return let(
+        T.norm_terms(response),
         lambda r: F.exists(terms, lambda t: (F.length(t) >= 2) & F.contains(r, t)),
-    )[0]
+    )
 
 
 def exact_name(response, name) -> Column:

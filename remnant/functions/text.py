@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from remnant.functions import fixed_values as V
 from remnant.functions import kernels
-from remnant.functions.common import as_col
+from remnant.functions.common import as_col, let
 
 _WS = r"(?U)\s+"
 
@@ -64,18 +64,37 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold_ascii(c: Column) -> Column:
     """Lower-cased text with accents and compatibility forms folded; marks are dropped."""
     src, dst, multi = _fold_tables()
-    text = F.regexp_replace(F.lower(c), r"\p{Mn}+", "")
     # Expanding characters are rare: look up only those that occur in the row.
-    found = F.array_distinct(
-        F.regexp_extract_all(text, F.lit("([" + "".join(multi) + "])"), F.lit(1))
-    )
-    pairs = [x for k, v in multi.items() for x in (F.lit(k), F.lit(v))]
-    table = F.create_map(*pairs)
-    text = F.when(
-        F.size(found) > 0,
-        F.aggregate(found, text, lambda acc, ch: F.replace(acc, ch, F.element_at(table, ch))),
-    ).otherwise(text)
-    return F.translate(text, src, dst)
+    pattern = F.lit(f"({_char_class(multi)})")
+    table = F.create_map(*[x for k, v in multi.items() for x in (F.lit(k), F.lit(v))])
+
+    def expand(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
+        replaced = F.aggregate(
+            found, text, lambda acc, ch: F.replace(acc, ch, F.element_at(table, ch))
+        )
+        return F.when(text.rlike(_EXPANDING), replaced).otherwise(text)
+
+    def fold(text: Column) -> Column:
+        folded = F.translate(F.regexp_replace(expand(text), r"\p{Mn}+", ""), src, dst)
+        return F.when(text.rlike("[^\\x00-\\x7f]"), folded).otherwise(text)
+
+    return let(F.lower(c), fold)
+
+
+# Where the expanding characters lie; a cheap test before the exact one.
+_EXPANDING = "[\u00bc-\u00be\u0132-\uffff]"
+
+
+def _char_class(chars) -> str:
+    """Regular-expression class of the characters, neighbours merged into ranges."""
+    codes, parts, start = sorted(map(ord, chars)), [], None
+    for i, code in enumerate(codes):
+        start = code if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+            parts.append(f"\\x{{{start:x}}}-\\x{{{code:x}}}")
+            start = None
+    return "[" + "".join(parts) + "]"
 
 
 def norm_compact(c: Column | str) -> Column:
@@ -231,7 +250,8 @@ def parse_number(c: Column | str) -> Column:
     """Number from text; a percent sign divides by 100; booleans and non-finite give NULL."""
     raw = as_col(c).cast("string")
     body = F.trim(F.replace(raw, F.lit("%"), F.lit("")))
-    value = F.when(~F.lower(body).isin("true", "false"), body.try_cast("double"))
+    plain = body.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    value = F.when(plain, body.try_cast("double"))
     value = F.when(F.contains(raw, F.lit("%")), value / F.lit(100.0)).otherwise(value)
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 

@@ -119,7 +119,7 @@ def with_neighbor(
     other = placed.select(
         *group,
         F.col("_pos").alias("_target"),
-        *[F.col(src).alias(name) for name, src in take.items()],
+        *[F.col(src).alias(name) for src, name in take.items()],
     )
     return _null_safe_join(
         placed.withColumn("_target", target), other, [*group, "_target"], "left"

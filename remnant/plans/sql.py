@@ -15,7 +15,7 @@ def sq(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(string_split({sq(x)}, ' '), w -> w <> '')"
+    return f"list_filter(string_split({sq(x)}, ' '), lambda w: w <> '')"
 
 
 def casefold(x: str) -> str:
@@ -88,7 +88,7 @@ DELTAS = """deltas AS (
 
 QA_RESPONSES = f"""qa AS (
   SELECT d.doc_id, d.text AS response, p.p_name AS entity, array_to_string(prev, ' ') AS answer,
-         list_filter([prev[2], prev[5]], x -> x IS NOT NULL) AS keywords,
+         list_filter([prev[2], prev[5]], lambda x: x IS NOT NULL) AS keywords,
          list_distinct([p.p_name, lower(p.p_name), string_split(p.p_name, ' ')[1], string_split(p.p_name, ' ')[-1]]) AS aliases
   FROM (SELECT *, lag(({words('text')})[1:6]) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents) d
   JOIN part p ON p.p_partkey = d.doc_id % (SELECT count(*) FROM part))"""
@@ -96,7 +96,7 @@ QA_RESPONSES = f"""qa AS (
 ACTIVATIONS = """act AS (
   SELECT run, component, layer, vec_id AS item_id, label AS entity,
          CASE WHEN label % 3 = 0 THEN 'forget' ELSE 'retain' END AS split,
-         list_transform(range(1, 8), u -> CAST(embedding[21 * ci + 7 * layer + u] AS DOUBLE)
+         list_transform(range(1, 8), lambda u: CAST(embedding[21 * ci + 7 * layer + u] AS DOUBLE)
            + run * 0.02::DOUBLE * (((vec_id * 31 + (21 * ci + 7 * layer + u) * 17) % 11) - 5)) AS vec
   FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS run),
        (SELECT unnest([0, 1, 2]) AS ci), (SELECT unnest([0, 1, 2]) AS layer),

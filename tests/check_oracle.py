@@ -66,10 +66,10 @@ def session():
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -87,7 +87,7 @@ if __name__ == "__main__":
         try:
             status = compare(spark, con, name, query, oracle.get(name), path)
         except Exception as e:  # report and go on
-            status = ("ERROR", 0, 0.0, str(e)[:1500])
+            status = ("ERROR", 0, 0.0, str(e).split(chr(10))[0][:500])
         bad += status[0] in ("FAIL", "ERROR")
         print(f"{status[0]:5} {name:40} rows={status[1]} run={status[2]:.1f}s all={time.time() - t:.1f}s {status[3]}", flush=True)
     print("bad:", bad)
