@@ -42,9 +42,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         t = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         if t in ("double", "float"):
-            # Scaled first: halves then round away from zero on the double itself.
-            scale = F.lit(10.0**digits)
-            c = F.round(finite(c) * scale, 0) / scale + F.lit(0.0)
+            # First to nine digits, so that summation noise cannot decide a tie at the last
+            # reported digit; scaled, so that halves round away from zero on the double.
+            c = finite(c)
+            for d in (digits + 3, digits):
+                scale = F.lit(10.0**d)
+                c = F.round(c * scale, 0) / scale
+            c = c + F.lit(0.0)
         elif t in ("integer", "short", "byte"):
             c = c.cast("bigint")
         out.append(c.alias(f.name))

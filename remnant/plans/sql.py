@@ -7,7 +7,7 @@ WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 
 def r(x: str) -> str:
     """Report form of a double."""
-    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
+    return f"(round(round(CAST({x} AS DOUBLE), 9), 6) + 0.0)"
 
 
 def sq(x: str) -> str:
