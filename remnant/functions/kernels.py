@@ -340,17 +340,37 @@ def _sq_dist(a, b, same):
     return d
 
 
-def _block(row, side):
-    ids = [r["item_id"] for r in row[side]]
-    x = np.array([r["x"] for r in row[side]], dtype=np.float64)
-    y = np.array([r["y"] for r in row[side]], dtype=np.float64)
-    return ids, x, y
-
-
-def _rows(batches):
+def _blocks(batches):
+    """Row by row: the scalar columns, and item ids, x and y of both blocks as arrays."""
     for batch in batches:
+        names = batch.schema.names
         for i in range(batch.num_rows):
-            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+            row = {n: batch.column(n)[i].as_py() for n in names if n not in ("a", "b")}
+            for side in ("a", "b"):
+                items = batch.column(side)[i].values
+                ids, x, y = items.flatten()
+                n = len(ids)
+                row[side] = (
+                    ids,
+                    x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+                    y.flatten().to_numpy(zero_copy_only=False).reshape(n, -1),
+                )
+            yield row, row["bi"] == row["bj"]
+
+
+def _batch(schema, key, n, columns):
+    """Record batch of n rows: the key repeated, then the given columns (None = all NULL)."""
+    arrays = []
+    for f, v in zip(schema, [*key, *columns]):
+        if v is None:
+            arrays.append(pa.nulls(n, f.type))
+        elif np.ndim(v) == 0 and not isinstance(v, (pa.Array, pa.ChunkedArray)):
+            arrays.append(pa.repeat(pa.scalar(v, f.type), n))
+        elif isinstance(v, pa.Array):
+            arrays.append(v.cast(f.type))
+        else:
+            arrays.append(pa.array(v, type=f.type, from_pandas=True))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def distance_histogram(keys, schema, shift, prefix_shift=None):
@@ -361,22 +381,17 @@ def distance_histogram(keys, schema, shift, prefix_shift=None):
     """
 
     def run(batches):
-        for row in _rows(batches):
-            _, xa, ya = _block(row, "a")
-            _, xb, yb = _block(row, "b")
-            same = row["bi"] == row["bj"]
-            out = []
+        for row, same in _blocks(batches):
+            (_, xa, ya), (_, xb, yb) = row["a"], row["b"]
+            key = [row[k] for k in keys]
             for side, a, b, want in (("x", xa, xb, "px"), ("y", ya, yb, "py")):
                 bits = _sq_dist(a, b, same).ravel().view(np.int64)
                 if prefix_shift is not None:
                     bits = bits[(bits >> prefix_shift) == row[want]]
                 bins, counts = np.unique(bits >> shift, return_counts=True)
-                scale = 1 if same else 2
-                out += [
-                    (*[row[k] for k in keys], side, int(v), int(c) * scale)
-                    for v, c in zip(bins, counts)
-                ]
-            yield from _emit(out, schema)
+                yield _batch(
+                    schema, key, len(bins), [side, bins, counts * (1 if same else 2)]
+                )
 
     return run
 
@@ -385,67 +400,53 @@ def rbf_sums(keys, schema):
     """mapInArrow over block pairs: kernel row sums per item and products over the pair."""
 
     def run(batches):
-        for row in _rows(batches):
-            ia, xa, ya = _block(row, "a")
-            ib, xb, yb = _block(row, "b")
-            same = row["bi"] == row["bj"]
+        for row, same in _blocks(batches):
+            (ia, xa, ya), (ib, xb, yb) = row["a"], row["b"]
             kx = np.exp(-_sq_dist(xa, xb, same) / (2 * row["sigma_x"] ** 2))
             ky = np.exp(-_sq_dist(ya, yb, same) / (2 * row["sigma_y"] ** 2))
             scale = 1 if same else 2
             key = [row[k] for k in keys]
-            out = [
-                (*key, None, None, None, scale * float((kx * ky).sum()),
-                 scale * float((kx * kx).sum()), scale * float((ky * ky).sum()))
-            ]
-            sides = [(ia, kx.sum(1), ky.sum(1))]
+            products = [scale * float((u * v).sum()) for u, v in ((kx, ky), (kx, kx), (ky, ky))]
+            yield _batch(schema, key, 1, [None, None, None, *products])
+            yield _batch(schema, key, len(ia), [ia, kx.sum(1), ky.sum(1), None, None, None])
             if not same:
-                sides.append((ib, kx.sum(0), ky.sum(0)))
-            for ids, rx, ry in sides:
-                out += [
-                    (*key, i, float(u), float(v), None, None, None)
-                    for i, u, v in zip(ids, rx, ry)
-                ]
-            yield from _emit(out, schema)
+                yield _batch(schema, key, len(ib), [ib, kx.sum(0), ky.sum(0), None, None, None])
 
     return run
 
 
 def pair_distances(keys, schema, metric):
     """mapInArrow over block pairs: distances of both representations for i < j."""
+    import pyarrow.compute as pc
+
+    def unit(v):
+        if metric == "cosine":
+            return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+        v = v - v.mean(1, keepdims=True)
+        with np.errstate(all="ignore"):
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def dist(a, b, same):
         if metric == "euclidean":
             return np.sqrt(_sq_dist(a, b, same))
-        if metric == "cosine":
-            a = a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-8)
-            b = b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-8)
-        else:
-            a = a - a.mean(1, keepdims=True)
-            b = b - b.mean(1, keepdims=True)
-            with np.errstate(all="ignore"):
-                a = a / np.linalg.norm(a, axis=1, keepdims=True)
-                b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        return np.maximum(1.0 - a @ b.T, 0.0)
+        return np.maximum(1.0 - unit(a) @ unit(b).T, 0.0)
 
     def run(batches):
-        for row in _rows(batches):
-            ia, xa, ya = _block(row, "a")
-            ib, xb, yb = _block(row, "b")
-            same = row["bi"] == row["bj"]
+        for row, same in _blocks(batches):
+            (ia, xa, ya), (ib, xb, yb) = row["a"], row["b"]
             dx, dy = dist(xa, xb, same), dist(ya, yb, same)
-            key = [row[k] for k in keys]
             if same:
                 r, c = np.triu_indices(len(ia), 1)
             else:
                 r, c = (v.ravel() for v in np.indices(dx.shape))
-            step = 100_000
-            for at in range(0, len(r), step):
-                rr, cc = r[at : at + step], c[at : at + step]
-                out = []
-                for i, j in zip(rr, cc):
-                    u, v = ia[i], ib[j]
-                    out.append((*key, min(u, v), max(u, v), *_nulls(dx[i, j], dy[i, j])))
-                yield from _emit(out, schema)
+            key = [row[k] for k in keys]
+            for at in range(0, len(r), 100_000):
+                rr, cc = r[at : at + 100_000], c[at : at + 100_000]
+                u, v = ia.take(pa.array(rr)), ib.take(pa.array(cc))
+                yield _batch(
+                    schema, key, len(rr),
+                    [pc.min_element_wise(u, v), pc.max_element_wise(u, v), dx[rr, cc], dy[rr, cc]],
+                )
 
     return run
 
