@@ -16,20 +16,29 @@ from remnant.functions import kernels as K
 from remnant.operators.ordering import PLAIN_ROWS
 from remnant.operators.similarity import PROFILE, _fields, _map, mean_vector
 from remnant.operators.stats import correlate
+from remnant.sources.storage import materialize
 
 BLOCK = 512
 
 
-def block_pairs(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """Rows (by, bi, bj, a, b) with bi <= bj: two blocks of items of one group."""
+def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Items of a group in hashed blocks of about `block` rows: by, _nb, _b, items."""
     counts = pairs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).alias("_nb"))
-    rows = pairs.join(counts, by).withColumn(
-        "_b", F.pmod(F.xxhash64("item_id"), F.col("_nb"))
-    )
+    rows = pairs.join(counts, by).withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("_nb")))
     # Sorted, so that every evaluation of a block does the same arithmetic.
-    blocks = rows.groupBy(*by, "_nb", "_b").agg(
+    return rows.groupBy(*by, "_nb", "_b").agg(
         F.array_sort(F.collect_list(F.struct("item_id", "x", "y"))).alias("items")
     )
+
+
+def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, bi, bj, a, b) with bi <= bj: two blocks of items of one group.
+
+    The work per row is large and its bytes are few, so the number of partitions is stated
+    instead of left to size-based merging.
+    """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "bi", "bj"]
     left = blocks.select(
         *by, F.col("_b").alias("bi"), F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("bj"),
         F.col("items").alias("a"),
@@ -38,7 +47,7 @@ def block_pairs(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFram
         *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("bi"),
         F.col("_b").alias("bj"), F.col("items").alias("b"),
     )
-    return left.join(right, [*by, "bi", "bj"])
+    return left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("shuffle_hash"), keys)
 
 
 _COARSE, _FINE = 40, 14  # bits dropped from the 64-bit pattern of a squared distance
@@ -58,7 +67,8 @@ def _selected(hist: DataFrame, by: list[str], want: DataFrame | None) -> DataFra
     hit = F.col("cum") >= F.col("rank")
     return cum.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(hit, F.col("bin"))), F.max("bin")).alias("bin"),
-        F.min(F.when(hit, F.col("rank") - F.col("prev"))).alias("rank"),
+        # The first hit has the largest remaining rank.
+        F.max(F.when(hit, F.col("rank") - F.col("prev"))).alias("rank"),
     )
 
 
@@ -83,6 +93,7 @@ def median_sigma(blocks: DataFrame, by: list[str]) -> DataFrame:
         ]
     )
     coarse = _selected(_map(blocks, schema, K.distance_histogram, by, shift=_COARSE), by, None)
+    coarse = materialize(coarse)  # two rows per group, used twice below
     marked = blocks.join(_wide(coarse, by, F.col("bin")), by)
     fine = _selected(
         _map(marked, schema, K.distance_histogram, by, shift=_FINE, prefix_shift=_COARSE), by, coarse
@@ -105,7 +116,8 @@ def _bits_to_double(bits):
 def rbf_cka(pairs: DataFrame, by: list[str] | None = None, block: int = BLOCK, sigma: DataFrame | None = None) -> DataFrame:
     """CKA with Gaussian kernels and double centring: by, n, cka."""
     by = by or PROFILE
-    blocks = block_pairs(pairs, by, block)
+    # Three passes over the block pairs: store the blocks once (as many rows as items).
+    blocks = block_pairs(materialize(item_blocks(pairs, by, block)), by)
     sigma = median_sigma(blocks, by) if sigma is None else sigma
     schema = T.StructType(
         _fields(blocks, by)
@@ -149,7 +161,7 @@ def rdm(pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, b
     if metric not in ("cosine", "euclidean", "correlation"):
         raise ValueError(f"unknown metric {metric}")
     by = by or PROFILE
-    blocks = block_pairs(pairs, by, block)
+    blocks = block_pairs(item_blocks(pairs, by, block), by)
     item = blocks.schema["a"].dataType.elementType["item_id"].dataType
     schema = T.StructType(
         _fields(blocks, by)

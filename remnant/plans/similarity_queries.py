@@ -356,16 +356,14 @@ def a14(t: Tables):
 N_REP = 12
 
 
-def draws(units: str, unit: str, reps: int = N_REP, by: str = "") -> str:
+def draws(source: str, unit: str, reps: int = N_REP, by: str = "", p: str = "") -> str:
     """CTEs `units` and `drawn` (by, unit, replicate, w) with the shared md5 draws."""
     b = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
-    over = f"OVER ({part}ORDER BY {unit})"
-    size = f"OVER ({part.strip()})"
-    return f"""units AS (SELECT {b}{unit}, row_number() {over} - 1 AS unit_index, count(*) {size} AS n_units FROM (SELECT DISTINCT {b}{unit} FROM {units})),
-drawn_idx AS (SELECT {b}replicate, unit_index AS slot, CAST(('0x' || substr(md5('42|' || CAST(replicate AS VARCHAR) || '|' || CAST(unit_index AS VARCHAR)), 1, 8)) AS BIGINT) % n_units AS unit_index
-  FROM units, (SELECT unnest(range(0, {reps})) AS replicate)),
-drawn AS (SELECT {b}{unit}, replicate, w FROM (SELECT {b}replicate, unit_index, count(*) AS w FROM drawn_idx GROUP BY ALL) JOIN units USING ({b}unit_index))"""
+    return f"""{p}units AS (SELECT {b}{unit}, row_number() OVER ({part}ORDER BY {unit}) - 1 AS unit_index, count(*) OVER ({part}) AS n_units FROM (SELECT DISTINCT {b}{unit} FROM {source})),
+{p}drawn_idx AS (SELECT {b}replicate, unit_index AS slot, CAST(('0x' || substr(md5('42|' || CAST(replicate AS VARCHAR) || '|' || CAST(unit_index AS VARCHAR)), 1, 8)) AS BIGINT) % n_units AS unit_index
+  FROM {p}units, (SELECT unnest(range(0, {reps})) AS replicate)),
+{p}drawn AS (SELECT {b}{unit}, replicate, w FROM (SELECT {b}replicate, unit_index, count(*) AS w FROM {p}drawn_idx GROUP BY ALL) JOIN {p}units USING ({b}unit_index))"""
 
 
 @register("b01_draw_indices", with_(draws("embeddings", "vec_id")) + "SELECT replicate, slot, unit_index FROM drawn_idx")
@@ -373,9 +371,12 @@ def b01(t: Tables):
     return B.draw_indices(t.table("embeddings"), "vec_id", N_REP)
 
 
-def _boot(unit: str) -> list[str]:
-    return [draws("pairs", unit), f"boot AS (SELECT run, component, layer, replicate, item_id, x, y, w::DOUBLE AS w FROM pairs JOIN drawn USING ({unit}))",
-            *cka_ctes("boot", G + ", replicate", weight="w")]
+def _boot(unit: str, p: str = "") -> list[str]:
+    return [
+        draws("pairs", unit, p=p),
+        f"{p}boot AS (SELECT run, component, layer, replicate, item_id, x, y, w::DOUBLE AS w FROM pairs JOIN {p}drawn USING ({unit}))",
+        *cka_ctes(f"{p}boot", G + ", replicate", p, "w"),
+    ]
 
 
 def _interval(value: str, by: str) -> str:
@@ -423,8 +424,7 @@ def b05(t: Tables):
 _WIDTH = "SELECT {g}, quantile_cont(cka, 0.975) - quantile_cont(cka, 0.025) AS width FROM {c} GROUP BY {g}"
 
 
-@register("b06_cluster_vs_example", with_(*_PAIRS, *_boot("item_id"), *[s.replace("units AS", "eunits AS").replace("FROM units", "FROM eunits").replace("JOIN units", "JOIN eunits").replace("drawn", "edrawn").replace("boot", "eboot") if i < 2 else s for i, s in enumerate([draws("pairs", "entity"), "boot AS (SELECT run, component, layer, replicate, item_id, x, y, w::DOUBLE AS w FROM pairs JOIN drawn USING (entity))"])],
-    *cka_ctes("eboot", G + ", replicate", "e", "w")) + f"""SELECT {G}, {r('a.width')} AS width_example, {r('b.width')} AS width_cluster, b.width > a.width AS cluster_wider
+@register("b06_cluster_vs_example", with_(*_PAIRS, *_boot("item_id"), *_boot("entity", "e")) + f"""SELECT {G}, {r('a.width')} AS width_example, {r('b.width')} AS width_cluster, b.width > a.width AS cluster_wider
 FROM ({_WIDTH.format(g=G, c='cka')}) a JOIN ({_WIDTH.format(g=G, c='ecka')}) b USING ({G})""")
 def b06(t: Tables):
     pairs = t.pairs()
