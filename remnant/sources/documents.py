@@ -79,12 +79,8 @@ def parse_docs(files: DataFrame) -> DataFrame:
 
 # -- shapes ----------------------------------------------------------------------------
 def kind(v: Column) -> Column:
-    """object, array, null or the scalar type of a variant."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(F.startswith(s, F.lit("OBJECT")), "object").when(F.startswith(s, F.lit("ARRAY")), "array")
-        .when(s == "VOID", "null").otherwise(F.lower(s))
-    )
+    """object, array, void, or the scalar type of a variant: the head of its schema text."""
+    return F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Za-z]+", 0))
 
 
 def _get(v: Column | str, key: str) -> Column:
@@ -230,7 +226,7 @@ def find_records(
         *[F.coalesce(*[_get("value", k) for k in keys]).alias(n) for n, keys in aliases.items()],
     )
     for name in required:
-        fields = fields.filter(F.col(name).isNotNull() & (kind(F.col(name)) != "null"))
+        fields = fields.filter(F.col(name).isNotNull() & (kind(F.col(name)) != "void"))
     return fields.select(
         "source_file", "json_path",
         *[
