@@ -175,17 +175,21 @@ def _accent_table() -> tuple[str, str]:
 
 def build_aliases(name: Column | str) -> Column:
     """Name, first word, last word and accent-free name, each also in lower case."""
-    full = F.trim(text_or_blank(name))
-    words = split_words(full)
-    many = F.size(words) >= 2
-    parts = [
-        full,
-        F.when(many, F.element_at(words, -1)),
-        F.when(many, F.element_at(words, 1)),
-        accent_free(full),
-    ]
-    variants = F.array(*[v for p in parts for v in (p, F.lower(p))])
-    return F.array_distinct(F.filter(variants, lambda a: a.isNotNull() & (a != "")))
+
+    def variants(full: Column, words: Column) -> Column:
+        many = F.size(words) >= 2
+        parts = [
+            full,
+            F.when(many, F.element_at(words, -1)),
+            F.when(many, F.element_at(words, 1)),
+            accent_free(full),
+        ]
+        both = F.array(*[v for p in parts for v in (p, F.lower(p))])
+        return F.array_distinct(F.filter(both, lambda a: a.isNotNull() & (a != "")))
+
+    return let(
+        F.trim(text_or_blank(name)), lambda f: let(split_words(f), lambda w: variants(f, w))
+    )
 
 
 def rephrase_question(question: Column | str, aliases: Column | str) -> Column:

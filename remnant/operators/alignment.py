@@ -194,14 +194,13 @@ def edge_probe_join(edges: DataFrame, responses: DataFrame) -> DataFrame:
 GRAM = 8
 
 
-def answers_in_corpus(
-    answers: DataFrame, texts: DataFrame, norm=T.norm_answer
-) -> DataFrame:
+def answers_in_corpus(answers: DataFrame, texts: DataFrame, norm=T.norm_answer) -> DataFrame:
     """Which answers occur in which texts, under a normalizer: answer_id, text_id.
 
-    Character n-grams of the answers form an inverted index.  Each answer is looked up by
-    its rarest n-gram in the corpus only, then verified on the whole text.  Answers shorter
-    than the n-gram are looked up by themselves.
+    An inverted index proposes candidates and the whole normalized text decides.  In an
+    answer of three or more words, every inner word must be a whole word of the text; other
+    answers (and normalizers without spaces) use character n-grams, and answers shorter than
+    the n-gram use themselves.  Each answer is looked up by its rarest entry in the corpus.
     """
     a = answers.select("answer_id", norm("answer").alias("a")).filter(F.col("a") != "")
     t = texts.select("text_id", norm("text").alias("t"))
@@ -209,22 +208,30 @@ def answers_in_corpus(
     def grams(c: str, size: int) -> Column:
         return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
 
-    # Which n-gram sizes are needed: at most GRAM values, usually only GRAM itself.
-    sizes = sorted(
-        r[0] for r in a.select(F.least(F.length("a"), F.lit(GRAM)).alias("s")).distinct().collect()
-    )
-    if not sizes:
+    def inner_words(c: str) -> Column:
+        w = F.split(c, " ")
+        return F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+
+    worded = F.size(F.split("a", " ")) >= 3
+    mode = F.when(worded, 0).otherwise(F.least(F.length("a"), F.lit(GRAM))).alias("mode")
+    a = a.select("answer_id", "a", mode)
+    # Which entry kinds are needed: at most GRAM + 1 values.
+    modes = sorted(r[0] for r in a.select("mode").distinct().collect())
+    if not modes:
         return a.select("answer_id").join(t.select("text_id").limit(0), F.lit(True))
     parts = []
-    for size in sizes:
-        length = F.length("a")
-        mine = a.filter(length >= GRAM if size == GRAM else length == size)
-        keys = mine.select("answer_id", F.explode(grams("a", size)).alias("g"))
-        corpus = t.select("text_id", F.explode(grams("t", size)).alias("g"))
-        if size == GRAM:
+    for size in modes:
+        mine = a.filter(F.col("mode") == size)
+        if size == 0:
+            keys = mine.select("answer_id", F.explode(inner_words("a")).alias("g"))
+            corpus = t.select("text_id", F.explode(F.array_distinct(F.split("t", " "))).alias("g"))
+        else:
+            keys = mine.select("answer_id", F.explode(grams("a", size)).alias("g"))
+            corpus = t.select("text_id", F.explode(grams("t", size)).alias("g"))
+        if size in (0, GRAM):
             wanted = corpus.join(keys.select("g").distinct(), "g", "left_semi")
             seen = wanted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-            # An n-gram absent from the corpus proves that its answer is absent.
+            # An entry absent from the corpus proves that its answer is absent.
             keys = (
                 keys.join(seen, "g", "left")
                 .groupBy("answer_id")
@@ -235,8 +242,8 @@ def answers_in_corpus(
     for p in parts[1:]:
         hits = hits.unionByName(p)
     return (
-        hits.join(a, "answer_id")
+        hits.join(a.select("answer_id", "a"), "answer_id")
         .join(t, "text_id")
-        .filter(F.contains("t", F.col("a")))
+        .filter(F.contains(F.col("t"), F.col("a")))
         .select("answer_id", "text_id")
     )

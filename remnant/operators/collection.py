@@ -25,16 +25,21 @@ def _leaf_score(key: Column, aliases: list[str]) -> Column:
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+_ANY_ALIAS = "|".join(a.replace("-", "_") for al in V.METRIC_ALIASES.values() for a in al)
+
+
+def _numbered(leaves: DataFrame) -> DataFrame:
+    number = F.when(F.col("type") != "boolean", T.parse_number("value"))
+    return leaves.withColumns({"nkey": T.norm_token("key"), "number": number})
+
+
 def extract_metrics(leaves: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Best numeric leaf per metric: highest score, then shortest key, then key text.
 
     The chosen key and its score are kept, so that weak substring matches stay visible.
     """
     keys = keys or ["source_file", "row_id"]
-    number = F.when(F.col("type") != "boolean", T.parse_number("value"))
-    named = leaves.withColumns({"nkey": T.norm_token("key"), "number": number}).filter(
-        F.col("number").isNotNull()
-    )
+    named = _numbered(leaves).filter(F.col("number").isNotNull() & F.col("nkey").rlike(_ANY_ALIAS))
     scored = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), _leaf_score(F.col("nkey"), al).alias("score"))
@@ -56,8 +61,7 @@ def extract_metrics(leaves: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def _leaf_value(names: list[str]) -> Column:
     """Value of the leaf with one of the names; the shortest path wins."""
-    last = T.norm_token(F.substring_index("key", ".", -1))
-    hit = last.isin(*names)
+    hit = F.col("leaf").isin(*names)
     return F.min_by(F.when(hit, F.col("value")), F.when(hit, F.struct(F.length("key"), "key")))
 
 
@@ -68,8 +72,11 @@ def collect_rows(docs: DataFrame, max_depth: int = 16, strict_seed: bool = False
     """
     keys = ["source_file", "row_id", "container_key"]
     leaves = flatten(candidate_rows(docs), max_depth=max_depth, keep=keys)
-    number = F.when(F.col("type") != "boolean", T.parse_number("value"))
-    named = leaves.withColumns({"nkey": T.norm_token("key"), "number": number})
+    named = _numbered(leaves)
+    label = F.col("leaf").isin(*V.DATASET_KEYS, *V.METHOD_KEYS, *V.SEED_KEYS)
+    named = named.withColumn("leaf", T.norm_token(F.substring_index("key", ".", -1)))
+    # Only numbers under a known name and label leaves take part in the aggregation.
+    named = named.filter(label | (F.col("number").isNotNull() & F.col("nkey").rlike(_ANY_ALIAS)))
     named = named.withColumns(
         {f"_s_{m}": F.when(F.col("number").isNotNull(), _leaf_score(F.col("nkey"), al)) for m, al in V.METRIC_ALIASES.items()}
     )

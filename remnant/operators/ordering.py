@@ -130,33 +130,31 @@ def with_average_rank(
     df: DataFrame, group: list[str], value: str, rank: str, plain_rows: int = PLAIN_ROWS
 ) -> DataFrame:
     """Average rank of ties, from counts of equal values (aggregated before any sort)."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    bucket = _range_column(counts, value, plain_rows)
+    bucket = _range_column(df, value, plain_rows)
     if bucket is None:
-        w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(value)
-        before = F.coalesce(
-            F.sum("_ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-        ranks = counts.withColumn("_before", before)
-    else:
-        cut = counts.withColumn("_range", bucket)
-        sums = cut.groupBy(*group, "_range").agg(F.sum("_ties").alias("_n"))
-        w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-        offsets = sums.select(
-            *group,
-            "_range",
-            F.coalesce(
-                F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("_offset"),
-        )
-        local = Window.partitionBy(*group, "_range").orderBy(value)
-        inside = F.coalesce(
-            F.sum("_ties").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-        ranks = _null_safe_join(
-            cut.withColumn("_inside", inside), offsets, [*group, "_range"]
-        ).withColumn("_before", F.col("_inside") + F.col("_offset"))
+        keys = group or [F.lit(0)]
+        place = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return df.withColumn(rank, place + (ties - 1) / F.lit(2.0))
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
+    cut = counts.withColumn("_range", bucket)
+    sums = cut.groupBy(*group, "_range").agg(F.sum("_ties").alias("_n"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    offsets = sums.select(
+        *group,
+        "_range",
+        F.coalesce(
+            F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_offset"),
+    )
+    local = Window.partitionBy(*group, "_range").orderBy(value)
+    inside = F.coalesce(
+        F.sum("_ties").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    ranks = _null_safe_join(
+        cut.withColumn("_inside", inside), offsets, [*group, "_range"]
+    ).withColumn("_before", F.col("_inside") + F.col("_offset"))
     ranks = ranks.select(
         *group, value, (F.col("_before") + (F.col("_ties") + 1) / F.lit(2.0)).alias(rank)
     )

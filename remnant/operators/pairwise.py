@@ -181,6 +181,7 @@ def rsa(
     d = rdm(pairs, metric, by, block).withColumns(
         {"d_x": F.round("d_x", 12), "d_y": F.round("d_y", 12)}
     )
-    out = correlate(d, "d_x", "d_y", by, p_values, plain_rows)
+    # Stored once: ranking reads the distances several times.
+    out = correlate(materialize(d), "d_x", "d_y", by, p_values, plain_rows)
     cols = [*by, "n", F.col("spearman_r").alias("rho")]
     return out.select(*cols, F.col("spearman_p").alias("p")) if p_values else out.select(*cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -25,45 +25,41 @@ def _guarded(c):
     return F.when(~F.isnan(c), c)
 
 
-def spread(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Row count and whether each side is constant to eight decimals."""
-    rx, ry = F.round("_x", 8), F.round("_y", 8)
-    return _pairs(df, x, y, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.min(rx) == F.max(rx)).alias("x_constant"),
-        (F.min(ry) == F.max(ry)).alias("y_constant"),
-    )
+def _constant_sides() -> list[Column]:
+    """Whether each side is constant to eight decimals: minimum = maximum."""
+    return [
+        (F.min(F.round(c, 8)) == F.max(F.round(c, 8))).alias(n)
+        for c, n in (("_x", "x_constant"), ("_y", "y_constant"))
+    ]
 
 
-def correlation_guard(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Why a correlation is not computed: fewer than three rows, or constant input.
-
-    Fewer than two distinct values means minimum = maximum, which needs no distinct count.
-    """
-    return spread(df, x, y, by).select(
-        *by, "n",
+def _status() -> Column:
+    return (
         F.when(F.col("n") < 3, "insufficient data")
         .when(F.col("x_constant") | F.col("y_constant"), "constant input")
         .otherwise("ok")
-        .alias("status"),
     )
 
 
+def correlation_guard(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Why a correlation is not computed: fewer than three rows, or constant input."""
+    t = _pairs(df, x, y, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_constant_sides())
+    return t.select(*by, "n", _status().alias("status"))
+
+
 def correlate(
     df: DataFrame, x: str, y: str, by: list[str], p_values: bool = True,
     plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Pearson and Spearman correlation with p values per group."""
-    pairs = _pairs(df, x, y, by)
-    guard = correlation_guard(df, x, y, by)
-    ranked = with_average_rank(pairs, by, "_x", "_rx", plain_rows)
+    ranked = with_average_rank(_pairs(df, x, y, by), by, "_x", "_rx", plain_rows)
     ranked = with_average_rank(ranked, by, "_y", "_ry", plain_rows)
     agg = ranked.groupBy(*by).agg(
-        _guarded(F.corr("_x", "_y")).alias("_r"), _guarded(F.corr("_rx", "_ry")).alias("_s")
-    )
-    joined = guard.join(agg, by) if by else guard.join(F.broadcast(agg))
+        F.count(F.lit(1)).alias("n"), *_constant_sides(),
+        _guarded(F.corr("_x", "_y")).alias("_r"), _guarded(F.corr("_rx", "_ry")).alias("_s"),
+    ).withColumn("status", _status())
     ok = F.col("status") == "ok"
-    out = joined.select(
+    out = agg.select(
         *by, "n",
         F.when(ok, F.col("_r")).alias("pearson_r"),
         F.when(ok, F.col("_s")).alias("spearman_r"),

@@ -14,7 +14,7 @@ from remnant.plans.views import Tables
 from remnant.sources import documents as D
 from remnant.sources import items as I
 from remnant.sources import sinks
-from remnant.sources.storage import new_dir
+from remnant.sources.storage import new_dir, spread
 
 METRICS3 = ["forget_accuracy", "retain_accuracy", "cnis"]
 
@@ -35,7 +35,7 @@ def docs(t: Tables):
         F.array(*[F.lit(i) for i in range(12)]).alias("long_list"),
     )
     text = F.when(k % 11 == 0, F.concat(F.lit("{broken "), k.cast("string"))).otherwise(F.to_json(body))
-    files = t.table("orders").select(
+    files = spread(t.table("orders"), "o_orderkey").select(
         F.concat(F.when(k % 2 == 0, "/runs/mllmu-real/").otherwise("/runs/unlok/"), k.cast("string"), F.lit(".json")).alias("source_file"),
         F.length(text).cast("bigint").alias("size_bytes"), text.alias("text"),
     )

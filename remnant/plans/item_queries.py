@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
+from remnant.functions.common import let
 from remnant.operators import alignment as J
 from remnant.operators import quality as G
 from remnant.operators import selection as P
@@ -74,18 +75,21 @@ def p05_spread(t: Tables):
 
 def identities(t: Tables):
     """Nested records: the sentences of a document, taken as question-answer pairs."""
-    parts = F.split("text", r"\.")
-    pair = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(2)), F.lit(2)),
-        lambda i: F.struct(
-            F.when((i + F.col("doc_id")) % 5 == 0, F.concat(F.lit("Who is "), F.get("s", i - 1)))
-            .otherwise(F.get("s", i - 1)).alias("question"),
-            F.coalesce(F.get("s", i), F.lit("")).alias("answer"),
-            F.array(F.coalesce(F.get("s", i), F.lit("")), F.lit(" ")).alias("keywords"),
-        ),
-    )
-    return t.documents().select("doc_id", parts.alias("s")).select(
-        F.col("doc_id").alias("entity"), pair.alias("qa_list")
+
+    def pairs(s):
+        at = lambda i: F.coalesce(F.get(s, i), F.lit(""))
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(2)), F.lit(2)),
+            lambda i: F.struct(
+                F.when((i + F.col("doc_id")) % 5 == 0, F.concat(F.lit("Who is "), F.get(s, i - 1)))
+                .otherwise(F.get(s, i - 1)).alias("question"),
+                at(i).alias("answer"),
+                F.array(at(i), F.lit(" ")).alias("keywords"),
+            ),
+        )
+
+    return t.documents().select(
+        F.col("doc_id").alias("entity"), let(F.split("text", r"\."), pairs).alias("qa_list")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remnant.functions import text as T
 from remnant.operators.ordering import with_neighbor
+from remnant.sources.storage import spread
 
 BASE_RUN = "signup"
 ORDER = ["ts", "event_id"]
@@ -45,7 +46,7 @@ class Tables:
         )
 
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"), "doc_id")
 
     def qa_responses(self) -> DataFrame:
         """Each document as a response; its answer comes from the previous one of its source.
@@ -74,7 +75,7 @@ class Tables:
 
     def activations(self, base: bool = True) -> DataFrame:
         """Three components of three layers with seven units; run 0 is the base."""
-        e = self.table("embeddings")
+        e = spread(self.table("embeddings"), "vec_id")
         x = F.transform("embedding", lambda v: v.cast("double"))
         runs = [0, 1, 2, 3] if base else [1, 2, 3]
         noise = F.transform(

@@ -27,3 +27,13 @@ def materialize(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give an input of fewer splits than cores one partition per core.
+
+    Only inputs of a few splits are shuffled, so the cost is bounded; larger inputs, which
+    already have enough splits, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
