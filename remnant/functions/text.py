@@ -262,28 +262,33 @@ def parse_number(c: Column | str) -> Column:
 
 def canonical_dataset(*values: Column | str) -> Column:
     """First data set, in fixed order, one of whose aliases occurs in the joined text."""
-    joined = casefold(F.concat_ws(" ", *[text_or_blank(v) for v in values]))
-    out = F.lit(None).cast("string")
-    for name in reversed(list(V.DATASET_ALIASES)):
-        hit = F.lit(False)
-        for alias in V.DATASET_ALIASES[name]:
-            hit = hit | F.contains(joined, F.lit(alias))
-        out = F.when(hit, F.lit(name)).otherwise(out)
-    return out
+    def pick(joined: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in reversed(list(V.DATASET_ALIASES)):
+            hit = F.lit(False)
+            for alias in V.DATASET_ALIASES[name]:
+                hit = hit | F.contains(joined, F.lit(alias))
+            out = F.when(hit, F.lit(name)).otherwise(out)
+        return out
+
+    return let(casefold(F.concat_ws(" ", *[text_or_blank(v) for v in values])), pick)
 
 
 def canonical_method(*values: Column | str) -> Column:
     """Method whose alias, longest first, stands between token borders of the joined text."""
-    joined = F.concat(F.lit("_"), norm_token(F.concat_ws(" ", *[text_or_blank(v) for v in values])), F.lit("_"))
+    joined = F.concat(
+        F.lit("_"), norm_token(F.concat_ws(" ", *[text_or_blank(v) for v in values])), F.lit("_")
+    )
     ranked = sorted(
         ((len(a), m, a.replace("-", "_")) for m, al in V.METHOD_ALIASES.items() for a in al),
         reverse=True,
     )
-    options = [
-        F.when(F.contains(joined, F.lit(f"_{alias}_")), F.lit(method))
-        for _, method, alias in ranked
-    ]
-    return F.coalesce(*options)
+    return let(
+        joined,
+        lambda text: F.coalesce(
+            *[F.when(F.contains(text, F.lit(f"_{a}_")), F.lit(m)) for _, m, a in ranked]
+        ),
+    )
 
 
 def infer_seed(path: Column | str, *leaves: Column | str, strict: bool = False) -> Column:

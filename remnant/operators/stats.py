@@ -20,9 +20,9 @@ def _pairs(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     )
 
 
-def _guarded(c):
-    """NULL instead of NaN or a division error for constant input."""
-    return F.when(~F.isnan(c), c)
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; NULL for constant input, where the built-in divides by zero."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def _constant_sides() -> list[Column]:
@@ -56,7 +56,7 @@ def correlate(
     ranked = with_average_rank(ranked, by, "_y", "_ry", plain_rows)
     agg = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *_constant_sides(),
-        _guarded(F.corr("_x", "_y")).alias("_r"), _guarded(F.corr("_rx", "_ry")).alias("_s"),
+        _corr("_x", "_y").alias("_r"), _corr("_rx", "_ry").alias("_s"),
     ).withColumn("status", _status())
     ok = F.col("status") == "ok"
     out = agg.select(
@@ -77,7 +77,7 @@ def correlate(
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson correlation and its p value; one aggregation, no ranks."""
     agg = _pairs(df, x, y, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), _guarded(F.corr("_x", "_y")).alias("pearson_r")
+        F.count(F.lit(1)).alias("n"), _corr("_x", "_y").alias("pearson_r")
     ).withColumn("pearson_r", F.when(F.col("n") >= 3, F.col("pearson_r")))
     return agg.withColumn("pearson_p", _p_value()("pearson_r", F.col("n").cast("double")))
 
@@ -92,7 +92,7 @@ def correlation_grid(
 
 def trend_line(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Least-squares slope and intercept; NULL when x is constant."""
+    slope = F.covar_pop("_x", "_y") / F.nullif(F.var_pop("_x"), F.lit(0.0))
     return _pairs(df, x, y, by).groupBy(*by).agg(
-        _guarded(F.regr_slope("_y", "_x")).alias("slope"),
-        _guarded(F.regr_intercept("_y", "_x")).alias("intercept"),
+        slope.alias("slope"), (F.avg("_y") - slope * F.avg("_x")).alias("intercept")
     )

@@ -12,10 +12,10 @@ MAX_DEPTH = 16
 
 # -- reading ---------------------------------------------------------------------------
 def _whole_files(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(
+    return reader.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_size").alias("size_bytes"),
         F.regexp_replace("value", "^﻿", "").alias("text"),
