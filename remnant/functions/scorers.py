@@ -15,42 +15,45 @@ def _within(part: Column, whole: Column) -> Column:
     return let(part, lambda p: (p != "") & F.contains(whole, p))
 
 
-def _covers(words: Column, response_words: Column) -> Column:
-    """Every word occurs among the response words (and there is at least one)."""
-    return let(
-        words, lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, response_words)) == 0)
-    )
+def _has_word(word: Column, text: Column) -> Column:
+    return F.contains(text, F.concat(F.lit(" "), word, F.lit(" ")))
 
 
 def entity_or_answer(response, entity, aliases, answer) -> Column:
     """Entity alias or gold answer appears in the response after normalization.
 
-    The response is normalized once per row: both forms travel in a struct.
+    One normalized form serves both tests: without its spaces for substrings, with them for
+    whole words.
     """
-    r = F.struct(T.norm_compact(response).alias("compact"), T.norm_words(response).alias("words"))
+
+    def test(candidate, r: Column, by_words) -> Column:
+        def check(text: Column) -> Column:
+            compact = F.replace(text, F.lit(" "), F.lit(""))
+            words = F.array_distinct(F.split(F.trim(text), " "))
+            return (compact != "") & (
+                F.contains(r["compact"], compact) | let(words, lambda w: by_words(w, r["text"]))
+            )
+
+        return let(T.words_text(candidate), check)
+
+    def all_words(w: Column, text: Column) -> Column:
+        return F.forall(w, lambda x: _has_word(x, text))
+
+    def enough_words(w: Column, text: Column) -> Column:
+        found = F.size(F.filter(w, lambda x: _has_word(x, text)))
+        return F.when(F.size(w) <= 5, found == F.size(w)).otherwise(found >= 2)
+
+    names = F.concat(
+        F.coalesce(as_col(aliases), F.array().cast("array<string>")),
+        F.array(T.text_or_blank(entity)),
+    )
 
     def hit(r: Column) -> Column:
-        compact, words = r["compact"], r["words"]
-        names = F.concat(
-            F.coalesce(as_col(aliases), F.array().cast("array<string>")),
-            F.array(T.text_or_blank(entity)),
-        )
-        named = F.exists(
-            names,
-            lambda a: _within(T.norm_compact(a), compact) | _covers(T.norm_words(a), words),
-        )
-        by_words = let(
-            T.norm_words(answer),
-            lambda gold: F.when(F.size(gold) <= 5, _covers(gold, words)).otherwise(
-                F.size(F.array_intersect(gold, words)) >= 2
-            ),
-        )
-        answered = (T.text_or_blank(answer) != "") & (
-            _within(T.norm_compact(answer), compact) | by_words
-        )
-        return named | answered
-
-    return let(r, hit)
+        named = F.exists(names, lambda a: test(a, r, all_words))
+        return named | ((T.text_or_blank(answer) != "") & test(answer, r, enough_words))
+
+    form = lambda t: F.struct(F.replace(t, F.lit(" "), F.lit("")).alias("compact"), t.alias("text"))
+    return let(let(T.words_text(response), form), hit)
 
 
 def refusal(response, phrases=None) -> Column:

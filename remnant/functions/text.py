@@ -109,6 +109,12 @@ def norm_words(c: Column | str) -> Column:
     )
 
 
+def words_text(c: Column | str) -> Column:
+    """All words of `norm_words` in order of appearance, each surrounded by single spaces."""
+    runs = F.regexp_replace(fold_ascii(clean_generated(c)), "[^a-z0-9]+", " ")
+    return F.concat(F.lit(" "), F.trim(runs), F.lit(" "))
+
+
 def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 

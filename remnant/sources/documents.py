@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
+from remnant.functions.common import as_col, let
 
 MAX_DEPTH = 16
 
 
 # -- reading ---------------------------------------------------------------------------
+def strict_json(text: Column | str) -> Column:
+    """Variant of a text that is one JSON value, else NULL.
+
+    The parser stops after the first value; as the only element of a list the value may not
+    be followed by anything else.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), as_col(text), F.lit("]")))
+    one = lambda w: F.when(
+        F.try_variant_get(w, "$[1]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant")
+    )
+    return let(wrapped, one)
+
+
 def _whole_files(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
@@ -28,7 +42,7 @@ def read_json_or_jsonl(spark: SparkSession, paths) -> DataFrame:
     A line that cannot be parsed becomes a row with its number and an error.  Each file is
     one row while it is tried as a whole, so use `read_jsonl` for very large line files.
     """
-    files = _whole_files(spark, paths).withColumn("doc", F.try_parse_json("text"))
+    files = _whole_files(spark, paths).withColumn("doc", strict_json("text"))
     whole = files.filter(F.col("doc").isNotNull()).select(
         "source_file", F.lit(None).cast("int").alias("line_no"), "doc", F.lit(None).cast("string").alias("error")
     )
@@ -39,8 +53,7 @@ def read_json_or_jsonl(spark: SparkSession, paths) -> DataFrame:
 
 
 def _parsed_lines(lines: DataFrame) -> DataFrame:
-    doc = F.try_parse_json("line")
-    return lines.select("source_file", "line_no", doc.alias("doc")).withColumn(
+    return lines.select("source_file", "line_no", strict_json("line").alias("doc")).withColumn(
         "error", F.when(F.col("doc").isNull(), F.concat(F.lit("invalid JSON at line "), F.coalesce(F.col("line_no").cast("string"), F.lit("?"))))
     )
 
@@ -72,7 +85,7 @@ def scan_result_docs(spark: SparkSession, roots: list[str], exclude: str | None
 
 def parse_docs(files: DataFrame) -> DataFrame:
     """source_file, size_bytes, doc, error from file texts."""
-    return files.select("source_file", "size_bytes", F.try_parse_json("text").alias("doc")).withColumn(
+    return files.select("source_file", "size_bytes", strict_json("text").alias("doc")).withColumn(
         "error", F.when(F.col("doc").isNull(), "json_read_error")
     )
 
