@@ -172,15 +172,14 @@ def prompt_occurrence(
 
 
 def behaviour_deltas(table: DataFrame, base_run: str) -> DataFrame:
-    base = table.filter(F.col("run") == base_run).select(
-        F.col("forget_acc").alias("base_forget"), F.col("retain_acc").alias("base_retain")
-    )
-    # One row by construction (the table has one row per run), so the join is a lookup.
-    one = base.agg(F.max("base_forget").alias("base_forget"), F.max("base_retain").alias("base_retain"))
-    return table.join(F.broadcast(one)).select(
+    base = table.filter(F.col("run") == base_run)
+
+    def delta(c: str) -> Column:
+        return F.col(c) - base.agg(F.max(c)).scalar()  # one value, read once
+
+    return table.select(
         "run", "forget_acc", "retain_acc",
-        (F.col("forget_acc") - F.col("base_forget")).alias("delta_forget"),
-        (F.col("retain_acc") - F.col("base_retain")).alias("delta_retain"),
+        delta("forget_acc").alias("delta_forget"), delta("retain_acc").alias("delta_retain"),
     )
 
 

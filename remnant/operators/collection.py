@@ -152,15 +152,18 @@ def coverage(agg: DataFrame, datasets: list[str] | None = None) -> DataFrame:
     everywhere = present.groupBy("method").agg(
         F.count_if(F.col("dataset").isin(*datasets)).alias("k")
     ).filter(F.col("k") == len(datasets)).select("method")
-    shared = everywhere.agg(F.count(F.lit(1)).alias("n_in_all"))
-    total = present.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("dataset").alias("found"))
+    def count(df: DataFrame, c: Column) -> Column:
+        return df.agg(c).scalar()
+
+    n_in_all = count(everywhere, F.count(F.lit(1)))
+    found = count(present, F.countDistinct("dataset"))
     verdict = (
-        F.when(F.col("rows") == 0, "FAIL").when((F.col("found") < 2) | (F.col("n_in_all") == 0), "WARN").otherwise("PASS")
+        F.when(F.col("found") == 0, "FAIL")
+        .when((F.col("found") < 2) | (F.col("n_in_all") == 0), "WARN").otherwise("PASS")
     )
     names = joined_list(present, ["dataset"], "method", "methods")
     base = agg.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
-    one = F.broadcast(total.join(F.broadcast(shared)))  # a single row
-    return base.join(names, "dataset", "left").join(one).select(
+    return base.join(names, "dataset", "left").withColumns({"n_in_all": n_in_all, "found": found}).select(
         "dataset", F.coalesce("n_methods", F.lit(0)).alias("n_methods"), "methods", "n_in_all", verdict.alias("verdict")
     )
 

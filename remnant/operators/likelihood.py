@@ -28,11 +28,9 @@ def likelihood_summary(tokens: DataFrame, base_run: str) -> DataFrame:
     runs = items.groupBy("run").agg(
         F.avg("nll").alias("mean_nll"), F.avg("first_rank").alias("mean_first_rank")
     )
-    base = runs.filter(F.col("run") == base_run).agg(F.max("mean_nll").alias("base_nll"))
-    return runs.join(F.broadcast(base)).select(
-        "run", "mean_nll", "mean_first_rank",
-        (F.col("mean_nll") - F.col("base_nll")).alias("delta_nll"),
-        (F.col("mean_nll") < F.col("base_nll")).alias("backfire"),
+    base_nll = runs.filter(F.col("run") == base_run).agg(F.max("mean_nll")).scalar()
+    return runs.withColumn("delta_nll", F.col("mean_nll") - base_nll).select(
+        "run", "mean_nll", "mean_first_rank", "delta_nll", (F.col("delta_nll") < 0).alias("backfire")
     )
 
 

@@ -59,7 +59,7 @@ def preparation_report(
     b = items.agg(
         F.count(F.lit(1)).alias("items"), F.countDistinct("entity").alias("identities")
     )
-    t = a.join(F.broadcast(b))  # one row each
+    t = a.withColumns({c: b.select(c).scalar() for c in ("items", "identities")})
     ok = F.col("n_no_image") == 0
     for name, value in (expected or {}).items():
         ok = ok & (F.col(name) == value)

@@ -58,11 +58,11 @@ class Tables:
         heads = docs.select("doc_id", "source", words.alias("head"))
         prev = with_neighbor(heads, ["source"], ["doc_id"], {"head": "prev"}, step=-1, wrap=False)
         parts = self.table("part").select("p_partkey", "p_name")
-        n_parts = parts.agg(F.count(F.lit(1)).alias("n_parts"))
-        rows = docs.join(prev.select("doc_id", "prev"), "doc_id").join(F.broadcast(n_parts))
-        return rows.join(
-            parts, F.col("doc_id") % F.col("n_parts") == F.col("p_partkey")
-        ).select(
+        n_parts = parts.agg(F.count(F.lit(1))).scalar()
+        rows = docs.join(prev.select("doc_id", "prev"), "doc_id").withColumn(
+            "p_partkey", F.col("doc_id") % n_parts
+        )
+        return rows.join(parts, "p_partkey").select(
             "doc_id",
             F.col("text").alias("response"),
             F.col("p_name").alias("entity"),
