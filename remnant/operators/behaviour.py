@@ -175,7 +175,9 @@ def behaviour_deltas(table: DataFrame, base_run: str) -> DataFrame:
     base = table.filter(F.col("run") == base_run)
 
     def delta(c: str) -> Column:
-        return F.col(c) - base.agg(F.max(c)).scalar()  # one value, read once
+        # One value, read once; the base run differs from itself by exactly zero.
+        change = F.col(c) - base.agg(F.max(c)).scalar()
+        return F.when(F.col("run") == base_run, change * 0.0).otherwise(change)
 
     return table.select(
         "run", "forget_acc", "retain_acc",

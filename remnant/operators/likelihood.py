@@ -29,7 +29,9 @@ def likelihood_summary(tokens: DataFrame, base_run: str) -> DataFrame:
         F.avg("nll").alias("mean_nll"), F.avg("first_rank").alias("mean_first_rank")
     )
     base_nll = runs.filter(F.col("run") == base_run).agg(F.max("mean_nll")).scalar()
-    return runs.withColumn("delta_nll", F.col("mean_nll") - base_nll).select(
+    # The base run differs from itself by exactly zero, whatever order its sum was taken in.
+    delta = F.when(F.col("run") == base_run, 0.0).otherwise(F.col("mean_nll") - base_nll)
+    return runs.withColumn("delta_nll", delta).select(
         "run", "mean_nll", "mean_first_rank", "delta_nll", (F.col("delta_nll") < 0).alias("backfire")
     )
 
