@@ -8,10 +8,14 @@ many tasks as it has ranges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from remnant.functions.common import let
+
 PLAIN_ROWS = 1_000_000  # a window over so few rows fits any task
 ROWS_PER_RANGE = 250_000
 MAX_RANGES = 4096
@@ -44,9 +48,18 @@ def _range_column(df: DataFrame, key: str, plain_rows: int) -> Column | None:
     cuts = sorted(set(cuts or []))
     if not cuts:
         return None
-    # Position of the value among the sorted cut points: number of cuts <= value.
-    array = F.lit(cuts)
-    return F.coalesce(F.size(F.filter(array, lambda x: x <= value)), F.lit(0))
+    # Number of cut points <= value, in two steps: whole chunks first, then inside one chunk,
+    # so that a row is compared with about 2 * sqrt(cuts) of them.
+    step = math.isqrt(len(cuts)) + 1
+    ends = F.lit(cuts[step - 1 :: step]) if len(cuts) >= step else F.array().cast("array<double>")
+
+    def at_most(points: Column) -> Column:
+        return F.size(F.filter(points, lambda x: x <= value))
+
+    chunks = let(
+        at_most(ends), lambda k: k * step + at_most(F.slice(F.lit(cuts), k * step + 1, step))
+    )
+    return F.when(value.isNull(), F.lit(0)).otherwise(chunks)
 
 
 def with_position(
