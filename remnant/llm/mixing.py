@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remnant.llm.common import WORD
+from remnant.llm.common import text_udf, words
 from remnant.sources.storage import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -32,7 +32,7 @@ ROUNDS = 2
 
 def size_of(text: Column) -> Column:
     """Number of words; null texts have none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    return text_udf(lambda texts: {"n": [len(words(t)) for t in texts]}, "n bigint")(text.cast("string"))["n"]
 
 
 def shuffle_key(doc_id: Column) -> Column:
