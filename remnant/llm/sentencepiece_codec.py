@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-THETA = 2.0
+THETA = 0.4
 OFFSET = 10.0
 SEED = 3
 SLICE = 256
