@@ -29,6 +29,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table into the shared folder and read it back; also its folder.
+
+    Unlike a checkpoint, the table that is read has the size of its files as statistics, and not
+    the product of the sizes of all that was joined to make it.  Loops and small tables need that.
+    """
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that `stored` made, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give an input of fewer splits than cores one partition per core.
 
