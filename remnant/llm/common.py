@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from remnant.sources.storage import materialize
+from remnant.sources.storage import discard, stored
 
 #: Words are runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,14 +134,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: long columns a, b; rows may repeat, loops are ignored.  Each round takes the least
     label of the neighbours and then that label's own label, so the rounds grow with the
-    logarithm of the longest path.  Labels stay distributed; every round is checkpointed.
+    logarithm of the longest path.  Labels stay distributed; every round is
+    written to the shared folder.
     """
+    spark = edges.sparkSession
     pairs = edges.filter("a <> b")
-    both = materialize(
-        pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both, edge_path = stored(
+        pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
-    labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"), F.lit(True).alias("moved"))
+    labels, path = stored(
+        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"), F.lit(True).alias("moved")), "labels"
     )
     while not labels.filter("moved").isEmpty():
         known = labels.select("node", "component")
@@ -152,11 +154,15 @@ def components(edges: DataFrame) -> DataFrame:
         far = near.join(known.select(F.col("node").alias("m"), F.col("component").alias("m2")), "m").select(
             F.col("a").alias("node"), F.least("m", "m2").alias("m")
         )
-        labels = materialize(
+        old = path
+        labels, path = stored(
             known.join(far, "node").select(
                 "node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")
-            )
+            ),
+            "labels",
         )
+        discard(spark, old)
+    discard(spark, edge_path)
     return labels.select("node", "component")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remnant.llm.common import text_udf, words
-from remnant.sources.storage import materialize
+from remnant.sources.storage import materialize, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -79,15 +79,18 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
             F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), shuffle_key(F.col("doc_id")).alias("h"),
         )
     )
-    goals = materialize(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    goals, _ = stored(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     n, budget = base.count(), goals.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     bits = max(4, math.ceil(math.log2(max(2.0, math.sqrt(n)))))
     rows = base.join(goals, base["source"].eqNullSafe(goals["source"])).select(
         "place", "source_size", "target", "size", "id", "h", F.shiftrightunsigned(F.col("h"), 32 - bits).alias("b")
     )
     ahead = Window.partitionBy("place").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("place", "b").agg(F.sum("size").alias("s")).select(
-        "place", "b", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before")
+    offsets, _ = stored(
+        rows.groupBy("place", "b").agg(F.sum("size").alias("s")).select(
+            "place", "b", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before")
+        ),
+        "offsets",
     )
     inside = Window.partitionBy("place", "b").orderBy("h", "id", "size")
     timed = rows.join(offsets, ["place", "b"]).withColumn("cum", F.col("before") + F.sum("size").over(inside))
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = docs.withColumn("_size", size_of(F.col(text_col)))
-    goals = materialize(plan(sized, weights, share, most)).select(
+    goals = stored(plan(sized, weights, share, most), "mix")[0].select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("last").alias("_last")
     )
     mine = F.struct(

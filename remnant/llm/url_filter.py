@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remnant.sources.storage import materialize
+from remnant.sources.storage import discard, stored
 
 #: Fixed values: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -60,7 +60,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
     Each seed vector is scaled to sum one.  Mass at hosts without edges is not passed on.
     """
-    edges = materialize(edges)
+    edges, _ = stored(edges, "links")
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     a, b = float(total["a"] or 0) or 1.0, float(total["b"] or 0) or 1.0
     nodes = seeds.select("host", (F.col("allowed") / a).alias("t0"), (F.col("blocked") / b).alias("d0"))
@@ -68,26 +68,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         keep = F.lit(1.0 - damping)
         return nodes.select("host", (keep * F.col("t0")).alias("trust"), (keep * F.col("d0")).alias("distrust"))
     ends = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
-    nodes = materialize(ends.join(nodes, "host", "full").na.fill(0.0, ["t0", "d0"]))
+    nodes, node_path = stored(ends.join(nodes, "host", "full").na.fill(0.0, ["t0", "d0"]), "hosts")
     # One row per direction and edge, with the share of what its start passes on.
     forth = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select(
         F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("ft"), F.lit(0.0).alias("fd"))
     back = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("all")), "dst").select(
         F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("ft"), (F.col("n") / F.col("all")).alias("fd"))
-    flows = materialize(forth.unionByName(back))
+    flows, flow_path = stored(forth.unionByName(back), "flows")
     state = nodes.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    spark, path_ = seeds.sparkSession, None
     for _ in range(rounds):
         moved = (
             flows.join(state.select(F.col("host").alias("at"), "trust", "distrust"), "at").groupBy("to")
             .agg(F.sum(F.col("ft") * F.col("trust")).alias("mt"), F.sum(F.col("fd") * F.col("distrust")).alias("md"))
         )
-        state = materialize(
+        old = path_
+        state, path_ = stored(
             nodes.join(moved, F.col("host") == F.col("to"), "left").select(
                 "host", "t0", "d0",
                 ((1 - damping) * F.col("t0") + damping * F.coalesce("mt", F.lit(0.0))).alias("trust"),
                 ((1 - damping) * F.col("d0") + damping * F.coalesce("md", F.lit(0.0))).alias("distrust"),
-            )
+            ),
+            "hosts",
         )
+        if old:
+            discard(spark, old)
+    discard(spark, flow_path)
+    discard(spark, node_path)
     return state.select("host", "trust", "distrust")
 
 
@@ -100,13 +107,14 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, page_col: str = "
     """
     rows = pages.select(F.col(page_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    seeds = materialize(
+    seeds, _ = stored(
         rows.filter("host <> ''").groupBy("host").agg(
             F.count(F.when(F.col("_r")["verdict"] == "allow", 1)).alias("allowed"),
             F.count(F.when(F.col("_r")["verdict"] == "block", 1)).alias("blocked"),
-        )
+        ),
+        "seeds",
     )
-    scores = materialize(propagate(seeds, host_edges(pages, url_col, html_col)))
+    scores, _ = stored(propagate(seeds, host_edges(pages, url_col, html_col)), "scores")
     out = rows.join(scores, "host", "left")
     by_host = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
     return out.select(
