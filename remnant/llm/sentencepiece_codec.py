@@ -33,6 +33,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 0.4
 OFFSET = 10.0
 SEED = 3
+SCALE = 2.0  # a factor per character, equal for all paths, that keeps sums near one
 SLICE = 256
 BLANK = "\u2581"
 _KEPT_SIGN = "\ud800"  # stands for a sign of the text itself while units are cut
@@ -43,9 +44,9 @@ _BASE = np.uint64(1_000_003)
 
 class Pieces(NamedTuple):
     longest: int
-    keys: list  # by length: sorted hashes of pieces
-    ids: list  # by length: ids in that order
-    weight: np.ndarray  # log weight by id
+    keys: list  # by length: sorted hashes of pieces and of beginnings of pieces
+    ids: list  # by length: ids in that order, -1 for what is only a beginning
+    weight: np.ndarray  # by id
     byte: np.ndarray  # id of each byte piece
     text: list  # bytes of each id
 
@@ -66,17 +67,18 @@ def pieces(path: str = VOCABULARY, theta: float = THETA) -> Pieces:
             text[i] = name.replace(BLANK, " ").encode()
             by_length.setdefault(len(name), {}).setdefault(name, i)
     rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i)))}
-    weight = np.full(n, -theta * np.log(len(plain) + OFFSET))
+    weight = np.full(n, (len(plain) + OFFSET) ** -theta)
     for i, r in rank.items():
-        weight[i] = -theta * np.log(r + OFFSET)
+        weight[i] = (r + OFFSET) ** -theta
     longest = max(by_length)
     keys, ids = [None], [None]
     for length in range(1, longest + 1):
-        own = by_length.get(length, {})
+        own = {name[:length]: -1 for longer in range(length, longest + 1) for name in by_length.get(longer, {})}
+        own |= by_length.get(length, {})
         h = _hash_strings(list(own), length)
         order = np.argsort(h)
         keys.append(h[order])
-        ids.append(np.array(list(own.values()), np.int64)[order] if own else np.zeros(0, np.int64))
+        ids.append(np.array(list(own.values()), np.int64)[order])
     return Pieces(longest, keys, ids, weight, byte, text)
 
 
@@ -105,54 +107,71 @@ def uniform(key: np.ndarray, a: np.ndarray, step: int) -> np.ndarray:
 
 
 class Lattice(NamedTuple):
-    """Of the distinct units of a slice, end to end: by position and length of the piece."""
+    """Of the distinct units of a slice.  Units are ranked from long to short, so that the ends of
+    all prefixes of d characters are neighbours: the row of (unit, d) is offset[d] + rank."""
 
-    end: np.ndarray  # row of `share` at the end of each unit
-    share: np.ndarray  # cumulative chance of the length of the last piece before a position
-    edge: np.ndarray  # piece by (start position, length - 1); -1: none, -2 - c: bytes of c
-    start: np.ndarray  # first position of each unit
+    rank: np.ndarray
+    length: np.ndarray
+    offset: np.ndarray
+    share: np.ndarray  # by row and length of the last piece: cumulative chance
+    edge: np.ndarray  # by row and length: piece; -2 - c: bytes of character c
 
 
 def lattice(units: list[str], p: Pieces) -> Lattice:
     length = np.array([len(u) for u in units], np.int64)
-    start = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    rank = np.empty(len(units), np.int64)
+    rank[order] = np.arange(len(units))
+    longest = int(length.max(initial=0))
+    many = len(units) - np.searchsorted(length[order[::-1]], np.arange(1, longest + 1))  # units of d characters or more
+    offset = np.concatenate([[0, 0], np.cumsum(many)])[: longest + 1]
+    rows, most = int(many.sum()), min(p.longest, max(1, longest))
     c = _points("".join(units))
-    n, most = len(c), min(p.longest, int(length.max(initial=1)))
-    stop = np.repeat(start + length, length)
-    edge = np.full((n, most), -1, np.int64)
-    weight = np.full((n, most), -np.inf)
-    at = np.arange(n)
-    h = np.zeros(n, np.uint64)
+    start = np.cumsum(length) - length
+    unit = np.repeat(np.arange(len(units)), length)
+    depth = np.arange(len(c)) - start[unit]
+    place, room = rank[unit], length[unit] - depth
+    edge = np.full((rows, most), -1, np.int32)
+    weight = np.zeros((rows, most), np.float32)
+    at, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
+    covered = np.zeros(len(c), bool)
     for k in range(1, most + 1):
-        at = at[at + k <= stop[at]]
+        fits = room[at] >= k
+        at, h = at[fits], h[fits]
         if not len(at):
             break
-        h[at] = h[at] * _BASE + c[at + k - 1] + np.uint64(1)
-        if len(p.keys[k]):
-            spot = np.minimum(np.searchsorted(p.keys[k], h[at]), len(p.keys[k]) - 1)
-            hit = p.keys[k][spot] == h[at]
-            edge[at[hit], k - 1] = p.ids[k][spot[hit]]
-            weight[at[hit], k - 1] = p.weight[p.ids[k][spot[hit]]]
-    bare = edge[:, 0] == -1
-    edge[bare, 0] = -2 - c[bare].astype(np.int64)
-    weight[bare, 0] = p.weight[p.byte[0]] * (1 + (c[bare] > 0x7F) + (c[bare] > 0x7FF) + (c[bare] > 0xFFFF))
-    # Forward pass over all units that are long enough; row s + u + d is d characters into unit u.
-    row = start + np.arange(len(units))
-    alpha = np.zeros(n + len(units))
-    share = np.zeros((n + len(units), most), np.float32)
-    order = np.argsort(-length, kind="stable")
-    falling = -length[order]
-    for d in range(1, int(length.max(initial=0)) + 1):
-        now = order[: np.searchsorted(falling, -d, side="right")]
-        back = np.arange(1, min(d, most) + 1)
-        w = alpha[(row[now] + d)[:, None] - back] + weight[(start[now] + d)[:, None] - back, back - 1]
-        top = w.max(axis=1, keepdims=True)
-        e = np.exp(w - top)
-        cum = np.cumsum(e, axis=1)
-        alpha[row[now] + d] = top[:, 0] + np.log(cum[:, -1])
-        share[row[now] + d, : len(back)] = cum / cum[:, -1:]
-        share[row[now] + d, len(back) - 1 :] = 2.0
-    return Lattice(row + length, share, edge, start)
+        h = h * _BASE + c[at + k - 1] + np.uint64(1)
+        spot = np.minimum(np.searchsorted(p.keys[k], h), len(p.keys[k]) - 1)
+        begins = p.keys[k][spot] == h
+        at, h, ids = at[begins], h[begins], p.ids[k][spot[begins]]
+        real = ids >= 0
+        row = offset[depth[at[real]] + k] + place[at[real]]
+        edge[row, k - 1] = ids[real]
+        weight[row, k - 1] = p.weight[ids[real]] * SCALE**k
+        if k == 1:
+            covered[at[real]] = True
+    bare = np.flatnonzero(~covered)
+    row = offset[depth[bare] + 1] + place[bare]
+    edge[row, 0] = -2 - c[bare].astype(np.int64)
+    weight[row, 0] = SCALE * p.weight[p.byte[0]] ** (1 + (c[bare] > 0x7F) + (c[bare] > 0x7FF) + (c[bare] > 0xFFFF))
+    # Forward pass: sums of path weights, all units together, one depth after the other.
+    share = np.full((rows, most), 2.0, np.float32)
+    alpha = [np.ones(len(units))]
+    for d in range(1, longest + 1):
+        own = slice(offset[d], offset[d] + many[d - 1])
+        total = np.zeros(many[d - 1])
+        sums = []
+        for k in range(1, min(d, most) + 1):
+            total = total + alpha[-k][: len(total)] * weight[own, k - 1]
+            sums.append(total)
+        for k, t in enumerate(sums[:-1]):
+            share[own, k] = np.where(t < total, t / total, 2.0)
+        alpha.append(total)
+        if total.min() < 1e-200 or total.max() > 1e200:  # ratios count alone
+            alpha = [x[: len(total)] / total for x in alpha[-most:]]
+        elif len(alpha) > most:
+            alpha.pop(0)
+    return Lattice(rank, length, offset, share, edge)
 
 
 def sample(texts: list, keys: np.ndarray, p: Pieces) -> list[np.ndarray]:
@@ -170,20 +189,19 @@ def sample(texts: list, keys: np.ndarray, p: Pieces) -> list[np.ndarray]:
     unit = np.fromiter((u for f in found for u in f), np.int64, total)
     key = np.repeat(keys, many)
     number = (np.arange(total) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
-    at = grid.end[unit]
-    first = at - (grid.end - grid.start - np.arange(len(grid.start)))[unit]  # row of depth 0
-    shift = unit  # rows run ahead of positions by the unit's number
+    place, depth = grid.rank[unit], grid.length[unit]
     live = np.arange(total)
     steps = np.zeros(total, np.int64)
     log: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while len(live):
         u = uniform(key[live], number[live], step).astype(np.float32)
-        length = (grid.share[at[live]] <= u[:, None]).sum(axis=1) + 1
-        at[live] -= length
-        log.append((live, grid.edge[at[live] - shift[live], length - 1]))
+        row = grid.offset[depth[live]] + place[live]
+        length = (grid.share[row] <= u[:, None]).sum(axis=1)
+        log.append((live, grid.edge[row, length]))
+        depth[live] -= length + 1
         steps[live] += 1
-        live = live[at[live] > first[live]]
+        live = live[depth[live] > 0]
         step += 1
     ends = np.cumsum(steps)
     edges = np.zeros(int(ends[-1]), np.int64)
@@ -218,13 +236,14 @@ def _utf8(code: int) -> bytes:
     return BLANK.encode() if chr(code) == _KEPT_SIGN else chr(code).encode("utf-8", "replace")
 
 
-def encode(text: Column, key: Column, vocabulary: str = VOCABULARY, theta: float = THETA) -> Column:
-    """array<int> of sampled pieces.  Null texts give null, empty ones an empty array.
+def decode_ids(ids: list, table: list) -> str:
+    """The text of piece ids; bytes that are no UTF-8 become the replacement sign."""
+    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
-    Texts with equal keys and equal content get equal pieces; a null key counts as zero.
-    """
 
-    @arrow_udf(T.ArrayType(T.IntegerType()))
+def _encoder(vocabulary: str, theta: float, check: bool):
+    """Batches of (texts, keys) to pieces, or to pieces and whether they decode to the text."""
+
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
         p = pieces(vocabulary, theta)
         parts = []
@@ -234,14 +253,43 @@ def encode(text: Column, key: Column, vocabulary: str = VOCABULARY, theta: float
             got = sample(own, k[s : s + SLICE], p)
             ends = np.cumsum([0, *(len(g) for g in got)])
             whole = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(got).astype(np.int32)),
-                mask=pa.array([t is None for t in own]),
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(got).astype(np.int32)), mask=pa.array([t is None for t in own])
             )
+            if check:
+                same = [t is None or decode_ids(g.tolist(), p.text) == t for t, g in zip(own, got)]
+                whole = pa.StructArray.from_arrays([whole, pa.array(same)], ["pieces", "lossless"])
             parts.append(whole)
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pieces", kind), ("lossless", pa.bool_())]) if check else kind)
+
+    return run
+
+
+def _key(key: Column) -> Column:
+    return F.coalesce(F.xxhash64(F.lit(SEED), key), F.lit(0))
+
+
+def encode(text: Column, key: Column, vocabulary: str = VOCABULARY, theta: float = THETA) -> Column:
+    """array<int> of sampled pieces.  Null texts give null, empty ones an empty array.
+
+    Texts with equal keys and equal content get equal pieces; a null key counts as a key.
+    """
+
+    @arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return _encoder(vocabulary, theta, False)(texts, keys)
+
+    return run(text.cast("string"), _key(key))
+
+
+def encode_checked(text: Column, key: Column, vocabulary: str = VOCABULARY, theta: float = THETA) -> Column:
+    """Struct of the pieces as `encode` draws them, and whether decoding them gives the text."""
+
+    @arrow_udf(T._parse_datatype_string("pieces array<int>, lossless boolean"))
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return _encoder(vocabulary, theta, True)(texts, keys)
 
-    hashed = F.coalesce(F.xxhash64(F.lit(SEED), key), F.lit(0))
-    return run(text.cast("string"), hashed)
+    return run(text.cast("string"), _key(key))
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -252,7 +300,7 @@ def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
         table = pieces(vocabulary).text
         parts = []
         for s in range(0, len(rows), SLICE):
-            texts = [None if r is None else b"".join([table[i] for i in r if i is not None]).decode("utf-8", "replace") for r in rows.slice(s, SLICE).to_pylist()]
+            texts = [None if r is None else decode_ids([i for i in r if i is not None], table) for r in rows.slice(s, SLICE).to_pylist()]
             parts.append(pa.array(texts, pa.string()))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 

@@ -13,7 +13,7 @@ from remnant.llm import sentencepiece_codec as P
 from remnant.llm import token_counts as C
 from remnant.llm import toxicity as X
 
-TEXTS = [None, "", " ", "\n", "a", "Hello  world\nsecond line é▁x\n\n", "naïve 😀 Ж▁▁ \t tab\r\n", "ab " * 3000, "x" * 5000, " " * 5000, "中文文本没有空格" * 50, "\ue000\x00 end"]
+TEXTS = [None, "", " ", "\n", "a", "Hello  world\nsecond line é▁x\n\n", "naïve 😀 Ж▁▁ \t tab\r\n", "ab " * 3000, "x" * 5000, "ж" * 3000, " " * 5000, "中文文本没有空格" * 50, "\ue000\x00 end"]
 
 
 def brute_counts(text, rule):
@@ -64,6 +64,9 @@ def test_pieces_round_trip_and_repeat(spark):
     rows = docs.withColumn("p", P.encode(F.col("text"), F.col("doc_id")))
     got = rows.withColumn("back", P.decode(F.col("p"))).orderBy("doc_id", "text").collect()
     assert all(r["back"] == r["text"] for r in got)
+    checked = docs.select("doc_id", P.encode_checked(F.col("text"), F.col("doc_id")).alias("s")).select("doc_id", "s.*")
+    assert checked.filter("not lossless").count() == 0
+    assert sorted(map(str, checked.select("doc_id", "pieces").collect())) == sorted(str(r) for r in rows.select("doc_id", F.col("p").alias("pieces")).collect())
     again = rows.repartition(3).orderBy("doc_id", "text").collect()
     assert [r["p"] for r in again] == [r["p"] for r in got]
     other = docs.select(P.encode(F.lit("ab " * 300), F.col("doc_id")).alias("p")).distinct().count()
@@ -87,8 +90,8 @@ def test_samples_follow_the_lattice():
         for k in range(1, 4 - at):
             h = P._hash_strings(["the"[at : at + k]], k)[0]
             i = np.searchsorted(p.keys[k], h)
-            if i < len(p.keys[k]) and p.keys[k][i] == h:
-                walk(at + k, (*ids, int(p.ids[k][i])), w + p.weight[p.ids[k][i]])
+            if i < len(p.keys[k]) and p.keys[k][i] == h and p.ids[k][i] >= 0:
+                walk(at + k, (*ids, int(p.ids[k][i])), w + math.log(p.weight[p.ids[k][i]]))
 
     walk(0, (), 0.0)
     total = math.fsum(math.exp(w) for w in paths.values())
