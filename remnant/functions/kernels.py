@@ -166,7 +166,7 @@ def _matrix(batch, name, idx):
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(flat) % len(idx):
+    if (values.value_lengths().to_numpy(zero_copy_only=False) != len(flat) // len(idx)).any():
         raise ValueError(f"vectors of different length in column {name}")
     return flat.reshape(len(idx), -1)
 

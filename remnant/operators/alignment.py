@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remnant.functions import text as T
 from remnant.functions.common import hash_key
-from remnant.operators.ordering import PLAIN_ROWS, with_neighbor
+from remnant.operators.ordering import with_neighbor
 
 
 def item_key(entity="entity", question="question", answer="answer", position=None) -> Column:
@@ -120,7 +120,7 @@ def method_x_profile(summary: DataFrame, profile: DataFrame, metrics: list[str])
 
 def shuffled_label_control(
     records: DataFrame, seed: int, entity: str = "entity", key: str = "id",
-    take: dict[str, str] | None = None, plain_rows: int = PLAIN_ROWS,
+    take: dict[str, str] | None = None,
 ) -> DataFrame:
     """Give each record the label of the next record of its entity in hashed order.
 
@@ -129,17 +129,17 @@ def shuffled_label_control(
     take = take or {"label": "other_label", "aliases": "other_aliases"}
     keyed = records.withColumn("_h", hash_key(seed, key))
     out = with_neighbor(
-        keyed, [entity], ["_h", key], {**take, key: "_other_key"}, plain_rows=plain_rows
+        keyed, [entity], ["_h", key], {**take, key: "_other_key"}
     )
     return out.filter(F.col("_other_key") != F.col(key)).drop("_h", "_other_key")
 
 
 def mismatched_control(
-    items: DataFrame, value: str, seed: int, plain_rows: int = PLAIN_ROWS
+    items: DataFrame, value: str, seed: int
 ) -> DataFrame:
     """Each item three times: its own value, another item's value, and a blank one."""
     distinct = items.select(value).distinct().withColumn("_h", hash_key(seed, value))
-    nxt = with_neighbor(distinct, [], ["_h", value], {value: "_next"}, plain_rows=plain_rows)
+    nxt = with_neighbor(distinct, [], ["_h", value], {value: "_next"})
     nxt = nxt.select(value, F.when(F.col("_next") != F.col(value), F.col("_next")).alias("_next"))
     modes = F.array(
         F.struct(F.lit("correct").alias("mode"), F.col(value).alias("used_value")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
 from remnant.functions.common import ratio, share
-from remnant.operators.ordering import PLAIN_ROWS, joined_list, with_position
+from remnant.operators.ordering import with_position
 
 
 def _split(name: str) -> Column:
@@ -126,14 +126,11 @@ def suppressed_rows(aligned: DataFrame, split: str = "forget") -> DataFrame:
     ).select("run", "item_key")
 
 
-def suppressed_items(aligned: DataFrame, max_items: int = 1000) -> DataFrame:
-    """Number and ids of suppressed items per run; see `suppressed_rows` for long lists."""
-    runs = aligned.select("run").distinct()
-    lists = joined_list(suppressed_rows(aligned), ["run"], "item_key", "item_ids", ",", max_items)
-    return runs.join(lists, "run", "left").select(
-        "run",
-        F.coalesce("n_item_ids", F.lit(0)).alias("n_suppressed"),
-        F.when(F.col("n_item_ids").isNull(), F.lit("")).otherwise(F.col("item_ids")).alias("item_ids"),
+def suppressed_items(aligned: DataFrame) -> DataFrame:
+    """Number of suppressed items per run; `suppressed_rows` has the items."""
+    counts = suppressed_rows(aligned).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return aligned.select("run").distinct().join(counts, "run", "left").select(
+        "run", F.coalesce("n", F.lit(0)).alias("n_suppressed")
     )
 
 
@@ -154,11 +151,11 @@ def recovered_of_suppressed(aligned: DataFrame, attacked: DataFrame) -> DataFram
 
 
 def prompt_occurrence(
-    predictions: DataFrame, order: list[str], plain_rows: int = PLAIN_ROWS
+    predictions: DataFrame, order: list[str]
 ) -> DataFrame:
     """Accuracy by split and k-th prompt of an entity."""
     placed = with_position(
-        predictions, ["run", "split", "entity"], order, "_pos", plain_rows=plain_rows
+        predictions, ["run", "split", "entity"], order, "_pos"
     )
     return (
         placed.withColumn("occurrence", F.col("_pos") + 1)

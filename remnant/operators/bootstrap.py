@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from remnant.functions import fixed_values as V
 from remnant.functions import kernels as K
 from remnant.functions.common import hash_uniform
-from remnant.operators.ordering import PLAIN_ROWS, with_position
+from remnant.operators.ordering import with_position
 from remnant.operators.similarity import (
     PROFILE, _MOMENTS, _fields, _map, merge_moments, moments_to_cka, paired_moments,
 )
@@ -22,20 +22,19 @@ from remnant.operators.similarity import (
 SEED = V.BOOTSTRAP_SEED
 
 
-def indexed_units(units: DataFrame, unit: str, by: list[str] | None = None, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+def indexed_units(units: DataFrame, unit: str, by: list[str] | None = None) -> DataFrame:
     """Distinct units with their index in sorted order and their number."""
     by = by or []
     distinct = units.select(*by, unit).distinct()
-    return with_position(distinct, by, [unit], "unit_index", "n_units", plain_rows)
+    return with_position(distinct, by, [unit], "unit_index", "n_units")
 
 
 def draw_indices(
     units: DataFrame, unit: str, replicates: int, seed: int = SEED, by: list[str] | None = None,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """As many draws as there are units in each replicate: replicate, slot, unit_index."""
     by = by or []
-    slots = indexed_units(units, unit, by, plain_rows).select(
+    slots = indexed_units(units, unit, by).select(
         *by, F.col("unit_index").alias("slot"), "n_units",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )
@@ -45,20 +44,19 @@ def draw_indices(
 
 def draw_counts(
     units: DataFrame, unit: str, replicates: int, seed: int = SEED, by: list[str] | None = None,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """How often each unit is drawn: by, unit, replicate, w (units never drawn are absent)."""
     by = by or []
-    counts = draw_indices(units, unit, replicates, seed, by, plain_rows).groupBy(
+    counts = draw_indices(units, unit, replicates, seed, by).groupBy(
         *by, "replicate", "unit_index"
     ).agg(F.count(F.lit(1)).alias("w"))
-    names = indexed_units(units, unit, by, plain_rows).select(*by, "unit_index", unit)
+    names = indexed_units(units, unit, by).select(*by, "unit_index", unit)
     return counts.join(names, [*by, "unit_index"]).select(*by, unit, "replicate", "w")
 
 
 def _unit_weights(units: DataFrame, unit: str, replicates: int, seed: int, plain_rows: int) -> DataFrame:
     """One row per unit with its replicates and counts (at most `replicates` entries)."""
-    drawn = draw_counts(units, unit, replicates, seed, plain_rows=plain_rows)
+    drawn = draw_counts(units, unit, replicates, seed)
     lists = drawn.groupBy(unit).agg(F.collect_list(F.struct("replicate", "w")).alias("d"))
     return lists.select(
         unit,
@@ -69,7 +67,6 @@ def _unit_weights(units: DataFrame, unit: str, replicates: int, seed: int, plain
 
 def cka_replicates(
     pairs: DataFrame, unit: str, replicates: int, seed: int = SEED, by: list[str] | None = None,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Debiased CKA of every replicate: by, replicate, value.
 
@@ -77,7 +74,7 @@ def cka_replicates(
     moments are added up before the draws are applied.
     """
     by = by or PROFILE
-    weights = _unit_weights(pairs, unit, replicates, seed, plain_rows)
+    weights = _unit_weights(pairs, unit, replicates, seed)
     from_moments = unit != "item_id"
     rows = paired_moments(pairs, [*by, unit]) if from_moments else pairs.select(*by, unit, "x", "y")
     schema = T.StructType(
@@ -107,20 +104,19 @@ def percentile_interval(replicates: DataFrame, by: list[str], alpha: float = V.B
 
 
 def cka_bootstrap(pairs: DataFrame, unit: str, replicates: int, seed: int = SEED,
-                  alpha: float = V.BOOTSTRAP_ALPHA, by: list[str] | None = None,
-                  plain_rows: int = PLAIN_ROWS) -> DataFrame:
+                  alpha: float = V.BOOTSTRAP_ALPHA, by: list[str] | None = None) -> DataFrame:
     by = by or PROFILE
-    return percentile_interval(cka_replicates(pairs, unit, replicates, seed, by, plain_rows), by, alpha)
+    return percentile_interval(cka_replicates(pairs, unit, replicates, seed, by), by, alpha)
 
 
 def value_replicates(
     values: DataFrame, unit: str, value: str, replicates: int, seed: int = SEED,
-    by: list[str] | None = None, min_n: int = 4, plain_rows: int = PLAIN_ROWS,
+    by: list[str] | None = None, min_n: int = 4,
 ) -> DataFrame:
     """Replicate means of a scalar per unit; groups with fewer than min_n values are left out."""
     by = by or []
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    drawn = draw_counts(rows, unit, replicates, seed, by, plain_rows)
+    drawn = draw_counts(rows, unit, replicates, seed, by)
     out = drawn.join(rows.select(*by, unit, value), [*by, unit]).groupBy(*by, "replicate").agg(
         F.sum("w").alias("n"), (F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("value")
     )
@@ -128,9 +124,8 @@ def value_replicates(
 
 
 def value_bootstrap(values: DataFrame, unit: str, value: str, replicates: int, seed: int = SEED,
-                    by: list[str] | None = None, alpha: float = V.BOOTSTRAP_ALPHA, min_n: int = 4,
-                    plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    reps = value_replicates(values, unit, value, replicates, seed, by, min_n, plain_rows)
+                    by: list[str] | None = None, alpha: float = V.BOOTSTRAP_ALPHA, min_n: int = 4) -> DataFrame:
+    reps = value_replicates(values, unit, value, replicates, seed, by, min_n)
     return percentile_interval(reps, by or [], alpha)
 
 

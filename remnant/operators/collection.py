@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
 from remnant.functions import text as T
-from remnant.operators.ordering import joined_list
 from remnant.sources.documents import candidate_rows, flatten
 
 
@@ -116,18 +115,16 @@ def dedupe_richest(rows: DataFrame, metrics: list[str], position: str = "row_id"
     return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, *[F.col("b")[c].alias(c) for c in other])
 
 
-def aggregate_results(rows: DataFrame, metrics: list[str], max_items: int = 1000) -> DataFrame:
-    """Mean of each metric per data set and method, with the seeds and sources behind it.
+def aggregate_results(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """Mean of each metric per data set and method, with the numbers of seeds and sources.
 
-    Seed and source lists above max_items values are NULL; `result_sources` lists them all.
+    `result_sources` has the seeds and sources themselves.
     """
     keys = ["dataset", "method"]
-    means = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.avg(m).alias(m) for m in metrics]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(m).alias(m) for m in metrics],
+        F.count_distinct("seed").alias("n_seeds"), F.count_distinct("source_file").alias("n_source_files"),
     )
-    seeds = joined_list(rows, keys, "seed", "seeds", ",", max_items)
-    sources = joined_list(rows, keys, "source_file", "source_files", " | ", max_items)
-    return means.join(seeds, keys, "left").join(sources, keys, "left")
 
 
 def result_sources(rows: DataFrame) -> DataFrame:
@@ -140,13 +137,13 @@ def wide_table(agg: DataFrame, metrics: list[str], datasets: list[str] | None =
     cells = [
         F.max(F.when(F.col("dataset") == d, F.col(c))).alias(f"{d}__{c}")
         for d in datasets
-        for c in [*metrics, "n_rows", "seeds"]
+        for c in [*metrics, "n_rows", "n_seeds"]
     ]
     return agg.groupBy("method").agg(*cells)
 
 
 def coverage(agg: DataFrame, datasets: list[str] | None = None) -> DataFrame:
-    """Methods of each data set, methods present in all of them, and the overall verdict."""
+    """Number of methods of each data set and of all of them, and the overall verdict."""
     datasets = datasets or list(V.DATASET_ALIASES)
     present = agg.select("dataset", "method").distinct()
     everywhere = present.groupBy("method").agg(
@@ -161,13 +158,18 @@ def coverage(agg: DataFrame, datasets: list[str] | None = None) -> DataFrame:
         F.when(F.col("found") == 0, "FAIL")
         .when((F.col("found") < 2) | (F.col("n_in_all") == 0), "WARN").otherwise("PASS")
     )
-    names = joined_list(present, ["dataset"], "method", "methods")
+    names = present.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_methods"))
     base = agg.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
     return base.join(names, "dataset", "left").withColumns({"n_in_all": n_in_all, "found": found}).select(
-        "dataset", F.coalesce("n_methods", F.lit(0)).alias("n_methods"), "methods", "n_in_all", verdict.alias("verdict")
+        "dataset", F.coalesce("n_methods", F.lit(0)).alias("n_methods"), "n_in_all", verdict.alias("verdict")
     )
 
 
+def dataset_methods(agg: DataFrame) -> DataFrame:
+    """The methods behind `coverage`, one row each."""
+    return agg.select("dataset", "method").distinct()
+
+
 def source_inventory(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per file: matched, unmatched or unreadable, with its metric count."""
     matched = rows.groupBy("source_file").agg(F.max(metric_count(V.METRICS)).alias("metric_count"))

@@ -1,65 +1,25 @@
 """Positions, neighbours and ranks within a group, without putting a group into one task.
 
-Small inputs use a plain window.  Larger ones cut the sort key into ranges that hold about
-equal numbers of rows, count rows per (group, range), and add the counts of earlier ranges
-to the position inside the range.  A group holding most of the rows is thus spread over as
-many tasks as it has ranges.
+Rows are range-partitioned by (group, order), so that a group holding most of the rows fills as
+many ranges as it needs.  The rows with their range are stored once; then rows are counted per
+(group, range), and the counts of earlier ranges are added to the position inside the range.
+There is one path for all sizes; small inputs simply end up in one range.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from remnant.functions.common import let
-
-PLAIN_ROWS = 1_000_000  # a window over so few rows fits any task
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
 
+from remnant.sources.storage import materialize
 
-def _monotone(c: Column, dtype: T.DataType) -> Column:
-    """Number that never decreases when the value grows."""
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.encode(F.substring(c, 1, 6), "utf-8")), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
 
+def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the number of their range in the order of `keys`.
 
-def _range_column(df: DataFrame, key: str, plain_rows: int) -> Column | None:
-    """Range number of the sort key, or NULL when a plain window is enough.
-
-    The cut points are literals computed once, so every branch of the plan sees the same
-    ranges, also after a lost task is run again.
+    Stored, so that every branch of a plan, and a lost task that runs again, sees the same cuts.
     """
-    value = _monotone(F.col(key), df.schema[key].dataType)
-    n = df.count()
-    if n <= plain_rows:
-        return None
-    parts = min(MAX_RANGES, max(2, n // min(ROWS_PER_RANGE, max(1, plain_rows))))
-    cuts = df.select(
-        F.percentile_approx(value, [i / parts for i in range(1, parts)], 100 * parts)
-    ).first()[0]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return None
-    # Number of cut points <= value, in two steps: whole chunks first, then inside one chunk,
-    # so that a row is compared with about 2 * sqrt(cuts) of them.
-    step = math.isqrt(len(cuts)) + 1
-    ends = F.lit(cuts[step - 1 :: step]) if len(cuts) >= step else F.array().cast("array<double>")
-
-    def at_most(points: Column) -> Column:
-        return F.size(F.filter(points, lambda x: x <= value))
-
-    chunks = let(
-        at_most(ends), lambda k: k * step + at_most(F.slice(F.lit(cuts), k * step + 1, step))
-    )
-    return F.when(value.isNull(), F.lit(0)).otherwise(chunks)
+    return materialize(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
 
 
 def with_position(
@@ -68,18 +28,12 @@ def with_position(
     order: list[str],
     pos: str = "pos",
     total: str | None = None,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Zero-based position of each row in its group, and optionally the group size.
 
-    `order` must be a total order; its first column cuts the ranges.
+    `order` must be a total order.
     """
-    bucket = _range_column(df, order[0], plain_rows)
-    if bucket is None:
-        w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-        out = df.withColumn(pos, F.row_number().over(w.orderBy(*order)).cast("bigint") - 1)
-        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
-    cut = df.withColumn("_range", bucket)
+    cut = _ranged(df, [*group, *order])
     counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,13 +73,12 @@ def with_neighbor(
     take: dict[str, str],
     step: int = 1,
     wrap: bool = True,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Columns of the row `step` places further in its group; the last wraps to the first.
 
     The neighbour is found by an equality join on (group, position), so its keys are unique.
     """
-    placed = with_position(df, group, order, "_pos", "_size", plain_rows)
+    placed = with_position(df, group, order, "_pos", "_size")
     target = F.col("_pos") + step
     if wrap:
         target = F.pmod(target, F.col("_size"))
@@ -140,17 +93,11 @@ def with_neighbor(
 
 
 def with_average_rank(
-    df: DataFrame, group: list[str], value: str, rank: str, plain_rows: int = PLAIN_ROWS
+    df: DataFrame, group: list[str], value: str, rank: str
 ) -> DataFrame:
     """Average rank of ties, from counts of equal values (aggregated before any sort)."""
-    bucket = _range_column(df, value, plain_rows)
-    if bucket is None:
-        keys = group or [F.lit(0)]
-        place = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(rank, place + (ties - 1) / F.lit(2.0))
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    cut = counts.withColumn("_range", bucket)
+    cut = _ranged(counts, [*group, value])
     sums = cut.groupBy(*group, "_range").agg(F.sum("_ties").alias("_n"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     offsets = sums.select(
@@ -172,21 +119,3 @@ def with_average_rank(
         *group, value, (F.col("_before") + (F.col("_ties") + 1) / F.lit(2.0)).alias(rank)
     )
     return _null_safe_join(df, ranks, [*group, value])
-
-
-def joined_list(
-    df: DataFrame, group: list[str], value: str, name: str, separator: str = ",",
-    max_items: int = 1000,
-) -> DataFrame:
-    """Sorted distinct values per group as text, plus their number.
-
-    Groups with more than `max_items` values get NULL text: read their values from the
-    distinct rows instead, which are never collected into one row.
-    """
-    distinct = df.filter(F.col(value).isNotNull()).select(*group, value).distinct()
-    sizes = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    small = distinct.join(sizes.filter(F.col(f"n_{name}") <= max_items), group, "left_semi")
-    texts = small.groupBy(*group).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda v: v.cast("string")), separator).alias(name)
-    )
-    return sizes.join(texts, group, "left")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remnant.functions import kernels as K
-from remnant.operators.ordering import PLAIN_ROWS
 from remnant.operators.similarity import PROFILE, _fields, _map, mean_vector
 from remnant.operators.stats import correlate
 from remnant.sources.storage import materialize
@@ -173,7 +172,7 @@ def rdm(pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, b
 
 def rsa(
     pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = BLOCK,
-    p_values: bool = True, plain_rows: int = PLAIN_ROWS,
+    p_values: bool = True,
 ) -> DataFrame:
     """Spearman correlation of both distance matrices: by, n (pairs), rho, p."""
     by = by or PROFILE
@@ -182,6 +181,6 @@ def rsa(
         {"d_x": F.round("d_x", 12), "d_y": F.round("d_y", 12)}
     )
     # Stored once: ranking reads the distances several times.
-    out = correlate(materialize(d), "d_x", "d_y", by, p_values, plain_rows)
+    out = correlate(materialize(d), "d_x", "d_y", by, p_values)
     cols = [*by, "n", F.col("spearman_r").alias("rho")]
     return out.select(*cols, F.col("spearman_p").alias("p")) if p_values else out.select(*cols)

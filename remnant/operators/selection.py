@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from remnant.functions import fixed_values as V
 from remnant.functions import text as T
 from remnant.functions.common import hash_key
-from remnant.operators.ordering import PLAIN_ROWS, with_position
+from remnant.operators.ordering import with_position
 
 
 def _present(c: str) -> Column:
@@ -49,13 +49,13 @@ def valid_qas(qas: DataFrame) -> DataFrame:
 
 def spread_k_per_entity(
     qas: DataFrame, k: int, order: list[str], entity: str = "entity",
-    plain_rows: int = PLAIN_ROWS, drop_blank: bool = True,
+    drop_blank: bool = True,
 ) -> DataFrame:
     """k evenly spaced items per entity (integer positions i*(n-1)/(k-1)); all when n <= k."""
     rows = valid_qas(qas) if drop_blank else qas
     if k <= 0:
         return rows
-    placed = with_position(rows, [entity], order, "_pos", "_n", plain_rows)
+    placed = with_position(rows, [entity], order, "_pos", "_n")
     if k == 1:
         keep = F.col("_pos") == 0
     else:
@@ -68,11 +68,11 @@ def spread_k_per_entity(
 
 
 def identity_balanced(
-    qas: DataFrame, k: int, order: list[str], entity: str = "entity", plain_rows: int = PLAIN_ROWS
+    qas: DataFrame, k: int, order: list[str], entity: str = "entity"
 ) -> DataFrame:
     """k = 1: first question that mentions a name, else the first; otherwise evenly spread."""
     if k != 1:
-        return spread_k_per_entity(qas, k, order, entity, plain_rows, drop_blank=False)
+        return spread_k_per_entity(qas, k, order, entity, drop_blank=False)
     other = [c for c in qas.columns if c != entity]
     no_name = ~F.contains(T.norm_terms("question"), F.lit("name"))
     best = F.min_by(F.struct(*other), F.struct(no_name.alias("no_name"), *order))
@@ -171,10 +171,9 @@ def build_forget_retain(samples: DataFrame, files: DataFrame, max_rephrases: int
 
 def item_ids(
     items: DataFrame, order: list[str], by: list[str], entity: str = "entity",
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Stable id: entity and the position within the split, three digits or more."""
-    placed = with_position(items, by, order, "_pos", plain_rows=plain_rows)
+    placed = with_position(items, by, order, "_pos")
     number = F.col("_pos").cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return placed.withColumn(
@@ -184,8 +183,7 @@ def item_ids(
 
 def hash_shuffle(
     df: DataFrame, key: str, seed: int, epoch: int, by: list[str] | None = None,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Deterministic order of an epoch: `pos` by the hash of (seed + epoch, key)."""
     keyed = df.withColumn("_h", hash_key(seed + epoch, key))
-    return with_position(keyed, by or [], ["_h", key], "pos", plain_rows=plain_rows).drop("_h")
+    return with_position(keyed, by or [], ["_h", key], "pos").drop("_h")

@@ -45,7 +45,10 @@ def align_activations(acts: DataFrame, base_run, min_n: int | None = None) -> Da
         "component", "layer", "item_id", F.col("vec").alias("x")
     )
     runs = acts.filter(F.col("run") != base_run).withColumnRenamed("vec", "y")
-    pairs = runs.join(base, ["component", "layer", "item_id"]).filter(
+    base = base.withColumnsRenamed({c: f"_{c}" for c in ("component", "layer", "item_id")})
+    # Pooled vectors have no layer: NULL equals NULL there.
+    same = (F.col("component") == F.col("_component")) & F.col("layer").eqNullSafe(F.col("_layer")) & (F.col("item_id") == F.col("_item_id"))
+    pairs = runs.join(base, same).filter(
         F.size("x") == F.size("y")
     ).select("run", "component", "layer", "item_id", "entity", "split", "x", "y")
     if min_n is None:

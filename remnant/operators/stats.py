@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from remnant.functions import kernels
-from remnant.operators.ordering import PLAIN_ROWS, with_average_rank
+from remnant.operators.ordering import with_average_rank
 
 
 def _p_value():
@@ -49,11 +49,10 @@ def correlation_guard(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame
 
 def correlate(
     df: DataFrame, x: str, y: str, by: list[str], p_values: bool = True,
-    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Pearson and Spearman correlation with p values per group."""
-    ranked = with_average_rank(_pairs(df, x, y, by), by, "_x", "_rx", plain_rows)
-    ranked = with_average_rank(ranked, by, "_y", "_ry", plain_rows)
+    ranked = with_average_rank(_pairs(df, x, y, by), by, "_x", "_rx")
+    ranked = with_average_rank(ranked, by, "_y", "_ry")
     agg = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *_constant_sides(),
         _corr("_x", "_y").alias("_r"), _corr("_rx", "_ry").alias("_s"),
@@ -83,11 +82,11 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def correlation_grid(
-    residuals: DataFrame, recovery: DataFrame, plain_rows: int = PLAIN_ROWS, p_values: bool = True
+    residuals: DataFrame, recovery: DataFrame, p_values: bool = True
 ) -> DataFrame:
     """Correlation for every (component, attack): long residuals joined to long recovery."""
     joined = residuals.join(recovery, "entity")
-    return correlate(joined, "sim", "score", ["component", "attack"], p_values, plain_rows)
+    return correlate(joined, "sim", "score", ["component", "attack"], p_values)
 
 
 def trend_line(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

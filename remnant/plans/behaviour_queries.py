@@ -154,8 +154,7 @@ def a06(t: Tables):
     return A.flip_counts(_aligned(t))
 
 
-@register("a07_suppressed_items", _AL + """SELECT run, count(*) FILTER (WHERE hit) AS n_suppressed,
-CASE WHEN count(*) FILTER (WHERE hit) <= 1000 THEN coalesce(string_agg(item_key, ',' ORDER BY item_key) FILTER (WHERE hit), '') END AS item_ids
+@register("a07_suppressed_items", _AL + """SELECT run, count(*) FILTER (WHERE hit) AS n_suppressed
 FROM (SELECT *, split = 'forget' AND base_correct AND NOT method_correct AS hit FROM aligned) GROUP BY run""")
 def a07(t: Tables):
     return A.suppressed_items(_aligned(t))

@@ -14,7 +14,7 @@ from remnant.plans.views import Tables
 from remnant.sources import documents as D
 from remnant.sources import items as I
 from remnant.sources import sinks
-from remnant.sources.storage import new_dir, spread
+from remnant.sources.storage import new_dir
 
 METRICS3 = ["forget_accuracy", "retain_accuracy", "cnis"]
 
@@ -35,7 +35,7 @@ def docs(t: Tables):
         F.array(*[F.lit(i) for i in range(12)]).alias("long_list"),
     )
     text = F.when(k % 11 == 0, F.concat(F.lit("{broken "), k.cast("string"))).otherwise(F.to_json(body))
-    files = spread(t.table("orders"), "o_orderkey").select(
+    files = t.table("orders").select(
         F.concat(F.when(k % 2 == 0, "/runs/mllmu-real/").otherwise("/runs/unlok/"), k.cast("string"), F.lit(".json")).alias("source_file"),
         F.length(text).cast("bigint").alias("size_bytes"), text.alias("text"),
     )
@@ -228,7 +228,7 @@ _R = with_(S.RESULTS)
 DEDUP = """best AS (SELECT * FROM results_long QUALIFY row_number() OVER (PARTITION BY dataset, method, seed, source_file
   ORDER BY (CASE WHEN retain_accuracy IS NULL THEN 0 ELSE 1 END) + (CASE WHEN cnis IS NULL THEN 0 ELSE 1 END) DESC, row_id) = 1)"""
 AGG = f"""agg AS (SELECT dataset, method, count(*) AS n_rows, avg(forget_accuracy) AS fa, avg(retain_accuracy) AS ra, avg(cnis) AS cn, count(DISTINCT seed) AS n_seeds,
-  count(DISTINCT source_file) AS n_sources, string_agg(DISTINCT seed, ',' ORDER BY seed) AS seeds, string_agg(DISTINCT source_file, ' | ' ORDER BY source_file) AS source_files FROM best GROUP BY 1, 2)"""
+  count(DISTINCT source_file) AS n_sources FROM best GROUP BY 1, 2)"""
 
 
 def best(t: Tables):
@@ -240,14 +240,19 @@ def g02(t: Tables):
     return best(t)
 
 
-@register("g03_aggregate_results", with_(S.RESULTS, DEDUP, AGG) + f"SELECT dataset, method, n_rows, {r('fa')} AS forget_accuracy, {r('ra')} AS retain_accuracy, {r('cn')} AS cnis, n_seeds, seeds, n_sources AS n_source_files, source_files FROM agg")
+@register("g03_aggregate_results", with_(S.RESULTS, DEDUP, AGG) + f"SELECT dataset, method, n_rows, {r('fa')} AS forget_accuracy, {r('ra')} AS retain_accuracy, {r('cn')} AS cnis, n_seeds, n_sources AS n_source_files FROM agg")
 def g03(t: Tables):
     return G.aggregate_results(best(t), METRICS3)
 
 
+@register("g03_result_sources", with_(S.RESULTS, DEDUP) + "SELECT DISTINCT dataset, method, seed, source_file FROM best")
+def g03_sources(t: Tables):
+    return G.result_sources(best(t))
+
+
 _WIDE = ", ".join(
     f"{r(f'max({c}) FILTER (WHERE dataset = {chr(39)}{d}{chr(39)})')} AS {d}__{n}" if c in ("fa", "ra", "cn") else f"max({c}) FILTER (WHERE dataset = '{d}') AS {d}__{n}"
-    for d in V.DATASET_ALIASES for c, n in (("fa", "forget_accuracy"), ("ra", "retain_accuracy"), ("cn", "cnis"), ("n_rows", "n_rows"), ("seeds", "seeds"))
+    for d in V.DATASET_ALIASES for c, n in (("fa", "forget_accuracy"), ("ra", "retain_accuracy"), ("cn", "cnis"), ("n_rows", "n_rows"), ("n_seeds", "n_seeds"))
 )
 
 
@@ -256,12 +261,17 @@ def g04(t: Tables):
     return G.wide_table(G.aggregate_results(best(t), METRICS3), METRICS3)
 
 
-@register("g05_coverage", with_(S.RESULTS, DEDUP, AGG) + """SELECT dataset, count(*) AS n_methods, string_agg(method, ',' ORDER BY method) AS methods,
+@register("g05_coverage", with_(S.RESULTS, DEDUP, AGG) + """SELECT dataset, count(*) AS n_methods,
 (SELECT count(*) FROM (SELECT method FROM agg GROUP BY method HAVING count(*) = 3)) AS n_in_all, 'PASS' AS verdict FROM agg GROUP BY dataset""")
 def g05(t: Tables):
     return G.coverage(G.aggregate_results(best(t), METRICS3))
 
 
+@register("g05_dataset_methods", with_(S.RESULTS, DEDUP) + "SELECT DISTINCT dataset, method FROM best")
+def g05_methods(t: Tables):
+    return G.dataset_methods(G.aggregate_results(best(t), METRICS3))
+
+
 @register("g13_top_sources", _R + "SELECT source_file, count(*) AS n FROM results_long GROUP BY 1 ORDER BY n DESC, source_file LIMIT 20")
 def g13(t: Tables):
     return Q.top_sources(t.results_long(), 20)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="remnant-")
-    return path
+    """Folder named by spark.checkpoint.dir.
+
+    Where it is unset, a session within one process makes a temporary folder; a cluster must
+    name one, since executors do not see each other's disks.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="remnant-")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -44,13 +51,3 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder that `stored` made, once nothing reads it any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give an input of fewer splits than cores one partition per core.
-
-    Only inputs of a few splits are shuffled, so the cost is bounded; larger inputs, which
-    already have enough splits, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

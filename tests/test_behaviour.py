@@ -45,7 +45,7 @@ def test_flips_cover_all_categories(spark):
     assert all(got["m", c] == 1 for c in names)
     assert got["n", "still_remembered"] == 1 and got["n", "successful_forgetting"] == 0
     s = {r.run: r for r in A.suppressed_items(al).collect()}
-    assert (s["m"].n_suppressed, s["m"].item_ids, s["n"].n_suppressed, s["n"].item_ids) == (1, "TrueFalse", 0, "")
+    assert (s["m"].n_suppressed, s["n"].n_suppressed) == (1, 0)
     att = spark.createDataFrame([("m", "TrueFalse", True), ("m", "TrueFalse", False)], "run string, item_key string, correct boolean")
     r = {x.run: (x.n_suppressed, x.n_recovered) for x in A.recovered_of_suppressed(al, att).collect()}
     assert r == {"m": (1, 1), "n": (0, 0)}
