@@ -157,13 +157,16 @@ def response_overlap(predictions: DataFrame) -> DataFrame:
     """Share of common items with identical normalized response for each pair of runs.
 
     Items hold one row per run, so the equality join on the item multiplies rows by the
-    number of runs only.
+    number of runs only.  A key that occurs in two splits is two items.  Responses travel as a
+    hash of their normalized text.
     """
-    rows = predictions.select("run", "item_key", T.norm_answer("response").alias("r"))
-    a = rows.select(F.col("run").alias("run_a"), "item_key", F.col("r").alias("ra"))
-    b = rows.select(F.col("run").alias("run_b"), "item_key", F.col("r").alias("rb"))
+    key = ["split", "item_key"] if "split" in predictions.columns else ["item_key"]
+    norm = T.norm_answer("response")
+    rows = predictions.select("run", *key, F.when(norm.isNotNull(), F.md5(norm)).alias("r"))
+    a = rows.select(F.col("run").alias("run_a"), *key, F.col("r").alias("ra"))
+    b = rows.select(F.col("run").alias("run_b"), *key, F.col("r").alias("rb"))
     half = (
-        a.join(b, "item_key")
+        a.join(b, key)
         .filter(F.col("run_a") <= F.col("run_b"))
         .groupBy("run_a", "run_b")
         .agg(
