@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,67 +37,93 @@ def clean_generated(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, _WS, " "))
 
 
-@lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Characters of the basic plane whose compatibility form contains ASCII letters or digits.
+class _Table(NamedTuple):
+    """A replacement of single characters, generated from the Unicode tables of all planes."""
 
-    Generated from the Unicode tables: one-to-one foldings for `translate`, and the rest
-    (ligatures, fractions, circled numbers) as a character -> text map.
-    """
-    single_from, single_to, multi = [], [], {}
-    for code in range(0x80, 0x10000):
-        ch = chr(code)
-        if 0xD800 <= code <= 0xDFFF or unicodedata.category(ch) == "Mn":
+    src: str  # one-to-one, then the characters that go
+    dst: str
+    multi: dict[str, str]  # the rest: ligatures, fractions, enclosed numbers
+
+
+def _table(replacement) -> _Table:
+    """Table of a function from a character to its text, or to None where the character stays."""
+    src, dst, gone, multi = [], [], [], {}
+    for code in range(0x110000):
+        if 0xD800 <= code <= 0xDFFF:
             continue
-        form = unicodedata.normalize("NFKD", ch)
-        base = "".join(x for x in form if unicodedata.category(x) != "Mn")
-        kept = "".join(x if x in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for x in base)
-        if not kept.strip():
+        ch = chr(code)
+        text = replacement(ch)
+        if text is None or text == ch:
             continue
-        if len(kept) == 1:
-            single_from.append(ch)
-            single_to.append(kept)
+        if not text:
+            gone.append(ch)
+        elif len(text) == 1:
+            src.append(ch)
+            dst.append(text)
         else:
-            multi[ch] = kept
-    return "".join(single_from), "".join(single_to), multi
+            multi[ch] = text
+    return _Table("".join(src + gone), "".join(dst), multi)
 
 
-def fold_ascii(c: Column) -> Column:
-    """Lower-cased text with accents and compatibility forms folded; marks are dropped."""
-    src, dst, multi = _fold_tables()
-    # Expanding characters are rare: look up only those that occur in the row.
-    pattern = F.lit(f"({_char_class(multi)})")
-    table = F.create_map(*[x for k, v in multi.items() for x in (F.lit(k), F.lit(v))])
+def _without_marks(text: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", text) if unicodedata.category(x) != "Mn")
+
 
-    def expand(text: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
-        replaced = F.aggregate(
-            found, text, lambda acc, ch: F.replace(acc, ch, F.element_at(table, ch))
-        )
-        return F.when(text.rlike(_EXPANDING), replaced).otherwise(text)
+def _ascii_form(ch: str) -> str | None:
+    base = _without_marks(ch)
+    kept = "".join(x if x in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for x in base)
+    return kept if kept.strip() or not base else None
 
-    def fold(text: Column) -> Column:
-        folded = F.translate(F.regexp_replace(expand(text), r"\p{Mn}+", ""), src, dst)
-        return F.when(text.rlike("[^\\x00-\\x7f]"), folded).otherwise(text)
 
-    return let(F.lower(c), fold)
+@lru_cache(maxsize=1)
+def _fold_table() -> _Table:
+    """Compatibility forms with small ASCII letters or digits; the others never matter to a normalizer."""
+    return _table(_ascii_form)
 
 
-# Where the expanding characters lie; a cheap test before the exact one.
-_EXPANDING = "[\u00bc-\u00be\u0132-\uffff]"
+@lru_cache(maxsize=1)
+def _casefold_table() -> _Table:
+    return _table(str.casefold)
+
+
+@lru_cache(maxsize=1)
+def _accent_table() -> _Table:
+    """All compatibility forms without marks but those of Hangul syllables, which are computed."""
+    return _table(lambda ch: None if "\uac00" <= ch <= "\ud7a3" else _without_marks(ch))
 
 
-def _char_class(chars) -> str:
-    """Regular-expression class of the characters, neighbours merged into ranges."""
+def _char_class(chars, gap: int = 1) -> str:
+    """Regular-expression class of the characters; those at most `gap` apart become one range."""
     codes, parts, start = sorted(map(ord, chars)), [], None
     for i, code in enumerate(codes):
         start = code if start is None else start
-        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+        if i + 1 == len(codes) or codes[i + 1] > code + gap:
             parts.append(f"\\x{{{start:x}}}-\\x{{{code:x}}}")
             start = None
     return "[" + "".join(parts) + "]"
 
 
+def _replaced(text: Column, table: _Table) -> Column:
+    """Text with every character of the table replaced.
+
+    Expanding characters are rare: a coarse class tests for them, and only those that occur in
+    the row are looked up.
+    """
+    forms = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.multi.items())), F.lit("\x02"), F.lit("\x01"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_char_class(table.multi)})"), F.lit(1)))
+    expanded = F.aggregate(found, text, lambda acc, ch: F.replace(acc, ch, F.element_at(forms, ch)))
+    wide = F.when(text.rlike(_char_class(table.multi, gap=64)), expanded).otherwise(text)
+    return F.translate(wide, table.src, table.dst)
+
+
+_NOT_ASCII = "[^\\x00-\\x7f]"
+
+
+def fold_ascii(c: Column) -> Column:
+    """Lower-cased text with accents and compatibility forms folded; marks are dropped."""
+    return let(F.lower(c), lambda t: F.when(t.rlike(_NOT_ASCII), _replaced(t, _fold_table())).otherwise(t))
+
+
 def norm_compact(c: Column | str) -> Column:
     """Letters and digits only, no spaces left; a match may therefore cross word borders."""
     return F.regexp_replace(fold_ascii(clean_generated(c)), "[^a-z0-9]+", "")
@@ -116,7 +143,8 @@ def words_text(c: Column | str) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding, which unlike lower case never looks at neighbours."""
+    return let(c, lambda t: F.when(t.rlike(_NOT_ASCII), _replaced(t, _casefold_table())).otherwise(F.lower(t)))
 
 
 def norm_token(c: Column | str) -> Column:
@@ -162,21 +190,26 @@ def word_count(c: Column | str) -> Column:
 
 
 def accent_free(c: Column) -> Column:
-    """Canonical text without combining marks, letter case kept."""
-    src, dst = _accent_table()
-    return F.regexp_replace(F.translate(c, src, dst), r"\p{Mn}+", "")
+    """Compatibility form without combining marks, letter case kept."""
 
+    def plain(text: Column) -> Column:
+        syllables = F.array_distinct(F.regexp_extract_all(text, F.lit("([\uac00-\ud7a3])"), F.lit(1)))
+        spelled = F.aggregate(syllables, text, lambda acc, ch: F.replace(acc, ch, _jamo(ch)))
+        return _replaced(F.when(text.rlike("[\uac00-\ud7a3]"), spelled).otherwise(text), _accent_table())
 
-@lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    src, dst = [], []
-    for code in range(0xC0, 0x2000):
-        form = unicodedata.normalize("NFKD", chr(code))
-        base = "".join(x for x in form if unicodedata.category(x) != "Mn")
-        if len(base) == 1 and base != chr(code):
-            src.append(chr(code))
-            dst.append(base)
-    return "".join(src), "".join(dst)
+    return let(c, lambda t: F.when(t.rlike(_NOT_ASCII), plain(t)).otherwise(t))
+
+
+def _jamo(syllable: Column) -> Column:
+    """Letters of a Hangul syllable: 19 leads, 21 vowels and 28 tails, of which the first is none."""
+    at = F.ascii(syllable) - 0xAC00
+    row = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
+    tail = at % 28
+    return F.concat(
+        F.substring(row(0x1100, 19), F.floor(at / 588).cast("int") + 1, F.lit(1)),
+        F.substring(row(0x1161, 21), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)),
+        F.when(tail > 0, F.substring(row(0x11A8, 27), tail, F.lit(1))).otherwise(""),
+    )
 
 
 def build_aliases(name: Column | str) -> Column:
