@@ -64,13 +64,13 @@ def _leaf_value(names: list[str]) -> Column:
     return F.min_by(F.when(hit, F.col("value")), F.when(hit, F.struct(F.length("key"), "key")))
 
 
-def collect_rows(docs: DataFrame, max_depth: int = 16, strict_seed: bool = False) -> DataFrame:
+def collect_rows(docs: DataFrame, strict_seed: bool = False) -> DataFrame:
     """Result rows of the documents: dataset, method, seed, source_file, container, metrics.
 
     One pass over the documents and one aggregation of their leaves per row.
     """
     keys = ["source_file", "row_id", "container_key"]
-    leaves = flatten(candidate_rows(docs), max_depth=max_depth, keep=keys)
+    leaves = flatten(candidate_rows(docs), keep=keys)
     named = _numbered(leaves)
     label = F.col("leaf").isin(*V.DATASET_KEYS, *V.METHOD_KEYS, *V.SEED_KEYS)
     named = named.withColumn("leaf", T.norm_token(F.substring_index("key", ".", -1)))

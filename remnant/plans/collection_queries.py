@@ -60,7 +60,7 @@ LEAVES = CANDIDATES + """, leaves AS (SELECT source_file, c.row_id, l.key, CASE
 
 @register("s07_flatten", with_(LEAVES) + "SELECT source_file, row_id, key, value FROM leaves UNION ALL SELECT source_file, 'results[0]', 'forget_acc', 'x' FROM docs WHERE ok")
 def s07(t: Tables):
-    f = D.flatten(D.candidate_rows(docs(t)), max_depth=4)
+    f = D.flatten(D.candidate_rows(docs(t)))
     # The price leaf is compared by presence: engines print doubles differently.
     price = (F.col("row_id") == "results[0]") & (F.col("key") == "forget_acc")
     return f.select("source_file", "row_id", "key", F.when(price, "x").otherwise(F.col("value")).alias("value"))
@@ -75,21 +75,21 @@ UNION ALL SELECT source_file, 'results[1]', 'overall_accuracy', 0.25, 'forget_ac
 UNION ALL SELECT source_file, 'methods.ga', 'cka_language', 0.5, 'lb_cka', 100 FROM docs WHERE ok
 UNION ALL SELECT source_file, '$', 'cka_language', 0.5, 'methods_ga_lb_cka', 90 FROM docs WHERE ok)""")
 def g01(t: Tables):
-    return G.extract_metrics(D.flatten(D.candidate_rows(docs(t)), max_depth=4))
+    return G.extract_metrics(D.flatten(D.candidate_rows(docs(t))))
 
 
 @register("s06_collect_rows", with_(OK) + f"""SELECT CASE WHEN k % 2 = 0 THEN 'mllmu_real' ELSE 'unlok_vqa' END AS dataset, c.method, CAST(NULL AS BIGINT) AS seed, source_file, c.row_id,
 CASE c.method WHEN 'npo' THEN {r('fa')} WHEN 'graddiff' THEN 0.25::DOUBLE END AS forget_accuracy, CASE c.method WHEN 'npo' THEN {r('pn / 100.0')} END AS retain_accuracy, CASE c.method WHEN 'ga' THEN 0.5::DOUBLE END AS cka_language
 FROM docs, (VALUES ('npo', 'results[0]'), ('graddiff', 'results[1]'), ('ga', 'methods.ga')) c(method, row_id) WHERE ok""")
 def collected(t: Tables):
-    rows = G.collect_rows(docs(t), max_depth=4)
+    rows = G.collect_rows(docs(t))
     return rows.select("dataset", "method", "seed", "source_file", "row_id", "forget_accuracy", "retain_accuracy", "cka_language")
 
 
 @register("g06_source_inventory", with_(OK) + "SELECT source_file, CASE WHEN ok THEN 'matched' ELSE 'json_read_error' END AS status, CASE WHEN ok THEN 3 ELSE 0 END AS metric_count FROM docs")
 def g06(t: Tables):
     d = docs(t)
-    return G.source_inventory(d, G.collect_rows(d, max_depth=4)).select("source_file", "status", "metric_count")
+    return G.source_inventory(d, G.collect_rows(d)).select("source_file", "status", "metric_count")
 
 
 @register("s04_unwrap_records", """SELECT '/runs/' || CAST(o_orderkey AS VARCHAR) AS source_file, i AS n, CASE WHEN o_orderkey % 3 = 2 THEN 'key' || CAST(i AS VARCHAR) END AS source_key
@@ -123,7 +123,7 @@ def probe_docs(t: Tables):
 
 @register("s08_find_records", "SELECT CAST(doc_id AS VARCHAR) AS source_file, 'by_relation.probes[0]' AS json_path, source AS entity, lang AS relation, CAST(doc_id AS VARCHAR) AS label, md5(text) AS response, '[\"' || lang || '\",\"' || source || '\"]' AS aliases FROM documents WHERE doc_id % 7 <> 0")
 def s08(t: Tables):
-    found = D.find_records(probe_docs(t), max_depth=6)
+    found = D.find_records(probe_docs(t))
     return found.select("source_file", "json_path", "entity", "relation", "label", F.md5("response").alias("response"), "aliases")
 
 

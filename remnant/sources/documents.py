@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from remnant.functions import fixed_values as V
 from remnant.functions.common import as_col, let
-
-MAX_DEPTH = 16
+from remnant.sources import json_walk
 
 
 # -- reading ---------------------------------------------------------------------------
@@ -159,61 +158,18 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
     ).filter(kind(F.col("row")) == "object")
 
 
-def _with_kind(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("kind", kind(F.col("value")))
-
-
-def _open_level(nodes: DataFrame, keep: list[str], inner: Column) -> DataFrame:
-    """Replace each inner node by its children; other nodes stay as they are.
-
-    The kind is determined once, when a node first appears.
-    """
-    cols = [*keep, "path", "value", "kind", "_inner"]
-    marked = nodes.withColumn("_inner", inner)
-    rows = _explode(marked, F.when(F.col("_inner"), F.col("value")), cols)
-    opened = F.col("_inner")
-    name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
-        F.col("path") == "", F.col("key")
-    ).otherwise(F.concat("path", F.lit("."), "key"))
-    return rows.filter(~opened | F.col("child").isNotNull()).select(
-        *keep, F.when(opened, name).otherwise(F.col("path")).alias("path"),
-        F.when(opened, F.col("child")).otherwise(F.col("value")).alias("value"),
-        F.when(opened, kind(F.col("child"))).otherwise(F.col("kind")).alias("kind"),
-    )
-
-
-def _bounded(inner: Column, max_depth: int) -> Column:
-    """True for finished nodes; deeper nesting than max_depth fails instead of being cut off."""
-    return F.when(inner, F.raise_error(F.lit(f"document nested deeper than {max_depth} levels")).isNull()).otherwise(True)
-
-
-def flatten(
-    rows: DataFrame, max_list: int = 10, max_depth: int = MAX_DEPTH, keep: list[str] | None = None
-) -> DataFrame:
+def flatten(rows: DataFrame, max_list: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Leaves by dotted path: scalars, and lists of at most max_list scalars as JSON text.
 
-    One pass: each level opens the objects of the level before, in the same task.
     Output: the kept columns (source_file, row_id), key, value, type.
     """
     keep = keep or ["source_file", "row_id"]
-    nodes = _with_kind(rows.select(*keep, F.lit("").alias("path"), F.col("row").alias("value")))
-    is_object = F.col("kind") == "object"
-    for _ in range(max_depth):
-        nodes = _open_level(nodes, keep, is_object)
-    elements = F.try_variant_get("value", "$", "array<variant>")
-    short = (F.size(elements) <= max_list) & F.forall(
-        elements, lambda e: F.coalesce(~kind(e).isin("object", "array"), F.lit(True))
-    )
-    is_list = F.col("kind") == "array"
-    text = F.when(is_list, F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
-    return nodes.filter(_bounded(is_object, max_depth)).filter(~is_list | short).select(
-        *keep, F.col("path").alias("key"), text.alias("value"), F.col("kind").alias("type")
-    )
+    found = rows.select(*keep, F.explode(json_walk.leaves_udf(max_list)(F.to_json("row"))).alias("leaf"))
+    return found.select(*keep, "leaf.key", "leaf.value", "leaf.type")
 
 
 def find_records(
-    docs: DataFrame, key_aliases: dict[str, list[str]] | None = None,
-    required: list[str] | None = None, max_depth: int = MAX_DEPTH,
+    docs: DataFrame, key_aliases: dict[str, list[str]] | None = None, required: list[str] | None = None
 ) -> DataFrame:
     """Every nested object that has the required fields under one of their aliases.
 
@@ -221,33 +177,9 @@ def find_records(
     """
     aliases = key_aliases or V.PROBE_RECORD_KEYS
     required = required or ["entity", "relation", "label", "response"]
-    keep = ["source_file", "seen"]
-    nodes = _with_kind(
-        docs.filter(F.col("doc").isNotNull()).select(
-            "source_file", F.lit(False).alias("seen"), F.lit("").alias("path"), F.col("doc").alias("value")
-        )
-    )
-    container = ~F.col("seen") & F.col("kind").isin("object", "array")
-    # A container appears twice: once to be looked at, once to be opened on the next level.
-    copies = F.when(container, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    for _ in range(max_depth):
-        nodes = nodes.select("source_file", "path", "value", "kind", F.explode(copies).alias("seen"))
-        nodes = _open_level(nodes, keep, ~F.col("seen"))
-    nodes = nodes.filter(_bounded(container, max_depth)).filter(F.col("kind") == "object")
-    fields = nodes.select(
-        "source_file", F.col("path").alias("json_path"),
-        *[F.coalesce(*[_get("value", k) for k in keys]).alias(n) for n, keys in aliases.items()],
-    )
-    for name in required:
-        fields = fields.filter(F.col(name).isNotNull() & (kind(F.col(name)) != "void"))
-    return fields.select(
-        "source_file", "json_path",
-        *[
-            F.when(kind(F.col(n)).isin("array", "object"), F.to_json(n))
-            .otherwise(F.try_variant_get(n, "$", "string")).alias(n)
-            for n in aliases
-        ],
-    )
+    walk = json_walk.records_udf(aliases, required)
+    found = docs.filter(F.col("doc").isNotNull()).select("source_file", F.explode(walk(F.to_json("doc"))).alias("found"))
+    return found.select("source_file", "found.json_path", *[F.col("found")[n].alias(n) for n in aliases])
 
 
 def read_entity_values(docs: DataFrame) -> DataFrame:

@@ -70,16 +70,29 @@ def test_unwrap(spark):
 def test_flatten_and_depth(spark):
     d = docs(spark, {"a": {"b": [1, "x", None], "c": {"d": 1.5}}, "long": list(range(11)), "nested": [{"z": 1}], "t": True, "n": None, "empty": {}})
     rows = D.candidate_rows(d)
-    got = {r.key: (r.value, r.type) for r in D.flatten(rows, max_depth=3).collect()}
+    got = {r.key: (r.value, r.type) for r in D.flatten(rows).collect()}
     assert set(got) == {"a.b", "a.c.d", "t", "n"} and got["t"] == ("true", "boolean") and got["n"][0] is None
-    with pytest.raises(Exception, match="nested deeper"):
-        D.flatten(rows, max_depth=1).collect()
+
+
+def test_depth_has_no_limit(spark):
+    leaf = {"name": "e", "property": "P1", "label": "L", "output": "r"}
+    deep = leaf
+    for i in range(60):
+        deep = {"k": deep} if i % 2 else [deep]
+    rows = D.candidate_rows(docs(spark, {"x": 1, "a": {"k": {"k": {"k": 2.50}}}}, {"d": deep}))
+    assert {r.key: r.value for r in D.flatten(rows).collect() if r.key in ("x", "a.k.k.k")} == {"x": "1", "a.k.k.k": "2.5"}
+    nested = 1
+    for _ in range(60):
+        nested = {"k": nested}
+    assert [r.key for r in D.flatten(D.candidate_rows(docs(spark, nested))).collect()] == [".".join(["k"] * 60)]
+    found = D.find_records(docs(spark, {"d": deep})).collect()
+    assert [r.entity for r in found] == ["e"] and found[0].json_path.count("[0]") == 30
 
 
 def test_find_records(spark):
     probe = {"name": "e", "property": "P1", "label": "L", "output": "r", "aliases": ["x"], "score": 0.5}
     d = docs(spark, {"outer": {"list": [probe, {"name": "no"}], "deep": {**probe, "inner": probe}}}, {**probe, "output": None})
-    got = {r.json_path: r for r in D.find_records(d, max_depth=6).collect()}
+    got = {r.json_path: r for r in D.find_records(d).collect()}
     assert set(got) == {"outer.list[0]", "outer.deep", "outer.deep.inner"}
     r = got["outer.list[0]"]
     assert (r.entity, r.relation, r.label, r.response, r.aliases, r.score) == ("e", "P1", "L", "r", '["x"]', "0.5")
@@ -112,7 +125,8 @@ def test_scan_and_collect(spark, tmp_path):
     assert G.unmatched(G.source_inventory(d, rows)).count() == 2
     agg = G.aggregate_results(G.dedupe_richest(rows, G.V.METRICS), G.V.METRICS)
     cover = {r.dataset: r for r in G.coverage(agg).collect()}
-    assert cover["unlok_vqa"].methods == "ga,npo" and cover["mllmu_real"].verdict == "PASS" and cover["mllmu_real"].n_in_all == 1
+    assert {r.method for r in G.dataset_methods(agg).collect() if r.dataset == "unlok_vqa"} == {"ga", "npo"}
+    assert cover["unlok_vqa"].n_methods == 2 and cover["mllmu_real"].verdict == "PASS" and cover["mllmu_real"].n_in_all == 1
     wide = {r.method: r for r in G.wide_table(agg, G.V.METRICS).collect()}
     assert wide["npo"]["mllmu_bench__forget_accuracy"] == 0.125 and wide["ga"]["mllmu_real__n_rows"] is None
     empty = G.coverage(agg.filter("false")).collect()
