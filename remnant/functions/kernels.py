@@ -509,3 +509,10 @@ def nfkd_series(s):
     import unicodedata
 
     return s.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def norm_token(text):
+    """The rule of text.norm_token for a single text."""
+    import re
+
+    return re.sub("[^a-z0-9]+", "_", text.casefold()).strip("_")

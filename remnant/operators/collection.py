@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from remnant.functions import fixed_values as V
+from remnant.functions import kernels
 from remnant.functions import text as T
 from remnant.sources.documents import candidate_rows, flatten
 
 
-def _leaf_score(key: Column, aliases: list[str]) -> Column:
+def leaf_score(key: str, aliases: list[str]) -> int:
     """100 for an equal key, 90 for the suffix `_alias`, 50 for a substring, else 0."""
-    scores = []
-    for a in aliases:
-        name = a.replace("-", "_")
-        scores.append(
-            F.when(key == name, 100)
-            .when(F.endswith(key, F.lit(f"_{name}")), 90)
-            .when(F.contains(key, F.lit(name)), 50)
-            .otherwise(0)
-        )
-    return F.greatest(*scores) if len(scores) > 1 else scores[0]
-
-
-_ANY_ALIAS = "|".join(a.replace("-", "_") for al in V.METRIC_ALIASES.values() for a in al)
+    names = [a.replace("-", "_") for a in aliases]
+    if key in names:
+        return 100
+    if any(key.endswith("_" + n) for n in names):
+        return 90
+    return 50 if any(n in key for n in names) else 0
+
+
+_NAMED = (
+    StructType().add("nkey", StringType()).add("leaf", StringType()).add("scores", ArrayType(IntegerType()))
+)
+
+
+@arrow_udf(_NAMED)
+def _named(keys: pa.Array) -> pa.Array:
+    """Normalized key and last name, and a score by metric; once per distinct key of a batch."""
+    coded = keys.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    nkeys = [kernels.norm_token(k) for k in names]
+    scores = [[leaf_score(k, al) for al in V.METRIC_ALIASES.values()] for k in nkeys]
+    columns = [
+        pa.array(nkeys, pa.string()), pa.array([kernels.norm_token(k.rsplit(".", 1)[-1]) for k in names], pa.string()),
+        pa.array(scores, pa.list_(pa.int32())),
+    ]
+    return pa.StructArray.from_arrays(columns, ["nkey", "leaf", "scores"]).take(coded.indices)
 
 
 def _numbered(leaves: DataFrame) -> DataFrame:
+    """leaves with nkey, leaf, scores and number."""
+    # Called non-deterministic, so that a later filter on its result doesn't run it again.
     number = F.when(F.col("type") != "boolean", T.parse_number("value"))
-    return leaves.withColumns({"nkey": T.norm_token("key"), "number": number})
+    return leaves.select("*", number.alias("number"), _named.asNondeterministic()(F.col("key")).alias("_n")).select(
+        *leaves.columns, "number", "_n.*"
+    )
 
 
 def extract_metrics(leaves: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -38,12 +58,10 @@ def extract_metrics(leaves: DataFrame, keys: list[str] | None = None) -> DataFra
     The chosen key and its score are kept, so that weak substring matches stay visible.
     """
     keys = keys or ["source_file", "row_id"]
-    named = _numbered(leaves).filter(F.col("number").isNotNull() & F.col("nkey").rlike(_ANY_ALIAS))
-    scored = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), _leaf_score(F.col("nkey"), al).alias("score"))
-            for m, al in V.METRIC_ALIASES.items()
-        ]
+    named = _numbered(leaves).filter(F.col("number").isNotNull())
+    scored = F.transform(
+        F.array(*[F.lit(m) for m in V.METRIC_ALIASES]),
+        lambda m, i: F.struct(m.alias("metric"), F.get("scores", i).alias("score")),
     )
     hits = named.select(
         *keys, "nkey", "number", F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("s")
@@ -71,19 +89,16 @@ def collect_rows(docs: DataFrame, strict_seed: bool = False) -> DataFrame:
     """
     keys = ["source_file", "row_id", "container_key"]
     leaves = flatten(candidate_rows(docs), keep=keys)
-    named = _numbered(leaves)
     label = F.col("leaf").isin(*V.DATASET_KEYS, *V.METHOD_KEYS, *V.SEED_KEYS)
-    named = named.withColumn("leaf", T.norm_token(F.substring_index("key", ".", -1)))
     # Only numbers under a known name and label leaves take part in the aggregation.
-    named = named.filter(label | (F.col("number").isNotNull() & F.col("nkey").rlike(_ANY_ALIAS)))
-    named = named.withColumns(
-        {f"_s_{m}": F.when(F.col("number").isNotNull(), _leaf_score(F.col("nkey"), al)) for m, al in V.METRIC_ALIASES.items()}
-    )
+    metric = F.col("number").isNotNull() & (F.array_max("scores") > 0)
+    named = _numbered(leaves).filter(label | metric)
+    place = {m: i for i, m in enumerate(V.METRIC_ALIASES)}
 
     def best(metric: str) -> Column:
-        score = F.col(f"_s_{metric}")
+        score = F.get("scores", F.lit(place[metric]))
         rank = F.struct(-score, F.length("nkey"), F.col("nkey"), F.col("number"))
-        return F.min_by("number", F.when(score > 0, rank)).alias(metric)
+        return F.min_by("number", F.when((score > 0) & F.col("number").isNotNull(), rank)).alias(metric)
 
     wide = named.groupBy(*keys).agg(
         _leaf_value(V.DATASET_KEYS).alias("d"), _leaf_value(V.METHOD_KEYS).alias("m"),
