@@ -83,12 +83,12 @@ def t12(t: Tables):
     )
 
 
-_TPL = ", ".join(f"({i}, '{q}')" for i, q in enumerate(V.REPHRASE_TEMPLATES[:7]))
+_TPL = ", ".join(f"({i}, '{q}')" for i, q in enumerate(V.REPHRASE_TEMPLATES))
 
 
 @register("t13_rephrase_templates", f"SELECT entity, i AS template_index, replace(q, '{{}}', entity) AS question FROM (SELECT DISTINCT p_name AS entity FROM part), (VALUES {_TPL}) v(i, q)")
 def t13(t: Tables):
-    return T.rephrase_templates(t.table("part").select(F.col("p_name").alias("entity")).distinct(), n=7)
+    return T.rephrase_templates(t.table("part").select(F.col("p_name").alias("entity")).distinct(), n=len(V.REPHRASE_TEMPLATES))
 
 
 RELATIONS = [*V.PROBE_TEMPLATES, "P999"]
