@@ -54,7 +54,7 @@ def draw_counts(
     return counts.join(names, [*by, "unit_index"]).select(*by, unit, "replicate", "w")
 
 
-def _unit_weights(units: DataFrame, unit: str, replicates: int, seed: int, plain_rows: int) -> DataFrame:
+def _unit_weights(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """One row per unit with its replicates and counts (at most `replicates` entries)."""
     drawn = draw_counts(units, unit, replicates, seed)
     lists = drawn.groupBy(unit).agg(F.collect_list(F.struct("replicate", "w")).alias("d"))

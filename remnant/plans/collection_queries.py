@@ -127,17 +127,28 @@ def s08(t: Tables):
     return found.select("source_file", "json_path", "entity", "relation", "label", F.md5("response").alias("response"), "aliases")
 
 
-@register("s10_read_entity_values", f"""SELECT CAST(vec_id AS VARCHAR) AS source_file, 'e' || CAST(label AS VARCHAR) AS entity, {r('CAST(embedding[1] AS DOUBLE)')} AS ve,
-{r('CAST(embedding[2] AS DOUBLE)')} AS br, CASE WHEN vec_id % 4 <> 0 THEN {r('CAST(embedding[3] AS DOUBLE)')} END AS lb FROM embeddings""")
+@register("s10_read_entity_values", f"""SELECT CAST(vec_id AS VARCHAR) AS source_file, 'e' || CAST(label AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS entity,
+{r('CAST(embedding[i + 1] AS DOUBLE)')} AS ve, {r('CAST(embedding[(i + 1) % n + 1] AS DOUBLE)')} AS br, CASE WHEN vec_id % 4 <> 0 THEN {r('CAST(embedding[(i + 2) % n + 1] AS DOUBLE)')} END AS lb
+FROM (SELECT *, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM embeddings)""")
 def s10(t: Tables):
-    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    """One entity for each unit: its value and those of the two units after it, in a circle."""
+    n = F.size("embedding")
     even = F.col("vec_id") % 2 == 0
-    values = F.struct(
-        F.when(even, e(0)).alias("ve"), F.when(~even, e(0)).alias("ve_mean"),
-        F.when(even, e(1)).alias("bridge_mean"), F.when(~even, e(1)).alias("br"),
-        F.when(F.col("vec_id") % 4 != 0, e(2)).alias("lb_mean"),
-    )
-    text = F.to_json(F.struct(F.create_map(F.concat(F.lit("e"), F.col("label").cast("string")), values).alias("per_entity")))
+    odd_fourth = F.col("vec_id") % 4 != 0
+
+    def entry(i):
+        ve, br, lb = (F.get("embedding", (i + k) % n).cast("double") for k in range(3))
+        return F.struct(
+            F.concat(F.lit("e"), F.col("label").cast("string"), F.lit("_"), i.cast("string")).alias("key"),
+            F.struct(
+                F.when(even, ve).alias("ve"), F.when(~even, ve).alias("ve_mean"),
+                F.when(even, br).alias("bridge_mean"), F.when(~even, br).alias("br"),
+                F.when(odd_fourth, lb).alias("lb_mean"),
+            ).alias("value"),
+        )
+
+    units = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    text = F.to_json(F.struct(F.map_from_entries(F.transform(units, entry)).alias("per_entity")))
     d = t.table("embeddings").select(F.col("vec_id").cast("string").alias("source_file"), F.try_parse_json(text).alias("doc"))
     return D.read_entity_values(d)
 
