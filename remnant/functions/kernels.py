@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 
 FLUSH_DOUBLES = 8_000_000  # partial state kept per task before it is emitted
+SLICE_DOUBLES = 2_000_000  # doubles worked on at a time
 
 
 # -- moment vectors --------------------------------------------------------------------
@@ -207,69 +208,106 @@ def moment_partials(keys, schema, x="x", y="y"):
     return run
 
 
+def _width_slices(batch):
+    """Slices of rows of equal widths with about SLICE_DOUBLES moments each: (slice, p, q)."""
+    if not batch.num_rows:
+        return
+    p, q = (batch.column(c).to_numpy() for c in ("p", "q"))
+    cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1), len(p)]
+    for a, b in zip(cuts, cuts[1:]):
+        step = max(1, SLICE_DOUBLES // moment_slices(int(p[a]), int(q[a]))[1])
+        for s in range(a, b, step):
+            yield batch.slice(s, min(step, b - s)), int(p[a]), int(q[a])
+
+
+def _all(batch, name):
+    return _matrix(batch, name, np.arange(batch.num_rows))
+
+
 def merge_moments(keys, schema):
-    """mapInArrow over rows sorted by key: moments of equal keys are moved and added."""
+    """mapInArrow over rows sorted by key: moments of equal keys are moved to one centre and added.
+
+    Whole slices are moved at once; the last group of a slice stays open for the next one.
+    """
 
     def run(batches):
-        key, c, d, t = None, None, None, None
-        done, held = [], 0
+        last = None  # key, centres and sums of the open group
         for batch in batches:
-            for row in batch.to_pylist():
-                k = tuple(row[i] for i in keys)
-                rc, rd = np.array(row["cx"]), np.array(row["cy"])
-                rt = np.array(row["t"])
-                if k == key:
-                    t = t + translate(rt, len(rc), len(rd), c - rc, d - rd)[0]
-                else:
-                    if key is not None:
-                        done.append((*key, len(c), len(d), c, d, t))
-                        held += len(t)
-                    key, c, d, t = k, rc, rd, rt
-            if held > FLUSH_DOUBLES:
-                yield from _emit(done, schema)
-                done, held = [], 0
-        if key is not None:
-            done.append((*key, len(c), len(d), c, d, t))
-        yield from _emit(done, schema)
+            for rows, p, q in _width_slices(batch):
+                groups = _groups(rows, keys)
+                starts = np.array([r[0] for r in groups.values()])
+                first = np.repeat(starts, np.diff(np.append(starts, rows.num_rows)))
+                c, d = _all(rows, "cx"), _all(rows, "cy")
+                t = translate(_all(rows, "t"), p, q, c[first] - c, d[first] - d)
+                done = []
+                for key, at, total in zip(groups, starts, np.add.reduceat(t, starts)):
+                    if last is not None and last[0] == key:
+                        _, lc, ld, lt = last
+                        if (len(lc), len(ld)) != (p, q):
+                            raise ValueError("vectors of different length in one group")
+                        last = (key, lc, ld, lt + translate(total, p, q, lc - c[at], ld - d[at])[0])
+                        continue
+                    if last is not None:
+                        done.append(last)
+                    last = (key, c[at], d[at], total)
+                yield from _emit([(*k, len(x), len(y), x, y, v) for k, x, y, v in done], schema)
+        if last is not None:
+            k, x, y, v = last
+            yield from _emit([(*k, len(x), len(y), x, y, v)], schema)
 
     return run
 
 
+def _kept(rows, keep, schema, *values):
+    """The kept columns of rows beside columns of doubles, NULL where a value is not finite."""
+    columns = [pa.array(v, pa.float64(), mask=~np.isfinite(v)) for v in values]
+    return pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), *columns], schema=schema)
+
+
 def moments_to_cka(keep, schema):
     """mapInArrow: n, biased and debiased CKA of each moment row."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                n, b, u = cka_values(np.array(row["t"]), row["p"], row["q"])
-                rows.append((*[row[k] for k in keep], float(n[0]), *_nulls(b[0], u[0])))
-            yield from _emit(rows, schema)
+            for rows, p, q in _width_slices(batch):
+                yield _kept(rows, keep, schema, *cka_values(_all(rows, "t"), p, q))
 
     return run
 
 
-def _nulls(*values):
-    return tuple(None if v is None or not np.isfinite(v) else float(v) for v in values)
-
-
 def leave_one_out(keep, schema):
     """mapInArrow over rows with unit moments and group moments (g_ columns)."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                p, q = row["p"], row["q"]
-                gc, gd = np.array(row["g_cx"]), np.array(row["g_cy"])
-                unit = translate(
-                    np.array(row["t"]), p, q, gc - np.array(row["cx"]), gd - np.array(row["cy"])
-                )[0]
-                group = np.array(row["g_t"])
-                full = cka_values(group, p, q)[2][0]
-                rest = cka_values(group - unit, p, q)[2][0]
-                rows.append((*[row[k] for k in keep], *_nulls(full, rest)))
-            yield from _emit(rows, schema)
+            for rows, p, q in _width_slices(batch):
+                shift = _all(rows, "g_cx") - _all(rows, "cx"), _all(rows, "g_cy") - _all(rows, "cy")
+                unit, group = translate(_all(rows, "t"), p, q, *shift), _all(rows, "g_t")
+                yield _kept(rows, keep, schema, cka_values(group, p, q)[2], cka_values(group - unit, p, q)[2])
+
+    return run
+
+
+def linear_probe(keep, schema, ridge):
+    """mapInArrow over moments of features x and one target y: least-squares weights.
+
+    The last weight is the intercept.  Squared weights cost `ridge` per row, so that the
+    equations always have one solution.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for rows, p, q in _width_slices(batch):
+                s, _ = moment_slices(p, q)
+                t, cx, cy = _all(rows, "t"), _all(rows, "cx"), _all(rows, "cy")
+                n = t[:, s["n"]]
+                mx, my = t[:, s["x"]] / n, t[:, s["y"]] / n
+                t = translate(t, p, q, mx, my)
+                xx = t[:, s["xx"]].reshape(-1, p, p) + ridge * n[:, :, None] * np.eye(p)
+                w = np.linalg.solve(xx, t[:, s["xy"]].reshape(-1, p, q))[:, :, 0]
+                b = (my + cy)[:, 0] - (w * (mx + cx)).sum(1)
+                weights = pa.array(list(np.column_stack([w, b])), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), weights], schema=schema)
 
     return run
 
@@ -277,26 +315,20 @@ def leave_one_out(keep, schema):
 def replicate_partials(keys, schema, n_replicates, from_moments):
     """mapInArrow: moments of every bootstrap replicate, one partial per key and task.
 
-    Rows carry how often their unit is drawn (`reps`, `counts`); input is either x, y rows
-    or moments of whole units.
+    A row is a unit with the replicates that draw it (`reps`, with repeats) and its groups
+    (`g`): x, y rows, or moments of the whole unit.
     """
 
-    def shifted(batch, idx, c, d, p, q):
+    def shifted(rows, idx, c, d, p, q):
         if from_moments:
-            t = _matrix(batch, "t", idx)
-            return translate(
-                t, p, q, c - _matrix(batch, "cx", idx), d - _matrix(batch, "cy", idx)
-            )
-        return row_features(_matrix(batch, "x", idx) - c, _matrix(batch, "y", idx) - d)
-
-    def draw_weights(batch, idx):
-        w = np.zeros((n_replicates, len(idx)))
-        reps = batch.column("reps").take(pa.array(idx))
-        counts = batch.column("counts").take(pa.array(idx))
-        rows = np.repeat(np.arange(len(idx)), reps.value_lengths().to_numpy(zero_copy_only=False))
-        w[
-            reps.flatten().to_numpy(zero_copy_only=False).astype(int), rows
-        ] = counts.flatten().to_numpy(zero_copy_only=False)
+            return translate(_matrix(rows, "t", idx), p, q, c - _matrix(rows, "cx", idx), d - _matrix(rows, "cy", idx))
+        return row_features(_matrix(rows, "x", idx) - c, _matrix(rows, "y", idx) - d)
+
+    def draw_weights(batch):
+        w = np.zeros((n_replicates, batch.num_rows))
+        reps = batch.column("reps")
+        unit = np.repeat(np.arange(batch.num_rows), reps.value_lengths().to_numpy(zero_copy_only=False))
+        np.add.at(w, (reps.flatten().to_numpy(zero_copy_only=False), unit), 1.0)
         return w
 
     def rows_of(state):
@@ -305,27 +337,29 @@ def replicate_partials(keys, schema, n_replicates, from_moments):
                 yield (*key, r, len(c), len(d), c, d, t[r])
 
     def run(batches):
-        state, held = {}, 0
-        for batch in batches:
-            for key, idx in _groups(batch, keys).items():
-                if key not in state:
-                    if from_moments:
-                        c = _matrix(batch, "cx", idx[:1])[0]
-                        d = _matrix(batch, "cy", idx[:1])[0]
-                    else:
-                        c = _matrix(batch, "x", idx).mean(0)
-                        d = _matrix(batch, "y", idx).mean(0)
-                    state[key] = [c, d, 0.0]
-                c, d, _ = state[key]
-                step = max(1, 2_000_000 // max(n_replicates, moment_slices(len(c), len(d))[1]))
-                for at in range(0, len(idx), step):
-                    part = idx[at : at + step]
-                    f = shifted(batch, part, c, d, len(c), len(d))
-                    state[key][2] = state[key][2] + draw_weights(batch, part) @ f
-            held = sum(np.size(v[2]) for v in state.values())
-            if held > FLUSH_DOUBLES:
-                yield from _emit(list(rows_of(state)), schema)
-                state = {}
+        state = {}
+        units = max(1, SLICE_DOUBLES // n_replicates)
+        for whole in batches:
+            for start in range(0, whole.num_rows, units):
+                batch = whole.slice(start, units)
+                w, g = draw_weights(batch), batch.column("g")
+                owner = np.repeat(np.arange(batch.num_rows), g.value_lengths().to_numpy(zero_copy_only=False))
+                rows = pa.RecordBatch.from_struct_array(g.flatten())
+                for key, idx in _groups(rows, keys).items():
+                    if key not in state:
+                        if from_moments:
+                            c, d = _matrix(rows, "cx", idx[:1])[0], _matrix(rows, "cy", idx[:1])[0]
+                        else:
+                            c, d = _matrix(rows, "x", idx).mean(0), _matrix(rows, "y", idx).mean(0)
+                        state[key] = [c, d, 0.0]
+                    c, d, _ = state[key]
+                    step = max(1, SLICE_DOUBLES // moment_slices(len(c), len(d))[1])
+                    for at in range(0, len(idx), step):
+                        part = idx[at : at + step]
+                        state[key][2] = state[key][2] + w[:, owner[part]] @ shifted(rows, part, c, d, len(c), len(d))
+                if sum(np.size(v[2]) for v in state.values()) > FLUSH_DOUBLES:
+                    yield from _emit(list(rows_of(state)), schema)
+                    state = {}
         yield from _emit(list(rows_of(state)), schema)
 
     return run

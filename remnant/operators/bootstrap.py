@@ -54,15 +54,10 @@ def draw_counts(
     return counts.join(names, [*by, "unit_index"]).select(*by, unit, "replicate", "w")
 
 
-def _unit_weights(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
-    """One row per unit with its replicates and counts (at most `replicates` entries)."""
-    drawn = draw_counts(units, unit, replicates, seed)
-    lists = drawn.groupBy(unit).agg(F.collect_list(F.struct("replicate", "w")).alias("d"))
-    return lists.select(
-        unit,
-        F.transform("d", lambda e: e["replicate"]).alias("reps"),
-        F.transform("d", lambda e: e["w"]).alias("counts"),
-    )
+def _unit_draws(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
+    """One row per unit with the replicates that draw it (about `replicates` entries)."""
+    lists = draw_indices(units, unit, replicates, seed).groupBy("unit_index").agg(F.collect_list("replicate").alias("reps"))
+    return lists.join(indexed_units(units, unit).select("unit_index", unit), "unit_index").select(unit, "reps")
 
 
 def cka_replicates(
@@ -74,14 +69,15 @@ def cka_replicates(
     moments are added up before the draws are applied.
     """
     by = by or PROFILE
-    weights = _unit_weights(pairs, unit, replicates, seed)
     from_moments = unit != "item_id"
     rows = paired_moments(pairs, [*by, unit]) if from_moments else pairs.select(*by, unit, "x", "y")
+    # A unit has one entry per group, so that its draws are joined once for all groups.
+    nested = rows.groupBy(unit).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != unit])).alias("g"))
     schema = T.StructType(
         _fields(rows, by) + [T.StructField("replicate", T.IntegerType())] + _MOMENTS
     )
     partial = _map(
-        rows.join(weights, unit), schema, K.replicate_partials, by,
+        nested.join(_unit_draws(pairs, unit, replicates, seed), unit).select("reps", "g"), schema, K.replicate_partials, by,
         n_replicates=replicates, from_moments=from_moments,
     )
     keys = [*by, "replicate"]

@@ -46,7 +46,7 @@ def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
         *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("bi"),
         F.col("_b").alias("bj"), F.col("items").alias("b"),
     )
-    return left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("shuffle_hash"), keys)
+    return left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
 
 
 _COARSE, _FINE = 40, 14  # bits dropped from the 64-bit pattern of a squared distance

@@ -7,7 +7,7 @@ carries partial states only, and a group may be spread over any number of tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
@@ -18,6 +18,7 @@ from remnant.functions import kernels as K
 
 PROFILE = ["run", "component", "layer"]
 MIN_ITEMS = 4
+TASKS = 64  # whose partial states are added up together
 
 
 def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
@@ -72,8 +73,18 @@ def paired_moments(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 
 
 def merge_moments(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the partial states of each key: first those of TASKS neighbouring tasks, then the sums.
+
+    So a key that all input tasks hold never sends all their states to one task.
+    """
     schema = T.StructType(_fields(partial, keys) + _MOMENTS)
-    placed = partial.select(*[f.name for f in schema]).repartition(*[F.col(k) for k in keys])
+    near = partial.select(*schema.names, F.floor(F.spark_partition_id() / TASKS).cast("int").alias("_near"))
+    return _merged(_merged(near, [*keys, "_near"]), keys)
+
+
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    schema = T.StructType(_fields(rows, keys) + _MOMENTS)
+    placed = rows.select(*schema.names).repartition(*[F.col(k) for k in keys])
     return _map(placed.sortWithinPartitions(*keys), schema, K.merge_moments, keys)
 
 
@@ -112,10 +123,8 @@ def component_summary(profile: DataFrame, by=("run", "component")) -> DataFrame:
 def layer_profile(profile: DataFrame) -> DataFrame:
     """Layers in integer order beside the mean over the run's layers."""
     layers = profile.withColumn("layer", F.col("layer").cast("int"))
-    means = layers.groupBy("run", "component").agg(F.avg("cka").alias("aggregate"))
-    return layers.join(means, ["run", "component"]).select(
-        "run", "component", "layer", "cka", "aggregate"
-    )
+    mean = F.avg("cka").over(Window.partitionBy("run", "component"))
+    return layers.select("run", "component", "layer", "cka", mean.alias("aggregate"))
 
 
 def layer_pooling(acts: DataFrame) -> DataFrame:
@@ -215,8 +224,6 @@ def matrix_health(acts: DataFrame, n_expected: int | None = None, dead: float =
 
 def discriminative_units(acts: DataFrame, share: float, by: tuple[str, ...] = ("component", "layer")) -> DataFrame:
     """Units with the largest |sum over forget - sum over retain|, top share per layer."""
-    from pyspark.sql import Window
-
     sign = F.when(F.col("split") == "forget", F.lit(1.0)).otherwise(F.lit(-1.0))
     signed = acts.withColumn("_s", sign).withColumn(
         "vec", F.transform("vec", lambda v: v * F.col("_s"))
@@ -277,30 +284,30 @@ def weight_drift(weights: DataFrame, snapshot: DataFrame, prefixes: list[str] |
 
 
 def entity_disjoint_probe(
-    acts: DataFrame, label: str, runs: list | None = None, folds: int = 2, max_iter: int = 50
+    acts: DataFrame, label: str, by: list[str] | None = None, folds: int = 2, ridge: float = 1e-3
 ) -> DataFrame:
-    """Linear probe whose folds never share an entity: run, fold, n, accuracy.
+    """Linear probe whose folds never share an entity: by, fold, n, accuracy.
 
-    One distributed logistic regression per run and fold (the number of runs is small).
+    A 0/1 label is fitted by ridge-damped least squares on the other folds and cut at one half.
+    All groups and folds are fitted in one pass: their moments are summed by fold, and a fold's
+    equations are those of the others added up.  A fold without others gives no row.
     """
-    from pyspark.ml.classification import LogisticRegression
-
-    if runs is None:
-        runs = sorted(r[0] for r in acts.select("run").distinct().collect())
-    data = acts.select(
-        "run", array_to_vector("vec").alias("features"), F.col(label).cast("double").alias("label"),
+    by = by or PROFILE
+    rows = acts.select(
+        *by, F.col("vec").alias("x"), F.col(label).cast("double").alias("label"),
         F.pmod(F.xxhash64(F.col("entity").cast("string")), F.lit(folds)).cast("int").alias("fold"),
-    )
-    out = None
-    for run in runs:
-        rows = data.filter(F.col("run") == run)
-        for fold in range(folds):
-            model = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(
-                rows.filter(F.col("fold") != fold)
-            )
-            scored = model.transform(rows.filter(F.col("fold") == fold)).agg(
-                F.count(F.lit(1)).alias("n"),
-                F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-            ).select(F.lit(run).alias("run"), F.lit(fold).alias("fold"), "n", "accuracy")
-            out = scored if out is None else out.unionByName(scored)
-    return out
+    ).filter("label is not null")
+    own = paired_moments(rows.withColumn("y", F.array("label")), [*by, "fold"])
+    others = own.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    train = merge_moments(others.filter("fold <> _own").drop("_own"), [*by, "fold"])
+    keep = [*by, "fold"]
+    schema = T.StructType(_fields(train, keep) + [T.StructField("w", _DOUBLES)])
+    weights = _map(train.select(*keep, "p", "q", "cx", "cy", "t"), schema, K.linear_probe, keep, ridge=ridge)
+    weights = weights.withColumnsRenamed({k: f"_{k}" for k in keep})
+    same = F.lit(True)
+    for k in keep:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    terms = F.zip_with(F.concat("x", F.array(F.lit(1.0))), "w", lambda a, b: a * b)
+    score = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+    scored = rows.join(weights, same).select(*keep, ((score >= 0.5).cast("double") == F.col("label")).alias("hit"))
+    return scored.groupBy(*keep).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
