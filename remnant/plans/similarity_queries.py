@@ -121,7 +121,8 @@ def c05(t: Tables):
     return W.rsa(W.entity_means(t.pairs()), p_values=False)
 
 
-@register("c05_rsa_p_values")
+@register("c05_rsa_p_values", with_(*_PAIRS, _entity_means(), _rdm_sql(_COS), _RANKED.format(g=G, s=f"(SELECT {G}, round(d_x, 12) AS a, round(d_y, 12) AS b FROM rdm)"), f"rho AS (SELECT {G}, count(*) AS n, corr(ra, rb) AS rho FROM rk GROUP BY {G})")
+          + f"SELECT {G}, n, {r('rho')} AS rho, {r(S.p_value('rho', 'n'))} AS p FROM rho")
 def c05_p(t: Tables):
     return W.rsa(W.entity_means(t.pairs()))
 
@@ -159,12 +160,16 @@ def _register_pool(mode: str, sql: str):
     @register(f"c09_token_pooling_{mode}", with_(S.ACTIVATIONS) + sql)
     def query(t: Tables):
         v = C.token_pooling(_token_rows(t), mode, _KEYS)
-        return v.select("run", "component", "item_id", F.get("vec", F.lit(0)).alias("first_unit"), F.get("vec", F.lit(6)).alias("last_unit"))
+        return v.select("run", "component", "item_id", F.posexplode("vec").alias("unit", "value"))
 
 
-_register_pool("mean", f"SELECT run, component, item_id, {r('avg(vec[1])')} AS first_unit, {r('avg(vec[7])')} AS last_unit FROM act GROUP BY run, component, item_id")
-_register_pool("first", f"SELECT run, component, item_id, {r('vec[1]')} AS first_unit, {r('vec[7]')} AS last_unit FROM act WHERE layer = 0")
-_register_pool("last", f"SELECT run, component, item_id, {r('vec[1]')} AS first_unit, {r('vec[7]')} AS last_unit FROM act WHERE layer = 2")
+def _units(where: str) -> str:
+    return f"(SELECT run, component, item_id, generate_subscripts(vec, 1) - 1 AS unit, unnest(vec) AS v FROM act {where})"
+
+
+_register_pool("mean", f"SELECT run, component, item_id, unit, {r('avg(v)')} AS value FROM {_units('')} GROUP BY ALL")
+_register_pool("first", f"SELECT run, component, item_id, unit, {r('v')} AS value FROM {_units('WHERE layer = 0')}")
+_register_pool("last", f"SELECT run, component, item_id, unit, {r('v')} AS value FROM {_units('WHERE layer = 2')}")
 
 
 @register("c10_pooling_sensitivity", with_(S.ACTIVATIONS, S.PAIRS, *cka_ctes("(SELECT * FROM pairs WHERE layer = 2)", "run, component", "l"), POOLED, *cka_ctes("pooled_pairs", "run, component", "q"))
@@ -216,15 +221,14 @@ def c15(t: Tables):
 
 @register("c16_entity_disjoint_probe")
 def c16(t: Tables):
-    acts = t.activations().filter((F.col("component") == "lb") & (F.col("layer") == 2))
-    return C.entity_disjoint_probe(acts.withColumn("is_forget", (F.col("split") == "forget").cast("double")), "is_forget")
+    return C.entity_disjoint_probe(t.activations().withColumn("is_forget", (F.col("split") == "forget").cast("double")), "is_forget")
 
 
-@register("c17_discriminative_units", with_(S.ACTIVATIONS) + f"""SELECT component, layer, unit, {r('score')} AS score, rank FROM (SELECT component, layer, j - 1 AS unit, abs(s) AS score,
- row_number() OVER (PARTITION BY component, layer ORDER BY abs(s) DESC, j) AS rank FROM (SELECT component, layer, j, sum(CASE WHEN split = 'forget' THEN v ELSE -v END) AS s
- FROM (SELECT component, layer, split, generate_subscripts(vec, 1) AS j, unnest(vec) AS v FROM act WHERE run = 1) GROUP BY component, layer, j)) WHERE rank <= greatest(1, floor(7 * 0.3))""")
+@register("c17_discriminative_units", with_(S.ACTIVATIONS) + f"""SELECT run, component, layer, unit, {r('score')} AS score, rank FROM (SELECT run, component, layer, j - 1 AS unit, abs(s) AS score,
+ row_number() OVER (PARTITION BY run, component, layer ORDER BY abs(s) DESC, j) AS rank FROM (SELECT run, component, layer, j, sum(CASE WHEN split = 'forget' THEN v ELSE -v END) AS s
+ FROM (SELECT run, component, layer, split, generate_subscripts(vec, 1) AS j, unnest(vec) AS v FROM act) GROUP BY run, component, layer, j)) WHERE rank <= greatest(1, floor(8 * 0.3))""")
 def c17(t: Tables):
-    return C.discriminative_units(t.activations().filter(F.col("run") == 1), 0.3)
+    return C.discriminative_units(t.activations(), 0.3, tuple(C.PROFILE))
 
 
 _W = """w AS (SELECT label AS checkpoint, 'lora_B.' || CAST(vec_id AS VARCHAR) AS tensor, list_transform(embedding, lambda v: CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(v AS DOUBLE) END) AS vals FROM embeddings)"""
@@ -246,9 +250,10 @@ def c19(t: Tables):
 
 # -- statistics ------------------------------------------------------------------------
 def value_pairs(t: Tables):
-    return t.predictions().join(
-        t.table("events").select("event_id", "value", "user_id"), "event_id"
-    ).select("run", F.col("value").alias("x"), (F.col("question").cast("double") + F.col("user_id") % 10).alias("y"), "entity")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return t.table("events").select(
+        F.col("event_type").alias("run"), F.col("value").alias("x"), (k + F.col("user_id") % 10).alias("y"), F.col("user_id").cast("string").alias("entity")
+    )
 
 
 VALUES = "vals AS (SELECT event_type AS run, value AS a, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) + user_id % 10 AS b, CAST(user_id AS VARCHAR) AS entity FROM events)"
@@ -259,7 +264,7 @@ def k01(t: Tables):
     return K.pearson(value_pairs(t), "x", "y", ["run"]).drop("pearson_p")
 
 
-@register("k01_pearson_p_value")
+@register("k01_pearson_p_value", with_(VALUES, "cor AS (SELECT run, count(*) AS n, corr(a, b) AS c FROM vals GROUP BY run)") + f"SELECT run, n, {r('c')} AS pearson_r, {r(S.p_value('c', 'n'))} AS pearson_p FROM cor")
 def k01_p(t: Tables):
     return K.pearson(value_pairs(t), "x", "y", ["run"])
 
@@ -312,7 +317,7 @@ def k05(t: Tables):
     return K.trend_line(value_pairs(t), "x", "y", ["run"])
 
 
-PROFILE_RUNS = {"click": 1, "view": 2, "purchase": 3}
+PROFILE_RUNS = {"signup": 0, "click": 1, "view": 2, "purchase": 3, "error": 4}
 _RUN_CASE = "CASE run " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PROFILE_RUNS.items()) + " END"
 
 
@@ -353,7 +358,7 @@ def a14(t: Tables):
 
 
 # -- bootstraps ------------------------------------------------------------------------
-N_REP = 12
+N_REP = 1000
 
 
 def draws(source: str, unit: str, reps: int = N_REP, by: str = "", p: str = "") -> str:
@@ -371,11 +376,53 @@ def b01(t: Tables):
     return B.draw_indices(t.table("embeddings"), "vec_id", N_REP)
 
 
+_U = range(1, 9)  # units of a layer
+
+
+def _sums() -> dict[str, str]:
+    """Moments of rows x, y with k = |x|^2 and l = |y|^2: name and term."""
+    out = {"n": "1.0::DOUBLE", "k": "k", "l": "l", "kl": "k * l", "kk": "k * k", "ll": "l * l"}
+    for i in _U:
+        out |= {f"x{i}": f"x[{i}]", f"y{i}": f"y[{i}]", f"kx{i}": f"k * x[{i}]", f"ky{i}": f"k * y[{i}]", f"lx{i}": f"l * x[{i}]", f"ly{i}": f"l * y[{i}]"}
+        out |= {f"xy{i}_{j}": f"x[{i}] * y[{j}]" for j in _U}
+        out |= {f"xx{i}_{j}": f"x[{i}] * x[{j}]" for j in _U if j >= i} | {f"yy{i}_{j}": f"y[{i}] * y[{j}]" for j in _U if j >= i}
+    return out
+
+
 def _boot(unit: str, p: str = "") -> list[str]:
+    """CKA of every replicate from weighted sums of moments per unit."""
+    every = _sums()
+
+    def plus(terms) -> str:
+        return "(" + " + ".join(terms) + ")"
+
+    def at(s: str, i: int, j: int) -> str:
+        return f"{s}{i}_{j}" if s == "xy" else f"{s}{min(i, j)}_{max(i, j)}"
+
+    def square(s: str) -> str:
+        return plus(f"pow({at(s, i, j)} - {s[0]}{i} * {s[1]}{j} / n, 2)" for i in _U for j in _U)
+
+    def form(s: str) -> str:
+        return plus(f"{s[0]}{i} * {at(s, i, j)} * {s[1]}{j}" for i in _U for j in _U) + " / (n * n)"
+
+    def dot(u: str, v: str) -> str:
+        return plus(f"{u}{i} * {v}{i}" for i in _U) + " / n"
+
+    g = f"{G}, replicate"
     return [
         draws("pairs", unit, p=p),
-        f"{p}boot AS (SELECT run, component, layer, replicate, item_id, x, y, w::DOUBLE AS w FROM pairs JOIN {p}drawn USING ({unit}))",
-        *cka_ctes(f"{p}boot", G + ", replicate", p, "w"),
+        f"{p}mom AS (SELECT {G}, {unit}, {', '.join(f'sum({v}) AS {c}' for c, v in every.items())} FROM (SELECT *, list_sum(list_transform(x, lambda v: v * v)) AS k, list_sum(list_transform(y, lambda v: v * v)) AS l FROM pairs) GROUP BY {G}, {unit})",
+        f"{p}tot AS (SELECT {g}, {', '.join(f'sum(w * {c}) AS {c}' for c in every)} FROM {p}mom JOIN {p}drawn USING ({unit}) GROUP BY {g})",
+        f"{p}cen AS (SELECT *, {square('xx')} AS fxx, {square('xy')} AS fxy, {square('yy')} AS fyy, {dot('x', 'x')} / n AS a, {dot('y', 'y')} / n AS b FROM {p}tot)",
+        f"""{p}crossed AS (SELECT {g}, n, fxx, fxy, fyy, k - n * a AS tk, l - n * b AS tl,
+  kl - 2 * {dot('y', 'ky')} - 2 * {dot('x', 'lx')} + 4 * {form('xy')} + b * k + a * l - 3 * a * b * n AS kl,
+  kk - 4 * {dot('x', 'kx')} + 4 * {form('xx')} + 2 * a * k - 3 * a * a * n AS kk,
+  ll - 4 * {dot('y', 'ly')} + 4 * {form('yy')} + 2 * b * l - 3 * b * b * n AS ll FROM {p}cen)""",
+        f"""{p}hsic AS (SELECT {g},
+  (fxy - kl - 2 * kl / (n - 2) + tk * tl / ((n - 1) * (n - 2))) / (n * (n - 3)) AS hxy,
+  (fxx - kk - 2 * kk / (n - 2) + tk * tk / ((n - 1) * (n - 2))) / (n * (n - 3)) AS hxx,
+  (fyy - ll - 2 * ll / (n - 2) + tl * tl / ((n - 1) * (n - 2))) / (n * (n - 3)) AS hyy FROM {p}crossed WHERE n >= 4)""",
+        f"{p}cka AS (SELECT {g}, CASE WHEN hxx > 0 AND hyy > 0 THEN least(1.0, greatest(0.0, hxy / sqrt(greatest(hxx * hyy, 1e-10)))) END AS cka FROM {p}hsic)",
     ]
 
 
@@ -399,7 +446,7 @@ def b03(t: Tables):
 
 
 ENTITY_VALUES = "ev AS (SELECT run, entity, avg(score) AS v FROM predictions GROUP BY run, entity)"
-_EV = (S.PREDICTIONS, ENTITY_VALUES, draws("ev", "entity", 40, "run"),
+_EV = (S.PREDICTIONS, ENTITY_VALUES, draws("ev", "entity", by="run"),
        "reps AS (SELECT run, replicate, sum(w * v) / sum(w) AS value FROM drawn JOIN ev USING (run, entity) GROUP BY run, replicate HAVING sum(w) >= 4)")
 
 
@@ -408,12 +455,12 @@ def entity_values(t: Tables):
 
 
 def value_reps(t: Tables):
-    return B.value_replicates(entity_values(t), "entity", "v", 40, by=["run"])
+    return B.value_replicates(entity_values(t), "entity", "v", N_REP, by=["run"])
 
 
 @register("b04_entity_value_bootstrap", with_(*_EV) + f"SELECT {_interval('value', 'run')} FROM reps GROUP BY run")
 def b04(t: Tables):
-    return B.value_bootstrap(entity_values(t), "entity", "v", 40, by=["run"])
+    return B.value_bootstrap(entity_values(t), "entity", "v", N_REP, by=["run"])
 
 
 @register("b05_layer_mean_bootstrap", with_(*_PAIRS, *_boot("item_id")) + f"SELECT run, component, replicate, {r('avg(cka)')} AS value FROM cka GROUP BY run, component, replicate")
@@ -455,13 +502,13 @@ def b08(t: Tables):
     stored = B.percentile_interval(reps, ["run"]).join(point, "run").select(
         "run", "point",
         (F.col("lo") + F.when(F.col("run") == "view", 1e-6).otherwise(0.0)).alias("lo"), "hi",
-        F.lit(40).alias("n_bootstrap"), (F.col("run") != "error").alias("paired"),
+        F.lit(N_REP).alias("n_bootstrap"), (F.col("run") != "error").alias("paired"),
     )
     return B.ci_audit(reps, stored, ["run"])
 
 
-@register("b09_mean_ci", with_("ev AS (SELECT o_custkey AS entity, avg(o_totalprice) AS v FROM orders GROUP BY o_custkey)", draws("ev", "entity", 25),
+@register("b09_mean_ci", with_("ev AS (SELECT o_custkey AS entity, avg(o_totalprice) AS v FROM orders GROUP BY o_custkey)", draws("ev", "entity"),
     "reps AS (SELECT replicate, sum(w * v) / sum(w) AS value FROM drawn JOIN ev USING (entity) GROUP BY replicate)") + f"""SELECT {r("quantile_cont(value, 0.025)")} AS lo, {r("quantile_cont(value, 0.975)")} AS hi, count(value) AS n_ok FROM reps""")
 def b09(t: Tables):
     values = t.table("orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.avg("o_totalprice").alias("v"))
-    return B.value_bootstrap(values, "entity", "v", 25)
+    return B.value_bootstrap(values, "entity", "v", N_REP)

@@ -96,9 +96,9 @@ QA_RESPONSES = f"""qa AS (
 ACTIVATIONS = """act AS (
   SELECT run, component, layer, vec_id AS item_id, label AS entity,
          CASE WHEN label % 3 = 0 THEN 'forget' ELSE 'retain' END AS split,
-         list_transform(range(1, 8), lambda u: CAST(embedding[21 * ci + 7 * layer + u] AS DOUBLE)
+         list_transform(range(1, 9), lambda u: CAST(embedding[21 * ci + 7 * layer + u] AS DOUBLE)
            + run * 0.02::DOUBLE * (((vec_id * 31 + (21 * ci + 7 * layer + u) * 17) % 11) - 5)) AS vec
-  FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS run),
+  FROM embeddings, (SELECT unnest([0, 1, 2, 3, 4]) AS run),
        (SELECT unnest([0, 1, 2]) AS ci), (SELECT unnest([0, 1, 2]) AS layer),
        (SELECT ['ve', 'br', 'lb'] AS names), LATERAL (SELECT names[ci + 1] AS component))"""
 
@@ -134,5 +134,16 @@ QA_LISTS = """qa_lists AS (
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
+def p_value(corr: str, n: str) -> str:
+    """Two-sided p value of a correlation: the t distribution of whole degrees as a finite sum."""
+    even = "exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi())"
+    odd = "exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2"
+    total = "coalesce(list_sum(list_transform(range(0, {top}), lambda k: {c} * pow(1 - {r} * {r}, k))), 0)"
+    c, df = f"({corr})", f"CAST({n} - 2 AS BIGINT)"
+    a_even = f"abs({c}) * " + total.format(top=f"{df} // 2", c=even, r=c)
+    a_odd = f"2 / pi() * (asin(least(1.0, abs({c}))) + abs({c}) * sqrt(greatest(0.0, 1 - {c} * {c})) * " + total.format(top=f"({df} - 1) // 2", c=odd, r=c) + ")"
+    return f"CASE WHEN {df} > 0 AND {c} IS NOT NULL THEN greatest(0.0, 1 - CASE WHEN {df} % 2 = 0 THEN {a_even} ELSE {a_odd} END) END"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -73,10 +73,10 @@ class Tables:
         )
 
     def activations(self, base: bool = True) -> DataFrame:
-        """Three components of three layers with seven units; run 0 is the base."""
+        """Three components of three layers with eight units; neighbours share one.  Run 0 is the base."""
         e = self.table("embeddings")
         x = F.transform("embedding", lambda v: v.cast("double"))
-        runs = [0, 1, 2, 3] if base else [1, 2, 3]
+        runs = [0, 1, 2, 3, 4] if base else [1, 2, 3, 4]
         noise = F.transform(
             "x",
             lambda v, j: v
@@ -90,7 +90,7 @@ class Tables:
                 F.struct(
                     F.lit(c).alias("component"),
                     F.lit(layer).alias("layer"),
-                    F.slice("v", 21 * i + 7 * layer + 1, 7).alias("vec"),
+                    F.slice("v", 21 * i + 7 * layer + 1, 8).alias("vec"),
                 )
                 for i, c in enumerate(("ve", "br", "lb"))
                 for layer in range(3)
