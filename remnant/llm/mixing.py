@@ -73,30 +73,30 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     sized: doc_id, source, size.  `last` is an array of ROUNDS structs (h, id, size), null where
     the round takes nothing.  Sources may be null; equal rows are taken together.
     """
+    # Equal rows are one row with the sum of their sizes, so that no id (null ones neither) is a hot bucket.
     base = materialize(
-        sized.select(
-            "source", F.col("size").cast("bigint").alias("size"),
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), shuffle_key(F.col("doc_id")).alias("h"),
-        )
+        sized.groupBy(
+            "source", F.col("size").cast("bigint").alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        ).agg(F.sum("size").cast("bigint").alias("all")).withColumn("h", shuffle_key(F.col("id")))
     )
-    goals, _ = stored(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    goals, _ = stored(targets(base.groupBy("source").agg(F.sum("all").alias("source_size")), weights, share, most), "targets")
     n, budget = base.count(), goals.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     bits = max(4, math.ceil(math.log2(max(2.0, math.sqrt(n)))))
     rows = base.join(goals, base["source"].eqNullSafe(goals["source"])).select(
-        "place", "source_size", "target", "size", "id", "h", F.shiftrightunsigned(F.col("h"), 32 - bits).alias("b")
+        "place", "source_size", "target", "size", "all", "id", "h", F.shiftrightunsigned(F.col("h"), 32 - bits).alias("b")
     )
     ahead = Window.partitionBy("place").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets, _ = stored(
-        rows.groupBy("place", "b").agg(F.sum("size").alias("s")).select(
+        rows.groupBy("place", "b").agg(F.sum("all").alias("s")).select(
             "place", "b", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before")
         ),
         "offsets",
     )
     inside = Window.partitionBy("place", "b").orderBy("h", "id", "size")
-    timed = rows.join(offsets, ["place", "b"]).withColumn("cum", F.col("before") + F.sum("size").over(inside))
+    timed = rows.join(offsets, ["place", "b"]).withColumn("cum", F.col("before") + F.sum("all").over(inside))
     timed = materialize(
         timed.filter("size > 0").select(
-            "place", "h", "id", "size",
+            "place", "h", "id", "size", "all",
             F.posexplode(F.array(*[(F.col("cum") + k * F.col("source_size")) / F.col("target") for k in range(ROUNDS)])).alias("round", "time"),
         )
     )
@@ -105,12 +105,12 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     binned = timed.withColumn("slot", slot)
     total = Window.partitionBy(F.lit(0)).orderBy("slot")
     cut = (
-        binned.groupBy("slot").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(total))
+        binned.groupBy("slot").agg(F.sum("all").alias("s")).withColumn("upto", F.sum("s").over(total))
         .filter(F.col("upto") > budget).agg(F.min(F.struct("slot", "upto", "s")).alias("x")).first()["x"]
     )
     at, before = (cut["slot"], cut["upto"] - cut["s"]) if cut else (8 * scale, 0)
     edge = Window.partitionBy(F.lit(0)).orderBy("time", "place", "h", "id", "size", "round")
-    tail = binned.filter(F.col("slot") == at).withColumn("run", F.sum("size").over(edge) + before).filter(F.col("run") <= budget)
+    tail = binned.filter(F.col("slot") == at).withColumn("run", F.sum("all").over(edge) + before).filter(F.col("run") <= budget)
     taken = binned.filter(F.col("slot") < at).drop("slot").unionByName(tail.drop("run", "slot"))
     last = taken.groupBy("place").agg(
         F.array(*[F.max(F.when(F.col("round") == k, F.struct("h", "id", "size"))) for k in range(ROUNDS)]).alias("last")

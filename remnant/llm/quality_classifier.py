@@ -170,7 +170,8 @@ def resample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buckets:
     weight, sample = fit(docs, labels, bound, buckets)
     rows = docs.select("doc_id", importance(F.col("text"), weight).alias("s")).select("doc_id", "s.*")
     rows = materialize(rows.withColumn("key", key_of(F.col("importance"), F.col("doc_id"))))
-    known = rows.filter("importance is not null").join(sample, "doc_id").select("importance", "y").toPandas()
+    # Of rows that repeat an id the least counts, so that the sample stays bounded.
+    known = rows.filter("importance is not null").join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("importance").alias("importance")).toPandas()
     cut = best_cut(known["importance"].to_numpy(float), known["y"].to_numpy(int))
     k = rows.filter(F.col("importance") >= F.lit(float(cut))).count()
     least = kth_largest(rows, "key", k)

@@ -219,7 +219,9 @@ def explain(rules: list[Rule]) -> list[str]:
 def learn_rules(stats: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[Rule]:
     """Rules from a bounded labelled sample; stats: doc_id, s (struct of STATISTICS)."""
     sample = bounded_labels(labels, "quality", bound, SEED)
-    rows = stats.join(sample, "doc_id").select("doc_id", "y", *[v.alias(k) for k, v in features(F.col("s")).items()])
+    # Of rows that repeat an id the least counts, so that the sample stays bounded.
+    once = stats.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("s").alias("s"))
+    rows = once.select("doc_id", "y", *[v.alias(k) for k, v in features(F.col("s")).items()])
     found = rows.toPandas().sort_values(["doc_id", "n_words"], kind="stable")
     order = np.argsort([xxhash.xxh64_intdigest(str(i), SEED) for i in found["doc_id"]], kind="stable")
     found = found.iloc[order]

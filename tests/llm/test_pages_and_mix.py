@@ -157,6 +157,22 @@ def test_mix(spark):
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_with_many_null_ids(spark):
+    rows = [(i if i % 3 else None, "w " * (i % 17), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    base = M.plan(docs.select("doc_id", "source", M.size_of(docs["text"]).alias("size")))
+    assert base.count() == 2
+    alike, taken, goal = {}, {}, {}
+    for r in M.mix(docs).collect():
+        if r["doc_id"] is None:
+            alike.setdefault((r["source"], r["_size"]), set()).add(r["_taken"])
+        taken[r["source"]] = taken.get(r["source"], 0) + r["_taken"]
+        goal[r["source"]] = r["_target"]
+    assert all(len(t) == 1 for t in alike.values())  # equal rows are taken alike
+    lump = max(sum(len(t.split()) for i, t, c in rows if i is None and c == s and len(t.split()) == n) for s, n in alike)
+    assert all(abs(taken[s] - goal[s]) <= 2 * lump for s in goal)
+
+
 def test_mix_of_empty_texts(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id bigint, text string, source string")
     assert [r["_taken"] for r in M.mix(docs).collect()] == [0, 0]
