@@ -187,3 +187,25 @@ def hash_shuffle(
     """Deterministic order of an epoch: `pos` by the hash of (seed + epoch, key)."""
     keyed = df.withColumn("_h", hash_key(seed + epoch, key))
     return with_position(keyed, by or [], ["_h", key], "pos").drop("_h")
+
+
+def cycled_steps(
+    steps: DataFrame, pool: DataFrame, key: str, seed: int, by: list[str] | None = None,
+) -> DataFrame:
+    """The pool row of each step when epochs follow one another: by, step, epoch, pos, key.
+
+    `steps` holds by and step (0, 1, ...).  A pool of n rows is used up after n steps and then
+    shuffled anew.  Only epochs that a step falls into are ordered.
+    """
+    by = by or []
+    sizes = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sized = steps.join(sizes, by) if by else steps.crossJoin(sizes.filter("_n > 0"))  # one row
+    placed = sized.select(
+        *by, "step", F.floor(F.col("step") / F.col("_n")).alias("epoch"), (F.col("step") % F.col("_n")).alias("pos")
+    )
+    epochs = placed.select(*by, "epoch").distinct()
+    rows = pool.select(*by, key)
+    dealt = rows.join(epochs, by) if by else rows.join(epochs)
+    keyed = dealt.withColumn("_h", F.md5(F.concat_ws("|", (F.col("epoch") + seed).cast("string"), F.col(key).cast("string"))))
+    order = with_position(keyed, [*by, "epoch"], ["_h", key], "pos").drop("_h")
+    return placed.join(order, [*by, "epoch", "pos"]).select(*by, "step", "epoch", "pos", key)

@@ -50,6 +50,16 @@ def s14(t: Tables):
     return pending_runs(wanted, done, ["run", "scorer_version"]).select("run")
 
 
+@register("s14_incomplete_runs", _P + """SELECT run FROM (SELECT run, count(*) AS n, count(*) FILTER (WHERE run <> 'view' OR NOT refusal) AS written FROM predictions GROUP BY run)
+WHERE run = 'error' OR n <> written""")
+def s14_rows(t: Tables):
+    """One run has no result and one lacks the rows of refusals."""
+    p = t.predictions()
+    wanted = p.groupBy("run").agg(F.count(F.lit(1)).alias("n_expected"))
+    written = p.filter((F.col("run") != "error") & ((F.col("run") != "view") | ~F.col("refusal")))
+    return pending_runs(wanted, written.groupBy("run").agg(F.count(F.lit(1)).alias("n")), ["run"], "n_expected").select("run")
+
+
 @register("p02_limit_items", _P + """SELECT run, split, item_key, event_id FROM predictions
 QUALIFY row_number() OVER (PARTITION BY run, split ORDER BY ts, event_id) <= 25""")
 def p02(t: Tables):
@@ -69,6 +79,15 @@ def p10(t: Tables):
     return P.hash_shuffle(t.predictions(), "event_id", 42, 3, ["run"]).select("run", "event_id", "pos")
 
 
+@register("p10_cycled_steps", """WITH s AS (SELECT o_orderkey AS step, o_orderkey // n AS epoch, o_orderkey % n AS pos FROM orders, (SELECT count(*) AS n FROM part)),
+o AS (SELECT epoch, p_partkey, row_number() OVER (PARTITION BY epoch ORDER BY md5(CAST(42 + epoch AS VARCHAR) || '|' || CAST(p_partkey AS VARCHAR)), p_partkey) - 1 AS pos
+  FROM part, (SELECT DISTINCT epoch FROM s))
+SELECT step, epoch, pos, p_partkey FROM s JOIN o USING (epoch, pos)""")
+def p10_cycle(t: Tables):
+    steps = t.table("orders").select(F.col("o_orderkey").alias("step"))
+    return P.cycled_steps(steps, t.table("part"), "p_partkey", 42)
+
+
 @register("j01_align_runs", _AL + "SELECT run, split, item_key, entity, base_correct, method_correct, base_response, method_response FROM aligned")
 def j01(t: Tables):
     return _aligned(t)

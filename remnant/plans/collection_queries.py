@@ -204,6 +204,40 @@ def s03(t: Tables):
     )
 
 
+@register("s03_prediction_documents", """SELECT o_orderkey AS source_file, o_orderkey AS first_id, 2 AS n FROM orders WHERE o_orderkey % 7 <> 6""")
+def s03_predictions(t: Tables):
+    """A bare list, a list under each known key, and an object that holds no records."""
+    k = F.col("o_orderkey")
+    rows = F.concat(F.lit("[{\"id\":"), k.cast("string"), F.lit("},{\"id\":"), (k + 1).cast("string"), F.lit("},7]"))
+    text = F.when(k % 7 == 6, F.lit('{"other":1}')).otherwise(rows)
+    for i, name in enumerate(V.PREDICTION_KEYS):
+        text = F.when(k % 7 == i, F.concat(F.lit(f'{{"n":2,"{name}":'), rows, F.lit("}"))).otherwise(text)
+    files = t.table("orders").select(k.alias("source_file"), F.length(text).cast("bigint").alias("size_bytes"), text.alias("text"))
+    found = D.read_predictions(D.parse_docs(files))
+    return found.groupBy("source_file").agg(
+        F.min(F.try_variant_get("record", "$.id", "bigint")).alias("first_id"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@register("s03_json_or_lines", """SELECT CAST(count(*) FILTER (WHERE doc_id % 9 <> 0 OR doc_id % 2 = 0) AS BIGINT) AS n_docs, CAST(count(*) FILTER (WHERE doc_id % 9 = 0 AND doc_id % 2 = 1) AS BIGINT) AS n_errors,
+CAST(sum(CASE WHEN doc_id % 9 <> 0 OR doc_id % 2 = 0 THEN doc_id END) AS BIGINT) AS id_sum FROM documents""")
+def s03_mixed(t: Tables):
+    """Files of one JSON list, and files of lines of which some are broken."""
+    path = new_dir(t.spark, "mixed")
+    k, line = F.col("doc_id"), F.to_json(F.struct("doc_id"))
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(line), ",\n"), F.lit("]"))
+    docs = t.documents()
+    whole = docs.filter(k % 2 == 0).groupBy(F.floor(k / 64)).agg(body.alias("value")).select("value")
+    whole.write.option("maxRecordsPerFile", 1).text(f"{path}/whole")
+    broken = F.when(k % 9 == 0, F.lit("{bad")).otherwise(line)
+    docs.filter(k % 2 == 1).select(broken.alias("value")).write.text(f"{path}/lines")
+    rows = D.read_json_or_jsonl(t.spark, [f"{path}/whole", f"{path}/lines"])
+    ids = rows.select("error", F.explode_outer(F.coalesce(
+        F.try_variant_get("doc", "$", "array<struct<doc_id:bigint>>"), F.array(F.try_variant_get("doc", "$", "struct<doc_id:bigint>"))
+    )).alias("e"))
+    return ids.agg(F.count("e.doc_id").alias("n_docs"), F.count("error").alias("n_errors"), F.sum("e.doc_id").alias("id_sum"))
+
+
 @register("s05_scan_result_docs", "SELECT CAST(count(DISTINCT o_custkey % 40) AS BIGINT) AS n_files, 0 AS n_errors FROM orders WHERE o_custkey % 40 <> 7")
 def s05(t: Tables):
     """Result files of 40 folders, one of them excluded as the collector's own output."""

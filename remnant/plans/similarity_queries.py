@@ -11,6 +11,7 @@ from remnant.operators import alignment as J
 from remnant.operators import behaviour as A
 from remnant.operators import bootstrap as B
 from remnant.operators import pairwise as W
+from remnant.operators import quality as Q
 from remnant.operators import similarity as C
 from remnant.operators import stats as K
 from remnant.plans import sql as S
@@ -357,6 +358,26 @@ def a14(t: Tables):
     return A.audit_taxonomy(deltas, C.component_summary(C.component_profile(t.pairs())))
 
 
+_SPREAD = 0.01
+
+
+@register("g10_cka_checks", _CKA[:-1] + f""", pm AS (SELECT run, component, avg(cka) AS v FROM cka GROUP BY run, component)
+SELECT 'rates in range' AS "check", CASE WHEN count(*) FILTER (WHERE v < 0 OR v > 1) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) FILTER (WHERE v < 0 OR v > 1) AS n_bad FROM pm
+UNION ALL SELECT 'mean_cka spread', CASE WHEN abs(max(v) - min(v) - {_SPREAD}) < 1e-3 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN abs(max(v) - min(v) - {_SPREAD}) < 1e-3 THEN 0 ELSE 1 END FROM pm""")
+def g10_cka(t: Tables):
+    return Q.range_checks(C.component_summary(C.component_profile(t.pairs())), ["mean_cka"], expected_spread={"mean_cka": _SPREAD})
+
+
+@register("k06_method_correlation", with_(*_PAIRS, *cka_ctes("pairs", G), S.PREDICTIONS, f"""grid AS (SELECT c.component AS metric, c.v AS a, p.m AS b
+FROM (SELECT {_RUN_CASE} AS run, (avg(score) FILTER (WHERE attack = 'direct') + avg(score) FILTER (WHERE attack = 'rephrase') + avg(score) FILTER (WHERE attack = 'crop') + avg(score) FILTER (WHERE attack = 'perturb')) / 4 AS m
+  FROM predictions GROUP BY predictions.run) p JOIN (SELECT run, component, avg(cka) AS v FROM cka GROUP BY run, component) c USING (run))""", _RANKED.format(g="metric", s="grid"))
+  + f"""SELECT metric, count(*) AS n, CASE WHEN {_OKC} THEN {r('corr(a, b)')} END AS pearson_r, CASE WHEN {_OKC} THEN {r('corr(ra, rb)')} END AS spearman_r,
+CASE WHEN count(*) < 3 THEN 'insufficient data' WHEN {_OKC} THEN 'ok' ELSE 'constant input' END AS status FROM rk GROUP BY metric""")
+def k06(t: Tables):
+    """Do methods that keep a component recover more?  One row per metric."""
+    return K.correlate(j04(t), "value", "mean_recovery", ["metric"], p_values=False)
+
+
 # -- bootstraps ------------------------------------------------------------------------
 N_REP = 1000
 

@@ -127,6 +127,11 @@ def unwrap_records(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def read_predictions(docs: DataFrame) -> DataFrame:
+    """Records of a prediction document: a list, or the first list under a known key."""
+    return unwrap_records(docs, V.PREDICTION_KEYS).filter(F.col("source_key").isNull()).select("source_file", "record")
+
+
 def candidate_rows(docs: DataFrame) -> DataFrame:
     """Objects of a document that may be result rows.
 
