@@ -62,6 +62,21 @@ def test_invariance_and_small_groups(pairs):
     assert C.component_profile(pairs.filter("item_id < 3")).count() == 0
 
 
+def test_probe_solves_the_ridge_equations(pairs):
+    acts = pairs.withColumnRenamed("x", "vec").withColumn("label", (F.col("item_id") % 2).cast("double"))
+    fold = F.pmod(F.xxhash64("entity"), F.lit(2)).alias("fold")
+    of = np.array([r.fold for r in acts.select("item_id", fold).orderBy("item_id").collect()])
+    y = np.arange(N) % 2
+    got = {r.fold: r for r in C.entity_disjoint_probe(acts, "label").collect()}
+    assert set(got) == set(of)
+    for f in set(of):
+        a, b = X[of != f], y[of != f]
+        m = a.mean(0)
+        w = np.linalg.solve((a - m).T @ (a - m) + 1e-3 * len(a) * np.eye(P), (a - m).T @ (b - b.mean()))
+        hit = ((X[of == f] - m) @ w + b.mean() >= 0.5) == y[of == f]
+        assert got[f].n == (of == f).sum() and got[f].accuracy == pytest.approx(hit.mean())
+
+
 def test_translate_is_exact():
     t = K.summed_features(X - 50, Y)
     d, e = RNG.normal(size=P), RNG.normal(size=P)
