@@ -6,7 +6,9 @@ document is the mean log ratio of the two over its n-grams; the mean, so that le
 not decide.  Documents are sampled without replacement by Gumbel top-k: the key is
 SHARPNESS * importance plus a Gumbel number drawn from the document's id, and the k largest keys
 stay.  k is the number of documents that the labels call good: those at or above the importance
-that best separates the labelled sample.
+that best separates labelled documents which the target model has not seen.  For that, a
+fifth of the documents labelled good is held back from the target model; with the documents
+labelled bad it chooses the cut.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remnant.llm.common import bounded_labels, text_udf, uniform, words
+from remnant.llm.common import WORD, bounded_labels, text_udf, uniform, words
 from remnant.sources.storage import materialize
 
 BUCKETS = 1 << 17
@@ -44,7 +46,7 @@ def grams(text: str | None, buckets: int) -> np.ndarray:
 
 class Model(NamedTuple):
     weight: np.ndarray  # log ratio by bucket
-    cut: float  # importance that best separates the labelled sample
+    cut: float  # importance that best separates labelled documents outside the fit
 
 
 def _counter(good: np.ndarray, buckets: int):
@@ -152,11 +154,29 @@ def gumbel(doc_id: Column) -> Column:
     return -F.log(-F.log(uniform(SEED, doc_id.cast("string"))))
 
 
+def split_good(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fitted, held back): every fifth id in the order of a hash is held back, one at least.
+
+    A single id is in both, as there is nothing else to fit or to choose the cut on.
+    """
+    ids = np.sort(np.asarray(good, np.int64))
+    ids = ids[np.argsort([crc32(f"{SEED}:{i}".encode()) for i in ids.tolist()], kind="stable")]
+    back = np.arange(len(ids)) % 5 == 0
+    return (ids[~back], ids[back]) if len(ids) > 1 else (ids, ids)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, DataFrame]:
-    """Weights by bucket, and the labelled sample (doc_id, y)."""
+    """Weights by bucket, and the labelled documents (doc_id, y) to choose the cut on.
+
+    The target model counts documents with words only, and each part has some of those.
+    """
     sample = materialize(bounded_labels(labels, "quality", bound, SEED))
-    good = [r["doc_id"] for r in sample.filter("y = 1").select("doc_id").collect()]
-    return log_ratio(docs, np.array(good, np.int64), buckets), sample
+    worded = docs.filter(F.col("text").cast("string").rlike(WORD)).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    good = sample.filter("y = 1").join(worded, "doc_id", "left_semi").select("doc_id").collect()
+    fitted, held = split_good(np.array([r["doc_id"] for r in good], np.int64))
+    known = sample.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(held, pa.int64())}))
+    unseen = sample.filter("y = 0").unionByName(sample.filter("y = 1").join(known, "doc_id", "left_semi"))
+    return log_ratio(docs, fitted, buckets), unseen
 
 
 def resample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buckets: int = BUCKETS):
@@ -167,11 +187,11 @@ def resample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, buckets:
     rows whose key equals the k-th largest are kept.  Without good or without bad labels
     everything with words is kept.  Other columns of docs are ignored.
     """
-    weight, sample = fit(docs, labels, bound, buckets)
+    weight, unseen = fit(docs, labels, bound, buckets)
     rows = docs.select("doc_id", importance(F.col("text"), weight).alias("s")).select("doc_id", "s.*")
     rows = materialize(rows.withColumn("key", key_of(F.col("importance"), F.col("doc_id"))))
     # Of rows that repeat an id the least counts, so that the sample stays bounded.
-    known = rows.filter("importance is not null").join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("importance").alias("importance")).toPandas()
+    known = rows.filter("importance is not null").join(unseen, "doc_id").groupBy("doc_id", "y").agg(F.min("importance").alias("importance")).toPandas()
     cut = best_cut(known["importance"].to_numpy(float), known["y"].to_numpy(int))
     k = rows.filter(F.col("importance") >= F.lit(float(cut))).count()
     least = kth_largest(rows, "key", k)

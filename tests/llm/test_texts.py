@@ -182,6 +182,26 @@ def test_classifier(spark):
     assert Q.resample(docs, labels.limit(0))[0].filter("kept").count() == docs.count() - 2
 
 
+def test_cut_is_chosen_on_unseen_documents(spark):
+    # Every text has words of its own, so that good documents of the fit look better than others.
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        w = rng.choice([f"{'b' if bad else 'g'}{k}" for k in range(60)], 12).tolist() + rng.choice([f"c{k}" for k in range(60)], 20).tolist() + [f"own{i}x{k}" for k in range(30)]
+        rows.append((i, " ".join(rng.permutation(w))))
+        if i < 300:
+            labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = Q.resample(docs, labels)[0].toPandas().set_index("doc_id")
+    unseen = [i for i in range(300, 800) if i % 4]
+    assert got.loc[unseen, "kept"].mean() > 0.97
+    assert got.loc[[i for i in range(300, 800) if i % 4 == 0], "kept"].mean() < 0.03
+    fitted, held = Q.split_good(np.arange(101))
+    assert not set(fitted) & set(held) and sorted([*fitted, *held]) == list(range(101)) and len(held) == 21 and len(Q.split_good([4, 9])[0]) == 1
+
+
 def test_kth_largest(spark):
     v = np.random.default_rng(2).normal(size=30_000).tolist() + [5.0] * 40 + [float("nan")] * 0
     df = spark.createDataFrame([(x,) for x in v], "v double").repartition(5)
