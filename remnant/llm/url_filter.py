@@ -4,10 +4,13 @@ Hosts are nodes; an edge counts the pages of one host that link to another.  Tru
 hosts whose pages an allow rule names and flows along links (personalised PageRank); distrust
 starts at hosts whose pages a block rule names and flows against links, to hosts that point
 there.  A page that no rule fits is blocked if its host's distrust is larger than its trust.
+Rounds go on until both have settled and reach no further host.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from remnant.sources.storage import discard, stored
 #: Fixed values: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-10  # summed change of both vectors
+#: Rounds after which the change is within TOLERANCE on any graph; only hosts still to be reached take more.
+ROUNDS = math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING))
 RATIO = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
@@ -55,10 +60,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after `rounds` rounds; seeds: host, allowed, blocked (page counts).
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust once settled; seeds: host, allowed, blocked (page counts).
 
-    Each seed vector is scaled to sum one.  Mass at hosts without edges is not passed on.
+    Each seed vector is scaled to sum one.  Mass at hosts without edges is not passed on.  The
+    last round changes both vectors by `tolerance` in sum at most and reaches no further host:
+    what is reached only grows, so a round that reaches nothing new is the end of that.
     """
     edges, _ = stored(edges, "links")
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
@@ -77,20 +84,26 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     flows, flow_path = stored(forth.unionByName(back), "flows")
     state = nodes.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     spark, path_ = seeds.sparkSession, None
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         moved = (
             flows.join(state.select(F.col("host").alias("at"), "trust", "distrust"), "at").groupBy("to")
             .agg(F.sum(F.col("ft") * F.col("trust")).alias("mt"), F.sum(F.col("fd") * F.col("distrust")).alias("md"))
         )
         old = path_
         state, path_ = stored(
-            nodes.join(moved, F.col("host") == F.col("to"), "left").select(
-                "host", "t0", "d0",
+            state.join(moved, F.col("host") == F.col("to"), "left").select(
+                "host", "t0", "d0", F.col("trust").alias("_t"), F.col("distrust").alias("_d"),
                 ((1 - damping) * F.col("t0") + damping * F.coalesce("mt", F.lit(0.0))).alias("trust"),
                 ((1 - damping) * F.col("d0") + damping * F.coalesce("md", F.lit(0.0))).alias("distrust"),
             ),
             "hosts",
         )
+        reached = ((F.col("trust") > 0) & (F.col("_t") == 0)) | ((F.col("distrust") > 0) & (F.col("_d") == 0))
+        change, further = state.agg(
+            F.sum(F.abs(F.col("trust") - F.col("_t")) + F.abs(F.col("distrust") - F.col("_d"))), F.count(F.when(reached, 1))
+        ).first()
+        settled = not further and (change or 0.0) <= tolerance
         if old:
             discard(spark, old)
     discard(spark, flow_path)

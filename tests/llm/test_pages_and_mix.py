@@ -117,6 +117,15 @@ def test_links_reach_verdicts(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_propagation_reaches_far_hosts_and_settles(spark):
+    far = 16
+    rows = [(0, "http://bad.example.org/es/1", "")] + [(i, f"http://n{i}.net/", f'<a href="http://{"bad.example.org" if i == 1 else f"n{i - 1}.net"}/es/">') for i in range(1, far)]
+    rows += [(90, "http://x.net/", '<a href="http://y.net/">'), (91, "http://y.net/", '<a href="http://x.net/">')]
+    got = {r["page_id"]: r for r in U.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i]["verdict"] == "block" for i in range(far)) and got[90]["verdict"] == got[91]["verdict"] == "allow"
+    assert [got[i]["distrust"] for i in range(far)] == pytest.approx([0.15 * 0.85**i for i in range(far)], rel=1e-6)
+
+
 def brute_targets(sizes, share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: M.WEIGHTS[i % 3] for i, s in enumerate(names)}
