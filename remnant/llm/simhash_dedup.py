@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remnant.llm.common import (
@@ -35,7 +35,7 @@ from remnant.llm.common import (
     text_udf,
     words,
 )
-from remnant.sources.storage import materialize
+from remnant.sources.storage import materialize, stored
 
 SHINGLE = 3
 SEED = 42
@@ -193,32 +193,47 @@ def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link_groups, "a bigint, b bigint")
 
 
+def classes_of(fingerprints: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(fp, class) per distinct fp; classes are named by their least fingerprint, never by an id."""
+    merged = components(links(fingerprints.select(F.col("fp").alias("id"), "fp"), chunk))
+    return fingerprints.join(merged, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest id reachable.
 
-    Rows with equal ids and texts stay rows.  Texts without words have fingerprint zero and link
-    like any other.  A null id gets a fingerprint, and a null component unless its fingerprint
-    also occurs with an id.  Other columns of docs are ignored.
+    Rows with equal ids and texts stay rows, and rows that share an id only are no link.  Texts
+    without words have fingerprint zero and link like any other.  A null id gets a fingerprint,
+    and a null component unless its fingerprint also occurs with an id.  Other columns of docs
+    are ignored.
     """
     rows = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    merged = components(links(classes, chunk))
-    final = classes.join(merged, F.col("id") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
+    named = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
+    found = materialize(named.join(classes_of(named, chunk), "fp"))
+    least = found.groupBy("class").agg(F.min("id").alias("component_id"))
+    final = found.join(least, "class").select("fp", "component_id")
     return rows.join(final, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with its smallest id.
+    """The rows of docs that stay: of each component the row with the smallest id, then the least text.
 
-    Of rows that repeat that id, one stays (the least text).  Rows without an id stay.
+    Rows without an id are told apart by their texts like others, and one of each component stays
+    beside the one with an id.  Every row has a number of its own, so equal ids join nothing.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    mine = docs.join(keep, F.col(id_col).cast("bigint") == F.col("_keep"), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    mine = mine.withColumn("_copy", F.row_number().over(w)).filter("_copy = 1").drop("_copy")
-    return mine.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows, _ = stored(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fp", fingerprint(F.col(text_col))), "rows")
+    found = classes_of(materialize(rows.select(F.col("_fp").alias("fp")).distinct()))
+    keys = rows.select("_row", F.col("_fp").alias("fp"), F.col(id_col).cast("bigint").alias("_id")).join(found, "fp").select("_row", "class", "_id", F.col("_id").isNull().alias("_null"))
+    keys, _ = stored(keys, "keys")
+    first = keys.groupBy("class", "_null").agg(F.min("_id").alias("_id"))
+    same = (keys["class"] == first["class"]) & keys["_id"].eqNullSafe(first["_id"])
+    tied, _ = stored(keys.join(first, same, "left_semi"), "tied")
+    # Texts are only compared where several rows have the least id.
+    count = tied.groupBy("class", "_null").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"))
+    several = tied.join(count.filter("n > 1").select("class", "_null"), ["class", "_null"], "left_semi")
+    texts = several.join(rows.select("_row", F.col(text_col).alias("_text")), "_row")
+    least = texts.groupBy("class", "_null").agg(F.min(F.struct("_text", "_row"))["_row"].alias("_row"))
+    keep = count.filter("n = 1").select("_row").unionByName(least.select("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)

@@ -109,6 +109,19 @@ def test_simhash_rows(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shared_ids_join_nothing(spark):
+    rng = np.random.default_rng(21)
+    a, b, c = (" ".join(rng.choice([f"{k}{i}" for i in range(200)], 60)) for k in "abc")
+    rows = [(5, a, 1), (5, b, 2), (9, b, 3), (None, c, 4), (None, c, 5), (7, a, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in S.keep_one(docs).collect())
+    assert kept == sorted([(5, a), (5, b), (-1, c)])
+    many = spark.createDataFrame([(1, " ".join(f"x{i}y{k}" for k in range(20)), i) for i in range(40)], "doc_id bigint, text string, n int")
+    assert S.keep_one(many).count() == 40
+    got = {(r["doc_id"], r["fp"]) : r["component_id"] for r in S.near_duplicates(docs).collect()}
+    assert {v for (i, _), v in got.items() if i is not None} == {5}
+
+
 def brute_vectors(rows, threshold=0.93):
     ok = [v is not None and lab is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for _, v, lab in rows]
     pairs = []
