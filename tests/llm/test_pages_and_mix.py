@@ -66,6 +66,13 @@ def test_host_array(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_hinted_wrappers_keep_articles():
+    for kind in ("class='has-sidebar'", "id='page' class='no-sidebar'", "class='header-fixed'", "class='social-science'", "class='sidebar'"):
+        assert H.main_text(f"<div {kind}><article><p>whole text</p></article></div>") == "whole text", kind
+    assert H.main_text("<article class='post ad-free'>whole text</article>") == "whole text"
+    assert H.main_text("<div class='site-footer'>f</div><div class='sidebar'>s</div><section class='comment-list'><article>said</article></section>u") == "u"
+
+
 URLS = [None, "", "no scheme", "http://A.Example.org/es/x?q", "https://example.org/en/1", "http://x.com", "http://x.com/fr/1#a", "http://com/de/1", "x://y://z/p", "http://ex.com?x=/de/", "http://notexample.org/es/", "http://example.org/en/2"]
 
 
