@@ -73,6 +73,20 @@ def test_hinted_wrappers_keep_articles():
     assert H.main_text("<div class='site-footer'>f</div><div class='sidebar'>s</div><section class='comment-list'><article>said</article></section>u") == "u"
 
 
+def test_page_decides_by_blocks_and_copies_keep_text(spark):
+    rng = np.random.default_rng(5)
+    banner = "all pages of this host have one banner text here"
+    own = [" ".join(rng.choice([f"w{k}" for k in range(900)], 60)) for _ in range(24)]
+    quote = "six words that two pages share"
+    rows = [(i, f"http://a.com/{i}", f"<div>{banner}</div><p>{o} {quote if i < 2 else ''}</p>{'<p>Introduction</p>' if i < 2 else ''}") for i, o in enumerate(own)]
+    rows += [(10, "http://a.com/10", f"<div>{banner}</div><p>its own words</p><article class='comment-body'>said</article>"), (11, "http://a.com/11", f"<!-- <article> --><div>{banner}</div><p>others than those</p>")]
+    rows += [(20, "http://b.com/1", f"<p>{own[0]} one</p>"), (21, "http://b.com/2", f"<p>{own[0]} two</p>")]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[10] == "its own words" and got[11] == "others than those"
+    assert got[0] == f"{own[0]} {quote}\n\nIntroduction" and got[5] == own[5]
+    assert got[20] == f"{own[0]} one" and got[21] == f"{own[0]} two"
+
+
 URLS = [None, "", "no scheme", "http://A.Example.org/es/x?q", "https://example.org/en/1", "http://x.com", "http://x.com/fr/1#a", "http://com/de/1", "x://y://z/p", "http://ex.com?x=/de/", "http://notexample.org/es/", "http://example.org/en/2"]
 
 
