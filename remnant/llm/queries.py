@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remnant.llm import (
+    chat_formatting,
     embedding_dedup,
     html_extraction,
+    lexical_search,
     mixing,
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
     simhash_dedup,
     token_counts,
+    tokenizer_alignment,
     toxicity,
     url_filter,
 )
@@ -92,6 +95,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation and of one that says control strings."""
+    said = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_formatting.digests(rows.unionByName(said))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token links of every document, weighed by how many documents hold them."""
+    found, _ = tokenizer_alignment.align(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, each written and read again."""
     import corpus_pipeline
@@ -103,7 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_embedding_dedup, op3_sentencepiece, op4_toxicity, op5_quality_rules, op6_quality_classifier,
-        op7_simhash_dedup, op8_url_filter, op9_mixing, op10_html_extraction, pipeline,
+        op7_simhash_dedup, op8_url_filter, op9_mixing, op10_html_extraction, op11_lexical_search,
+        op12_chat_formatting, op13_tokenizer_alignment, pipeline,
     )
 }
 
@@ -131,4 +157,32 @@ m AS (SELECT place, round, max((h, id, size)) AS last FROM g WHERE upto <= (SELE
 SELECT c.doc_id, c.size, c.source_size, c.target,
   (CASE WHEN c.size > 0 THEN c.size * ((CASE WHEN (h, id, size) <= m0.last THEN 1 ELSE 0 END) + (CASE WHEN (h, id, size) <= m1.last THEN 1 ELSE 0 END)) ELSE 0 END)::bigint AS taken
 FROM c LEFT JOIN m m0 ON m0.place = c.place AND m0.round = 0 LEFT JOIN m m1 ON m1.place = c.place AND m1.round = 1""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*)::bigint AS n_docs, sum(len(t))::bigint AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, n, term, count(*)::bigint AS tf FROM (SELECT row_number() OVER () AS r, doc_id, len(t)::bigint AS n, unnest(t) AS term FROM d) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint AS w FROM (SELECT term, count(*)::bigint AS df FROM p GROUP BY term), s),
+q AS (
+  SELECT item_id, term, count(*)::bigint AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+x AS (
+  SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, r, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::integer AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op12_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '(<)(/?s>)', '\1\\\2', 'g'), '(\[)((/?(INST|OUT|SYS|ROLE)|TEXT)\])', '\1\\\2', 'g'))
+    + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 18 WHEN 'assistant' THEN 18 ELSE 24 + length(
+      regexp_replace(regexp_replace(replace(role, '\', '\\'), '(<)(/?s>)', '\1\\\2', 'g'), '(\[)((/?(INST|OUT|SYS|ROLE)|TEXT)\])', '\1\\\2', 'g')) END AS chars FROM c)
+SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
