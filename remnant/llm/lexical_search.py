@@ -39,6 +39,9 @@ FIRST_BLOCK = 512  # postings of a list's first block, about
 TABLE_BITS = 20  # of the bit table of wanted terms: 128 KB whatever the items
 Q_STEP = 1000  # width of a histogram cell
 KNOWN = 500_000  # terms whose bit a worker remembers
+MASK_BITS = 62  # lists in a mask column
+BROADCAST_ROWS = 200_000  # of the remaining documents; more of them are joined by a shuffle
+SMALL_FILES = 8
 
 #: Bytes of terms: digits, letters (A-Z as a-z) and all of U+0080 and above; the others separate.
 TERM_BYTES = bytes(
@@ -152,6 +155,19 @@ def build_index(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
     return path, blocks.join(ids.select("term", "tid"), "term")
 
 
+def fronts(lists: DataFrame, last: int) -> DataFrame:
+    """item, block, total, unread: per list of the item, the largest impact behind that block.
+
+    unread is an array by slot, as long as the item has lists.
+    """
+    steps = lists.select("item", "slot", "mw").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    behind = F.when(F.col("block") > F.col("b"), F.col("mw") * F.col("top"))
+    per_list = lists.join(steps.drop("mw"), ["item", "slot"]).groupBy("item", "b", "slot").agg(F.coalesce(F.max(behind), F.lit(0)).alias("f"))
+    return per_list.groupBy("item", "b").agg(
+        F.sum("f").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("slot", "f"))), lambda x: x["f"]).alias("unread")
+    ).withColumnRenamed("b", "block")
+
+
 def search(
     docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", first_block: int = FIRST_BLOCK,
@@ -167,60 +183,80 @@ def search(
     asked, _ = stored(asked.groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("times")), "asked")
     names, _ = stored(asked.select("id").distinct().select("id", F.monotonically_increasing_id().alias("item")), "items")
     path, blocks = build_index(docs, asked.select("term").distinct(), id_col, text_col, first_block)
-    blocks, _ = stored(
+    slot = F.dense_rank().over(Window.partitionBy("item").orderBy("tid")) - 1
+    lists, _ = stored(
         asked.join(names, asked["id"].eqNullSafe(names["id"])).select("item", "term", "times").join(blocks.filter("w > 0"), "term")
-        .select("item", "tid", (F.col("times") * F.col("w")).alias("mw"), "block", "top"), "lists",
+        .select("item", "tid", slot.alias("slot"), (F.col("times") * F.col("w")).alias("mw"), "block", "top"), "lists",
     )
+    last, slots = lists.agg(F.max("block"), F.max("slot")).first()
     kind = docs.schema[id_col].dataType.simpleString()
-    postings = spark.read.schema(f"tid bigint, rid bigint, id {kind}, q bigint, block int").parquet(path)
-    last = blocks.agg(F.max("block")).first()[0]
+    found = spark.createDataFrame([], f"item bigint, rank int, id {kind}, lower bigint")
+    if last is not None:
+        postings = spark.read.schema(f"tid bigint, rid bigint, id {kind}, q bigint, block int").parquet(path)
+        for part in _rounds(postings, lists, fronts(lists, last), k, last, slots // MASK_BITS + 1):
+            found = found.unionByName(part.select(*found.columns))
+    discard(spark, path)
+    return found.join(names.withColumnRenamed("id", "name"), "item").select(
+        F.col("name").alias(item_col), "rank", F.col("id").alias(id_col), F.col("lower").alias("score")
+    )
+
+
+def _rounds(postings: DataFrame, lists: DataFrame, front: DataFrame, k: int, last: int, words: int) -> Iterator[DataFrame]:
+    """The best documents of the items that each round settles.
+
+    The state has a row per item and document that may still be among the best: the sum of the
+    impacts seen, and a bit for each list in which it was seen, in `words` columns.
+    """
+    spark = postings.sparkSession
+    front, _ = stored(front, "fronts")
+    masks = [f"m{j}" for j in range(words)]
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     best = Window.partitionBy("item").orderBy(F.col("lower").desc(), place)
-    todo = names.select("item", F.lit(False).alias("closed"))
-    state, results, old = None, [], []
-    for block in range(0 if last is None else last + 1):
-        live_lists = blocks.join(todo, "item")
-        # Largest impact that is still unread in each list of each item.
-        front = live_lists.groupBy("item", "tid").agg(F.coalesce(F.max(F.when(F.col("block") > block, F.col("mw") * F.col("top"))), F.lit(0)).alias("f"))
-        new = postings.filter(F.col("block") == block).join(
-            live_lists.filter(F.col("block") == block).select("item", "tid", "mw", "closed"), "tid"
-        ).select("item", "rid", "id", "tid", (F.col("mw") * F.col("q")).alias("impact"), "closed")
-        if state is not None:
-            known = state.select("item", "rid").distinct()
-            new = new.filter(~F.col("closed")).unionByName(new.filter("closed").join(known, ["item", "rid"], "left_semi"))
-        seen = new.drop("closed")
-        seen, seen_path = stored(seen if state is None else seen.unionByName(state), "seen")
-        total = front.groupBy("item").agg(F.sum("f").alias("unseen"))
-        bounds, bounds_path = stored(
-            seen.join(front, ["item", "tid"]).groupBy("item", "rid", "id").agg(F.sum("impact").alias("lower"), F.sum("f").alias("own"))
-            .join(total, "item").select("item", "rid", "id", "lower", (F.col("lower") + F.col("unseen") - F.col("own")).alias("upper")), "bounds",
+    unseen = F.expr(
+        f"aggregate(transform(unread, (f, i) -> if(shiftright(element_at(array({', '.join(masks)}), cast(i div {MASK_BITS} as int) + 1), i % {MASK_BITS}) % 2 = 0, f, 0L)), 0L, (x, y) -> x + y)"
+    )
+    columns = ["item", "rid", "id", "lower", *masks]
+    read = [(F.col("mw") * F.col("q")).alias("lower")] + [
+        F.when(F.floor(F.col("slot") / MASK_BITS) == j, F.expr(f"shiftleft(1L, slot % {MASK_BITS})")).otherwise(F.lit(0)).cast("bigint").alias(m) for j, m in enumerate(masks)
+    ]
+    open_items, live, n_live, live_path = lists.select("item").distinct(), None, 0, None
+    for block in range(last + 1):
+        here, step = postings.filter(F.col("block") == block).drop("block"), lists.filter(F.col("block") == block)
+        seen = here.join(step.join(open_items, "item", "left_semi"), "tid").select("item", "rid", "id", *read)
+        if live is not None:
+            # Items that no unseen document can reach: only what their remaining documents have here.
+            left = live.filter("closed").select("item", "rid")
+            left = F.broadcast(left) if n_live <= BROADCAST_ROWS else left
+            seen = seen.unionByName(here.join(left, "rid").join(step, ["item", "tid"]).select("item", "rid", "id", *read)).unionByName(live.select(*columns))
+        state, state_path = stored(
+            seen.groupBy("item", "rid", "id").agg(F.sum("lower").alias("lower"), *[F.bit_or(m).alias(m) for m in masks]), "state"
         )
-        top, top_path = stored(bounds.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "top")
-        kth = top.filter(F.col("rank") == k).select("item", F.col("lower").alias("floor"), place.alias("place"))
-        reach = (F.col("upper") > F.col("floor")) | ((F.col("upper") == F.col("floor")) & (place <= F.col("place")))
-        live = bounds.join(kth, "item", "left").filter(F.col("floor").isNull() | reach)
-        per_item = live.groupBy("item").agg(F.count(F.lit(1)).alias("n_live"))
-        met = top.groupBy("item").agg(F.count(F.lit(1)).alias("n_top"), F.bool_and(F.col("lower") == F.col("upper")).alias("met"), F.max(F.when(F.col("rank") == k, F.col("lower"))).alias("floor"))
-        state_of, path_of = stored(
-            total.join(met, "item", "left").join(per_item, "item", "left").select(
-                "item", ((F.col("unseen") == 0) | F.coalesce(F.col("unseen") < F.col("floor"), F.lit(False))).alias("closed"),
-                (F.coalesce("met", F.lit(True)) & F.coalesce(F.col("n_live") == F.col("n_top"), F.lit(True))).alias("same"),
-            ), "verdicts",
+        if live_path:
+            discard(spark, live_path)
+        ahead = front.filter(F.col("block") == block).drop("block")
+        top, _ = stored(
+            state.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(ahead, "item")
+            .select("item", "rank", "rid", "id", "lower", (unseen == 0).alias("met")).coalesce(SMALL_FILES), "top",
         )
-        results.append(top.join(state_of.filter("closed and same"), "item", "left_semi"))
-        todo = state_of.filter("not (closed and same)").select("item", "closed")
-        for x in old:
-            discard(spark, x)
-        old = [seen_path, bounds_path]
-        if todo.isEmpty():
+        limit = ahead.join(top.filter(F.col("rank") == k).select("item", F.col("lower").alias("floor"), place.alias("place")), "item", "left")
+        limit = limit.withColumn("closed", (F.col("total") == 0) | F.coalesce(F.col("total") < F.col("floor"), F.lit(False)))
+        upper = F.col("lower") + unseen
+        reach = (upper > F.col("floor")) | ((upper == F.col("floor")) & (place <= F.col("place")))
+        # The sum over all lists is a cheap bound that settles most rows.
+        reach = F.when(F.col("floor").isNull(), True).when(F.col("lower") + F.col("total") < F.col("floor"), False).otherwise(reach)
+        live, live_path = stored(state.join(limit, "item").filter(reach).select(*columns, "closed"), "live")
+        discard(spark, state_path)
+        settled, _ = stored(
+            live.groupBy("item").agg(F.count(F.lit(1)).alias("n_live"), F.first("closed").alias("closed"))
+            .join(top.groupBy("item").agg(F.count(F.lit(1)).alias("n_top"), F.bool_and("met").alias("met")), "item")
+            .select("item", "closed", "n_live", (F.col("closed") & F.col("met") & (F.col("n_live") == F.col("n_top"))).alias("done")).coalesce(1), "settled",
+        )
+        yield top.join(settled.filter("done"), "item", "left_semi")
+        todo = settled.filter("not done")
+        left_rows, n_live = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("closed"), F.col("n_live"))), F.lit(0))).first()
+        live = live.join(todo.select("item"), "item", "left_semi")
+        # Items without a document so far stay open.
+        open_items, _ = stored(open_items.join(settled.filter("closed"), "item", "left_anti").coalesce(1), "open")
+        if not left_rows and open_items.isEmpty():
             break
-        state = seen.join(live.join(todo, "item", "left_semi").select("item", "rid"), ["item", "rid"], "left_semi")
-    empty = f"item bigint, rid bigint, id {kind}, lower bigint, upper bigint, rank int"
-    found = spark.createDataFrame([], empty)
-    for r in results:
-        found = found.unionByName(r.select(*found.columns))
-    for x in [*old, path]:
-        discard(spark, x)
-    return found.join(names.withColumnRenamed("id", "name"), "item").select(
-        F.col("name").alias(item_col), "rank", F.col("id").alias(id_col), F.col("lower").alias("score")
-    )
+    discard(spark, live_path)

@@ -78,7 +78,7 @@ def test_search_stops_early(spark):
 
     def watched(df, name):
         out = original(df, name)
-        if name == "seen":
+        if name == "state":
             read.append(out[0].count())
         return out
 
