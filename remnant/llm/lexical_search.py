@@ -240,10 +240,10 @@ def _rounds(postings: DataFrame, lists: DataFrame, front: DataFrame, k: int, las
         )
         limit = ahead.join(top.filter(F.col("rank") == k).select("item", F.col("lower").alias("floor"), place.alias("place")), "item", "left")
         limit = limit.withColumn("closed", (F.col("total") == 0) | F.coalesce(F.col("total") < F.col("floor"), F.lit(False)))
-        upper = F.col("lower") + unseen
-        reach = (upper > F.col("floor")) | ((upper == F.col("floor")) & (place <= F.col("place")))
-        # The sum over all lists is a cheap bound that settles most rows.
-        reach = F.when(F.col("floor").isNull(), True).when(F.col("lower") + F.col("total") < F.col("floor"), False).otherwise(reach)
+        # While unseen documents can come in, all stay.  Then the sum over all lists is a cheap bound
+        # that settles most rows; whole numbers let one comparison decide the ties too.
+        exact = F.col("lower") + unseen + F.when(place <= F.col("place"), 1).otherwise(0) > F.col("floor")
+        reach = F.when(~F.col("closed") | F.col("floor").isNull(), True).when(F.col("lower") + F.col("total") < F.col("floor"), False).otherwise(exact)
         live, live_path = stored(state.join(limit, "item").filter(reach).select(*columns, "closed"), "live")
         discard(spark, state_path)
         settled, _ = stored(
