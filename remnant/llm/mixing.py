@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remnant.llm.common import text_udf, words
+from remnant.llm.common import WORD
 from remnant.sources.storage import materialize, stored
 
 WEIGHTS = (3, 1, 2)
@@ -32,7 +32,7 @@ ROUNDS = 2
 
 def size_of(text: Column) -> Column:
     """Number of words; null texts have none."""
-    return text_udf(lambda texts: {"n": [len(words(t)) for t in texts]}, "n bigint")(text.cast("string"))["n"]
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -123,24 +123,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     Documents are taken whole, up to twice.  Null and blank texts have size 0 and take nothing; a
     null source is a source of its own, placed last.  Rows equal in id, source and size are taken
-    alike.  Reruns agree, since order depends on ids alone.
+    alike.  Reruns agree, since order depends on ids alone.  Columns of docs with the new names
+    are replaced.
     """
+    found = _copies(docs, weights, share, most, id_col, text_col, source_col)
+    new = ("_size", "_source_size", "_target", "_taken")
+    taken = (F.col("copies") * F.col("size")).cast("bigint")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in new]
+    return found.select(*kept, F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), taken.alias("_taken"))
+
+
+def _copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """doc (a row of docs), size, source_size, target and copies, how often the mix takes the row."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    rows = docs.withColumn("_size", size_of(F.col(text_col)))
-    goals = stored(plan(sized, weights, share, most), "mix")[0].select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("last").alias("_last")
-    )
-    mine = F.struct(
-        shuffle_key(F.col(id_col)).alias("h"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col("_size").alias("size")
+    rows = docs.select(
+        F.struct("*").alias("doc"), size_of(F.col(text_col)).alias("size"), F.col(source_col).alias("own"),
+        shuffle_key(F.col(id_col)).alias("h"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
     )
-    joined = rows.join(goals, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    copies = sum((F.when(mine <= F.col("_last")[k], 1).otherwise(0) for k in range(ROUNDS)), F.lit(0))
-    copies = F.when(F.col("_size") > 0, F.coalesce(copies, F.lit(0))).otherwise(0)
-    return joined.withColumn("_taken", (copies * F.col("_size")).cast("bigint")).drop("_source", "_last")
+    goals, _ = stored(plan(sized, weights, share, most), "mix")
+    joined = rows.join(goals, F.col("own").eqNullSafe(F.col("source")), "left")
+    mine = F.struct("h", "id", "size")
+    copies = sum((F.when(mine <= F.col("last")[k], 1).otherwise(0) for k in range(ROUNDS)), F.lit(0))
+    copies = F.when(F.col("size") > 0, F.coalesce(copies, F.lit(0))).otherwise(0)
+    return joined.select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of docs; one taken twice is there twice."""
-    found = mix(docs, **options)
-    copies = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0).cast("int")
-    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_one")).select(*docs.columns)
+    found = _copies(docs, **options)
+    return found.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).select("doc.*")

@@ -207,4 +207,5 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the resampling keeps, with the columns of docs."""
     _, weight, least = resample(docs, labels, **options)
     value = importance(F.col("text"), weight)["importance"]
-    return docs.withColumn("_key", key_of(value, F.col("doc_id"))).filter(F.col("_key") >= F.lit(float(least))).drop("_key")
+    rows = docs.select(F.struct("*").alias("row"), key_of(value, F.col("doc_id")).alias("key"))
+    return rows.filter(F.col("key") >= F.lit(float(least))).select("row.*")

@@ -243,8 +243,13 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """The rows of docs that neither the base test nor a learned rule rejects."""
-    _, rules = judge(docs, labels, bound)
-    s = F.col("_s")
-    rows = docs.withColumn("_s", statistics(F.col("text")))
-    return rows.filter(~base_failed(s) & expression(rules, features(s)).isNull()).drop("_s")
+    """The rows of docs, with all columns, that neither the base test nor a learned rule rejects.
+
+    The rules are learned from the labelled documents alone, so every text is measured once.
+    """
+    sample = F.broadcast(bounded_labels(labels, "quality", bound, SEED).select("doc_id"))  # bounded by `bound`
+    labelled = docs.join(sample, "doc_id", "left_semi").select("doc_id", statistics(F.col("text")).alias("s"))
+    rules = learn_rules(labelled, labels, bound)
+    s = F.col("s")
+    rows = docs.select(F.struct("*").alias("row"), statistics(F.col("text")).alias("s"))
+    return rows.filter(~base_failed(s) & expression(rules, features(s)).isNull()).select("row.*")

@@ -223,9 +223,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id are told apart by their texts like others, and one of each component stays
     beside the one with an id.  Every row has a number of its own, so equal ids join nothing.
     """
-    rows, _ = stored(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fp", fingerprint(F.col(text_col))), "rows")
-    found = classes_of(materialize(rows.select(F.col("_fp").alias("fp")).distinct()))
-    keys = rows.select("_row", F.col("_fp").alias("fp"), F.col(id_col).cast("bigint").alias("_id")).join(found, "fp").select("_row", "class", "_id", F.col("_id").isNull().alias("_null"))
+    rows, _ = stored(
+        docs.select(
+            F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"), fingerprint(F.col(text_col)).alias("fp"),
+            F.col(id_col).cast("bigint").alias("_id"),
+        ),
+        "rows",
+    )
+    found = classes_of(materialize(rows.select("fp").distinct()))
+    keys = rows.select("_row", "fp", "_id").join(found, "fp").select("_row", "class", "_id", F.col("_id").isNull().alias("_null"))
     keys, _ = stored(keys, "keys")
     first = keys.groupBy("class", "_null").agg(F.min("_id").alias("_id"))
     same = (keys["class"] == first["class"]) & keys["_id"].eqNullSafe(first["_id"])
@@ -233,7 +239,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Texts are only compared where several rows have the least id.
     count = tied.groupBy("class", "_null").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"))
     several = tied.join(count.filter("n > 1").select("class", "_null"), ["class", "_null"], "left_semi")
-    texts = several.join(rows.select("_row", F.col(text_col).alias("_text")), "_row")
+    texts = several.join(rows.select("_row", F.col("doc")[text_col].alias("_text")), "_row")
     least = texts.groupBy("class", "_null").agg(F.min(F.struct("_text", "_row"))["_row"].alias("_row"))
     keep = count.filter("n = 1").select("_row").unionByName(least.select("_row"))
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    return rows.join(keep, "_row", "left_semi").select("doc.*")
