@@ -191,7 +191,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors.
 
-    Vectors with equal labels and as many components link at cosine >= threshold.  A vector that
+    Vectors with equal labels (of any type) and as many components link at cosine >= threshold.  A vector that
     is null, empty or zero, or has null, NaN or infinite components, or has a null label or a
     null id, links with nothing.  Rows that repeat an id are vectors of their own, except that
     n_links and component_id speak of ids.  Other columns are ignored.
@@ -202,7 +202,7 @@ def near_duplicates(
     valid = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & ~zero
     # Two 64-bit hashes of label and vector stand for them, so that vectors move once per class.
     rows = vectors.select(
-        F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"), v.alias("v"),
+        F.col(id_col).cast("bigint").alias("vec_id"), F.xxhash64(F.lit(3), F.col(label_col)).alias("label"), v.alias("v"),
         F.when(F.coalesce(valid, F.lit(False)), F.xxhash64(F.lit(1), F.col(label_col), v)).alias("k1"),
         F.when(F.coalesce(valid, F.lit(False)), F.xxhash64(F.lit(2), F.col(label_col), v)).alias("k2"),
     )

@@ -225,7 +225,7 @@ def test_registered_once():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
 
 
