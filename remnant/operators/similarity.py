@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from remnant.functions import kernels as K
+from remnant.operators.wide import tiled_cka
 
 PROFILE = ["run", "component", "layer"]
 MIN_ITEMS = 4
@@ -102,16 +103,20 @@ def moments_to_cka(moments: DataFrame, keep: list[str]) -> DataFrame:
 
 
 # -- CKA tables ------------------------------------------------------------------------
-def cka(pairs: DataFrame, by: list[str] | None = None, kind: str = "debiased") -> DataFrame:
-    """Linear CKA per group: by, n, cka.  `kind` is "debiased" or "biased"."""
+def cka(pairs: DataFrame, by: list[str] | None = None, kind: str = "debiased", tile: int | None = None) -> DataFrame:
+    """Linear CKA per group: by, n, cka.  `kind` is "debiased" or "biased".
+
+    tile: for widths of hundreds and more, products of column tiles of that width in place of
+    moments, whose state grows with the square of the width.
+    """
     by = by or PROFILE
-    out = moments_to_cka(paired_moments(pairs, by), by)
+    out = moments_to_cka(paired_moments(pairs, by), by) if tile is None else tiled_cka(pairs, by, tile=tile)
     return out.select(*by, "n", F.col(kind).alias("cka"))
 
 
-def component_profile(pairs: DataFrame, kind: str = "debiased", min_n: int = MIN_ITEMS) -> DataFrame:
+def component_profile(pairs: DataFrame, kind: str = "debiased", min_n: int = MIN_ITEMS, tile: int | None = None) -> DataFrame:
     """CKA of each (run, component, layer); groups below min_n rows are left out."""
-    return cka(pairs, PROFILE, kind).filter(F.col("n") >= min_n)
+    return cka(pairs, PROFILE, kind, tile).filter(F.col("n") >= min_n)
 
 
 def component_summary(profile: DataFrame, by=("run", "component")) -> DataFrame:

@@ -14,6 +14,7 @@ from remnant.operators import pairwise as W
 from remnant.operators import quality as Q
 from remnant.operators import similarity as C
 from remnant.operators import stats as K
+from remnant.operators.wide import tiled_cka
 from remnant.plans import sql as S
 from remnant.plans.behaviour_queries import RECOVERY
 from remnant.plans.registry import register
@@ -71,6 +72,12 @@ def c02(t: Tables):
     return C.cka(t.pairs())
 
 
+@register("c02_linear_cka_tiled", _CKA + f"SELECT {G}, n, {r('cka')} AS cka FROM cka")
+def c02_tiled(t: Tables):
+    """The same through column tiles, which do not fit the width, and blocks of few rows."""
+    return tiled_cka(t.pairs(), C.PROFILE, tile=3, block_bytes=1 << 14).select(*C.PROFILE, "n", F.col("debiased").alias("cka")).filter("n >= 4")
+
+
 _DIST = """dist AS (SELECT run, component, layer, a.item_id AS i, b.item_id AS j,
   list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dx, list_sum(list_transform(list_zip(a.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dy
   FROM pairs a JOIN pairs b USING (run, component, layer))"""
