@@ -12,6 +12,8 @@ replaces n x n Gram matrices, and resampling becomes a weighted sum of moment ve
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -312,56 +314,108 @@ def linear_probe(keep, schema, ridge):
     return run
 
 
-def replicate_partials(keys, schema, n_replicates, from_moments):
-    """mapInArrow: moments of every bootstrap replicate, one partial per key and task.
+def drawn_replicates(seed, schema):
+    """mapInArrow over (n_units, block, r0, r1, s0, s1): the replicates r0 <= r < r1 that draw a unit.
+
+    Each slot s0 <= s < s1 of a replicate draws one unit by the hash of (seed, replicate, slot).
+    A row per drawn unit lists its replicates, counted from r0, with repeats.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for job in batch.to_pylist():
+                n, r0, r1, s0, s1 = (job[k] for k in ("n_units", "r0", "r1", "s0", "s1"))
+                keys = []
+                for r in range(r0, r1):
+                    head = f"{seed}|{r}|"
+                    drawn = b"".join([md5(f"{head}{s}".encode()).digest()[:4] for s in range(s0, s1)])
+                    keys.append(np.frombuffer(drawn, ">u4").astype(np.int64) % n * (r1 - r0) + (r - r0))
+                keys = np.sort(np.concatenate(keys))
+                unit, rep = np.divmod(keys, r1 - r0)
+                at = np.flatnonzero(np.diff(unit, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(unit)).astype(np.int32)), pa.array(rep.astype(np.int16)))
+                m = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, n, np.int64)), pa.array(unit[at]), pa.array(np.full(m, r0, np.int32)), lists], schema=schema
+                )
+
+    return run
+
+
+def _weights(batch, idx, width):
+    """Rows x replicates: how often a replicate of the block draws the row's unit."""
+    reps = batch.column("reps").take(pa.array(idx))
+    owner = np.repeat(np.arange(len(idx)), reps.value_lengths().to_numpy(zero_copy_only=False))
+    hit = owner * width + reps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.bincount(hit, minlength=len(idx) * width).reshape(len(idx), width).astype(np.float64)
+
 
-    A row is a unit with the replicates that draw it (`reps`, with repeats) and its groups
-    (`g`): x, y rows, or moments of the whole unit.
+def replicate_blocks(keys, schema, n_replicates, width, from_moments, finish):
+    """mapInArrow over rows sorted by (keys, r0, salt): each block of replicates of a group.
+
+    Rows hold x and y, or the moments of a whole unit.  With `finish` a block's values are
+    complete and given out as debiased CKA, otherwise as moments that still have to be added up.
     """
+    full = [*keys, "r0", "salt"]
 
-    def shifted(rows, idx, c, d, p, q):
+    def features(rows, idx, c, d, p, q):
         if from_moments:
             return translate(_matrix(rows, "t", idx), p, q, c - _matrix(rows, "cx", idx), d - _matrix(rows, "cy", idx))
         return row_features(_matrix(rows, "x", idx) - c, _matrix(rows, "y", idx) - d)
 
-    def draw_weights(batch):
-        w = np.zeros((n_replicates, batch.num_rows))
-        reps = batch.column("reps")
-        unit = np.repeat(np.arange(batch.num_rows), reps.value_lengths().to_numpy(zero_copy_only=False))
-        np.add.at(w, (reps.flatten().to_numpy(zero_copy_only=False), unit), 1.0)
-        return w
+    def done(key, c, d, t):
+        by, r0 = key[: len(keys)], key[len(keys)]
+        m = min(width, n_replicates - r0)
+        t = t[:m]
+        if finish:
+            columns = [pa.array([k] * m, f.type) for k, f in zip(by, schema)]
+            value = cka_values(t, len(c), len(d))[2]
+            columns += [pa.array(np.arange(r0, r0 + m, dtype=np.int32)), pa.array(value, pa.float64(), mask=~np.isfinite(value))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            return
+        yield from _emit([(*by, r0 + r, len(c), len(d), c, d, t[r]) for r in range(m) if t[r].any()], schema)
 
-    def rows_of(state):
-        for key, (c, d, t) in state.items():
-            for r in range(n_replicates):
-                yield (*key, r, len(c), len(d), c, d, t[r])
+    def run(batches):
+        last = None
+        for batch in batches:
+            for key, idx in _groups(batch, full).items():
+                if last is not None and last[0] != key:
+                    yield from done(*last)
+                    last = None
+                w = _weights(batch, idx, width)
+                if last is None:
+                    names = ("cx", "cy") if from_moments else ("x", "y")
+                    last = [key, *(_matrix(batch, n, idx).mean(0) for n in names), 0.0]
+                _, c, d, _ = last
+                step = max(1, SLICE_DOUBLES // moment_slices(len(c), len(d))[1])
+                for at in range(0, len(idx), step):
+                    last[3] = last[3] + w[at : at + step].T @ features(batch, idx[at : at + step], c, d, len(c), len(d))
+        if last is not None:
+            yield from done(*last)
+
+    return run
+
+
+def replicate_sums(keys, schema, width):
+    """mapInArrow over (keys, r0, reps, value): number and sum of the drawn values per replicate."""
 
     def run(batches):
         state = {}
-        units = max(1, SLICE_DOUBLES // n_replicates)
-        for whole in batches:
-            for start in range(0, whole.num_rows, units):
-                batch = whole.slice(start, units)
-                w, g = draw_weights(batch), batch.column("g")
-                owner = np.repeat(np.arange(batch.num_rows), g.value_lengths().to_numpy(zero_copy_only=False))
-                rows = pa.RecordBatch.from_struct_array(g.flatten())
-                for key, idx in _groups(rows, keys).items():
-                    if key not in state:
-                        if from_moments:
-                            c, d = _matrix(rows, "cx", idx[:1])[0], _matrix(rows, "cy", idx[:1])[0]
-                        else:
-                            c, d = _matrix(rows, "x", idx).mean(0), _matrix(rows, "y", idx).mean(0)
-                        state[key] = [c, d, 0.0]
-                    c, d, _ = state[key]
-                    step = max(1, SLICE_DOUBLES // moment_slices(len(c), len(d))[1])
-                    for at in range(0, len(idx), step):
-                        part = idx[at : at + step]
-                        state[key][2] = state[key][2] + w[:, owner[part]] @ shifted(rows, part, c, d, len(c), len(d))
-                if sum(np.size(v[2]) for v in state.values()) > FLUSH_DOUBLES:
-                    yield from _emit(list(rows_of(state)), schema)
-                    state = {}
+        for batch in batches:
+            for key, idx in _groups(batch, [*keys, "r0"]).items():
+                w = _weights(batch, idx, width)
+                value = batch.column("value").to_numpy()[idx]
+                state[key] = state.get(key, 0.0) + np.stack([w.sum(0), w.T @ value])
+            if len(state) * width > FLUSH_DOUBLES:
+                yield from _emit(list(rows_of(state)), schema)
+                state = {}
         yield from _emit(list(rows_of(state)), schema)
 
+    def rows_of(state):
+        for key, (n, total) in state.items():
+            for r in np.flatnonzero(n).tolist():
+                yield (*key[:-1], key[-1] + r, float(n[r]), float(total[r]))
+
     return run
 
 

@@ -20,6 +20,9 @@ from remnant.operators.similarity import (
 )
 
 SEED = V.BOOTSTRAP_SEED
+BLOCK = 125  # replicates that a task draws or finishes together
+SLOTS = 1 << 16  # of a replicate that one task draws
+ROWS = 1 << 18  # units of a group that one task adds up
 
 
 def indexed_units(units: DataFrame, unit: str, by: list[str] | None = None) -> DataFrame:
@@ -54,10 +57,28 @@ def draw_counts(
     return counts.join(names, [*by, "unit_index"]).select(*by, unit, "replicate", "w")
 
 
-def _unit_draws(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
-    """One row per unit with the replicates that draw it (about `replicates` entries)."""
-    lists = draw_indices(units, unit, replicates, seed).groupBy("unit_index").agg(F.collect_list("replicate").alias("reps"))
-    return lists.join(indexed_units(units, unit).select("unit_index", unit), "unit_index").select(unit, "reps")
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is much larger than the bytes it reads, which Spark would deal out by."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _drawn(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """n_units, unit_index, r0, reps: the replicates of a block, counted from r0, that draw a unit.
+
+    sizes: distinct n_units.  The draws are made inside tasks, one per block of replicates and range
+    of slots; a unit has a row for each that draws it.
+    """
+    jobs = (
+        sizes.select("n_units", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("r0"))
+        .select("n_units", "r0", F.least(F.col("r0") + BLOCK, F.lit(replicates)).alias("r1"), F.explode(F.sequence(F.lit(0), F.col("n_units") - 1, F.lit(SLOTS))).alias("s0"))
+        .withColumn("s1", F.least(F.col("s0") + SLOTS, F.col("n_units")))
+    )
+    schema = T.StructType([
+        T.StructField("n_units", T.LongType()), T.StructField("unit_index", T.LongType()), T.StructField("r0", T.IntegerType()),
+        T.StructField("reps", T.ArrayType(T.ShortType())),
+    ])
+    return _map(jobs.repartition(_tasks(sizes)), schema, K.drawn_replicates, seed)
 
 
 def cka_replicates(
@@ -66,24 +87,29 @@ def cka_replicates(
     """Debiased CKA of every replicate: by, replicate, value.
 
     unit="item_id" resamples items; any other unit (entities) takes all its items, whose
-    moments are added up before the draws are applied.
+    moments are added up before the draws are applied.  Rows move once per block of replicates, and
+    the task that reads a group's rows for a block finishes its replicates.  Beyond ROWS units a
+    group is dealt to several tasks, whose moments are added up.
     """
     by = by or PROFILE
     from_moments = unit != "item_id"
     rows = paired_moments(pairs, [*by, unit]) if from_moments else pairs.select(*by, unit, "x", "y")
-    # A unit has one entry per group, so that its draws are joined once for all groups.
-    nested = rows.groupBy(unit).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != unit])).alias("g"))
-    schema = T.StructType(
-        _fields(rows, by) + [T.StructField("replicate", T.IntegerType())] + _MOMENTS
-    )
-    partial = _map(
-        nested.join(_unit_draws(pairs, unit, replicates, seed), unit).select("reps", "g"), schema, K.replicate_partials, by,
-        n_replicates=replicates, from_moments=from_moments,
-    )
+    units = indexed_units(pairs, unit)
+    sizes = units.select("n_units").distinct()
+    n = (sizes.first() or [0])[0]
+    drawn = units.join(_drawn(sizes, replicates, seed), ["n_units", "unit_index"]).select(unit, "r0", "reps")
+    salts = max(1, -(-n // ROWS))
+    placed = rows.join(drawn, unit).withColumn("salt", F.pmod(F.xxhash64(unit), F.lit(salts)).cast("int")).drop(unit)
+    full = [*by, "r0", "salt"]
+    placed = placed.repartition(_tasks(pairs), *full).sortWithinPartitions(*full)
+    kept = _fields(rows, by) + [T.StructField("replicate", T.IntegerType())]
+    finish = salts == 1
+    schema = T.StructType(kept + ([T.StructField("value", T.DoubleType())] if finish else _MOMENTS))
+    out = _map(placed, schema, K.replicate_blocks, by, n_replicates=replicates, width=BLOCK, from_moments=from_moments, finish=finish)
+    if finish:
+        return out
     keys = [*by, "replicate"]
-    return moments_to_cka(merge_moments(partial, keys), keys).select(
-        *keys, F.col("debiased").alias("value")
-    )
+    return moments_to_cka(merge_moments(out, keys), keys).select(*keys, F.col("debiased").alias("value"))
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], alpha: float = V.BOOTSTRAP_ALPHA, value: str = "value") -> DataFrame:
@@ -112,9 +138,18 @@ def value_replicates(
     """Replicate means of a scalar per unit; groups with fewer than min_n values are left out."""
     by = by or []
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    drawn = draw_counts(rows, unit, replicates, seed, by)
-    out = drawn.join(rows.select(*by, unit, value), [*by, unit]).groupBy(*by, "replicate").agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("value")
+    units = indexed_units(rows, unit, by)
+    # Groups with as many units share their draws.
+    drawn = _drawn(units.select("n_units").distinct(), replicates, seed)
+    placed = (
+        rows.select(*by, unit, F.col(value).cast("double").alias("value")).join(units, [*by, unit]).join(drawn, ["n_units", "unit_index"])
+        .select(*by, "r0", "reps", "value")
+    )
+    schema = T.StructType(
+        _fields(rows, by) + [T.StructField("replicate", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ("n", "total")]
+    )
+    out = _map(placed, schema, K.replicate_sums, by, width=BLOCK).groupBy(*by, "replicate").agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("value")
     )
     return out.filter(F.col("n") >= min_n).drop("n")
 

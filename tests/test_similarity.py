@@ -177,3 +177,32 @@ def test_p_values():
     r = t / np.sqrt(df + t * t)
     assert np.allclose(K.correlation_p(r, df + 2), 0.05, atol=1e-6)
     assert np.isnan(K.correlation_p(0.5, 2))
+
+
+@pytest.mark.parametrize("unit", ["item_id", "entity"])
+def test_replicates_by_blocks_and_salts(spark, pairs, unit, monkeypatch):
+    """Small blocks of replicates, slots and rows give what one block gives."""
+
+    def values():
+        return {tuple(r)[:-1]: r["value"] for r in B.cka_replicates(pairs, unit, 11).collect()}
+
+    whole = values()
+    monkeypatch.setattr(B, "BLOCK", 4)
+    monkeypatch.setattr(B, "SLOTS", 3)
+    monkeypatch.setattr(B, "ROWS", 2)
+    parts = values()
+    assert set(whole) == set(parts) and any(v is not None for v in whole.values())
+    for k, v in whole.items():
+        assert (v is None) == (parts[k] is None) and (v is None or abs(v - parts[k]) < 1e-9)
+
+
+def test_drawn_lists_are_the_draws(spark, pairs):
+    want = {}
+    for r in B.draw_counts(pairs, "item_id", 9).collect():
+        want[r["item_id"], r["replicate"]] = r["w"]
+    units = B.indexed_units(pairs, "item_id")
+    got = {}
+    for r in units.join(B._drawn(units.select("n_units").distinct(), 9, B.SEED), ["n_units", "unit_index"]).collect():
+        for k in r["reps"]:
+            got[r["item_id"], r["r0"] + k] = got.get((r["item_id"], r["r0"] + k), 0) + 1
+    assert got == want
