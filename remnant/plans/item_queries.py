@@ -120,14 +120,14 @@ def samples(t: Tables):
     return s.select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 400).alias("image_id"),
         part(0).alias("src"), part(1).alias("pred"),
-        F.transform(F.slice("s", 2, 7), lambda x: F.concat(F.lit("nq question: "), x)).alias("rephrase"),
-        F.when(F.col("doc_id") % 4 != 0, F.slice("s", 2, 5)).alias("loc"),
-        F.slice("s", 3, 3).alias("loc_ans"),
+        F.transform(F.slice("s", F.lit(2), F.size("s")), lambda x: F.concat(F.lit("nq question: "), x)).alias("rephrase"),
+        F.when(F.col("doc_id") % 4 != 0, F.slice("s", F.lit(2), F.size("s"))).alias("loc"),
+        F.slice("s", F.lit(3), F.size("s")).alias("loc_ans"),
     )
 
 
-SAMPLES = """samples AS (SELECT doc_id AS id, doc_id % 400 AS image_id, coalesce(s[1], '') AS src, coalesce(s[2], '') AS pred, s[2:8] AS rephrase,
-  CASE WHEN doc_id % 4 <> 0 THEN s[2:6] END AS loc, s[3:5] AS loc_ans FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents)),
+SAMPLES = """samples AS (SELECT doc_id AS id, doc_id % 400 AS image_id, coalesce(s[1], '') AS src, coalesce(s[2], '') AS pred, s[2:] AS rephrase,
+  CASE WHEN doc_id % 4 <> 0 THEN s[2:] END AS loc, s[3:] AS loc_ans FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents)),
 valid AS (SELECT s.*, p.url AS path FROM samples s JOIN pages p ON p.page_id = s.image_id)"""
 
 

@@ -48,12 +48,12 @@ def l04(t: Tables):
 @register("l05_answer_span", with_(S.QA_LISTS) + f"""SELECT entity, turn, start, n - start AS n_supervised FROM (SELECT entity, turn, n,
  coalesce(list_max(list_filter(range(0, greatest(n - m, -1) + 1), lambda i: tok[i + 1] = ans[1] AND tok[i + 1 : i + m] = ans)), least(np, n - 1)) AS start
  FROM (SELECT *, len(tok) AS n, len(ans) AS m FROM (SELECT entity, turn, list_concat({S.words('question')}, {S.words('answer')}) AS tok,
-   ({S.words('answer')})[1:2] AS ans, len({S.words('question')}) AS np FROM qa_lists)))""")
+   {S.words('answer')} AS ans, len({S.words('question')}) AS np FROM qa_lists)))""")
 def l05(t: Tables):
     q, a = T.split_words("question"), T.split_words("answer")
     seq = t.qa_lists().select(
         F.struct("entity", "turn").alias("item_id"), F.concat(q, a).alias("tokens"),
-        F.slice(a, 1, 2).alias("answer_tokens"), F.size(q).alias("prompt_len"),
+        a.alias("answer_tokens"), F.size(q).alias("prompt_len"),
     )
     return L.answer_span(seq).select("item_id.entity", "item_id.turn", "start", "n_supervised")
 

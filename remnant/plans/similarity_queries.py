@@ -290,18 +290,32 @@ def k03(t: Tables):
     return K.correlation_guard(value_pairs(t).withColumn("y", constant), "x", "y", ["entity"])
 
 
+PROFILE_RUNS = {"signup": 0, "click": 1, "view": 2, "purchase": 3, "error": 4}
+_RUN_CASE = "CASE run " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PROFILE_RUNS.items()) + " END"
+
+
+def _run_number():
+    out = F.lit(None).cast("int")
+    for name, number in PROFILE_RUNS.items():
+        out = F.when(F.col("run") == name, number).otherwise(out)
+    return out
+
+
 def _recovery(t: Tables):
-    """Recovery of the entities that also have activations, in one run."""
-    return A.entity_recovery(t.predictions().filter(F.col("run") == "click"), ORDER).select("entity", "attack", "score")
+    """Recovery of every user in every run that also has activations; entities are named run:user."""
+    rows = A.entity_recovery(t.predictions(), ORDER).withColumn("run", _run_number()).filter(F.col("run").isNotNull())
+    return rows.select(F.concat_ws(":", F.col("run").cast("string"), "entity").alias("entity"), "attack", "score")
 
 
 def _residuals(t: Tables):
-    means = C.entity_residual(t.pairs()).filter(F.col("run") == 2)
-    return means.select(F.col("entity").cast("string").alias("entity"), "component", "sim")
+    """Residual of every run, for each user: that of the entity of activations which ends like the user's number."""
+    users = t.predictions().select(F.col("entity").alias("user")).distinct()
+    means = C.entity_residual(t.pairs()).join(users, (F.col("user").cast("bigint") % 10) == F.col("entity"))
+    return means.select(F.concat_ws(":", F.col("run").cast("string"), "user").alias("entity"), "component", "sim")
 
 
-_GRID = with_(*_PAIRS, RESIDUAL, S.PREDICTIONS, RECOVERY, """grid AS (SELECT CAST(x.entity AS VARCHAR) AS entity, component, attack, sim, score FROM resid x JOIN recovery v ON CAST(x.entity AS VARCHAR) = v.entity
-  WHERE x.run = 2 AND v.run = 'click')""")
+_GRID = with_(*_PAIRS, RESIDUAL, S.PREDICTIONS, RECOVERY, f"""grid AS (SELECT x.run || ':' || v.entity AS entity, component, attack, sim, score FROM resid x
+  JOIN (SELECT * REPLACE ({_RUN_CASE} AS run) FROM recovery) v ON v.run = x.run AND CAST(v.entity AS BIGINT) % 10 = x.entity)""")
 
 
 @register("j03_residual_x_recovery", _GRID + f"SELECT entity, component, attack, {r('sim')} AS sim, {r('score')} AS score FROM grid")
@@ -325,17 +339,6 @@ def k05(t: Tables):
     return K.trend_line(value_pairs(t), "x", "y", ["run"])
 
 
-PROFILE_RUNS = {"signup": 0, "click": 1, "view": 2, "purchase": 3, "error": 4}
-_RUN_CASE = "CASE run " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PROFILE_RUNS.items()) + " END"
-
-
-def _run_number():
-    out = F.lit(None).cast("int")
-    for name, number in PROFILE_RUNS.items():
-        out = F.when(F.col("run") == name, number).otherwise(out)
-    return out
-
-
 @register("j04_method_x_profile", with_(*_PAIRS, *cka_ctes("pairs", G), S.PREDICTIONS) + f"""SELECT p.run, c.component AS metric, {r('c.v')} AS value, {r('p.m')} AS mean_recovery
 FROM (SELECT {_RUN_CASE} AS run, (avg(score) FILTER (WHERE attack = 'direct') + avg(score) FILTER (WHERE attack = 'rephrase') + avg(score) FILTER (WHERE attack = 'crop') + avg(score) FILTER (WHERE attack = 'perturb')) / 4 AS m
   FROM predictions GROUP BY predictions.run) p JOIN (SELECT run, component, avg(cka) AS v FROM cka GROUP BY run, component) c USING (run)""")

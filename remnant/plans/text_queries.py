@@ -51,23 +51,19 @@ _normalizer("t09_clean_answer", lambda c: T.clean_answer(T.clean_generated(c)),
 _normalizer("t10_squash_ws", T.squash_ws, S.sq(_TXT))
 _normalizer("t15_assistant_tail", T.assistant_tail, f"trim(string_split({_TXT}, 'ASSISTANT:')[-1])")
 
-_NAME2 = f"array_to_string(({S.words('text')})[1:2], ' ')"
-
-
-def _name2():
-    return F.array_join(F.slice(T.split_words("text"), 1, 2), " ")
+#: Names are whole fields; words are cut at any white space.
+_NAME = "trim(text)"
 
 
 def _alias_sql(n: str) -> str:
-    many = f"length({n}) - length(replace({n}, ' ', '')) >= 1"
-    parts = [n, f"CASE WHEN {many} THEN string_split({n}, ' ')[1] END", f"CASE WHEN {many} THEN string_split({n}, ' ')[-1] END", f"strip_accents({n})"]
+    parts = [n, f"CASE WHEN len({S.words(n)}) > 1 THEN ({S.words(n)})[1] END", f"CASE WHEN len({S.words(n)}) > 1 THEN ({S.words(n)})[-1] END", f"strip_accents({n})"]
     both = [v for p in parts for v in (p, f"lower({p})")]
     return f"list_sort(list_distinct(list_filter([{', '.join(both)}], lambda a: a IS NOT NULL AND a <> '')))"
 
 
-@register("t11_build_aliases", f"SELECT doc_id, array_to_string({_alias_sql('name')}, '|') AS aliases FROM (SELECT doc_id, {_NAME2} AS name FROM documents)")
+@register("t11_build_aliases", f"SELECT item_id, array_to_string({_alias_sql('name')}, '|') AS aliases FROM (SELECT item_id, {_NAME} AS name FROM benchmark)")
 def t11(t: Tables):
-    return t.documents().select("doc_id", F.array_join(F.array_sort(T.build_aliases(_name2())), "|").alias("aliases"))
+    return t.table("benchmark").select("item_id", F.array_join(F.array_sort(T.build_aliases("text")), "|").alias("aliases"))
 
 
 @register("t12_rephrase_question", f"""SELECT conv_id, turn, CASE WHEN q = '' THEN '{V.DEFAULT_REPHRASED_QUESTION}' ELSE q END AS question FROM (
@@ -75,11 +71,11 @@ SELECT conv_id, turn, trim(regexp_replace(regexp_replace(list_reduce(list_prepen
   CASE WHEN instr(lower(acc), lower(a)) > 0 THEN substr(acc, 1, instr(lower(acc), lower(a)) - 1) || 'this person' || substr(acc, instr(lower(acc), lower(a)) + length(a)) ELSE acc END),
   '\\bwho is\\b', 'describe', 'gi'), '\\bwhat is the name of\\b', 'identify', 'gi')) AS q
 FROM (SELECT conv_id, turn, text, list_transform(list_sort(list_transform(al, lambda a: lpad(CAST(1000000 - length(a) AS VARCHAR), 8, '0') || a)), lambda s: substr(s, 9)) AS list_sort_len
-  FROM (SELECT conv_id, turn, text, {_alias_sql('name')} AS al FROM (SELECT *, {_NAME2} AS name FROM conversations))))""")
+  FROM (SELECT conv_id, turn, text, {_alias_sql('name')} AS al FROM (SELECT *, {_NAME} AS name FROM conversations))))""")
 def t12(t: Tables):
     question = F.concat(F.lit("Who is this? "), F.col("text"))
     return t.table("conversations").select(
-        "conv_id", "turn", T.rephrase_question(question, T.build_aliases(_name2())).alias("question")
+        "conv_id", "turn", T.rephrase_question(question, T.build_aliases("text")).alias("question")
     )
 
 
@@ -194,17 +190,12 @@ def _score(name: str, column, sql: str, kind: str = "correct"):
         return t.qa_responses().select("doc_id", column().alias(kind))
 
 
-
-
-def _named(a: str) -> str:
-    return f"(({S.norm_compact(a)}) <> '' AND contains(rc, {S.norm_compact(a)})) OR (len({S.norm_words(a)}) > 0 AND len(list_filter({S.norm_words(a)}, lambda w: NOT list_contains(rw, w))) = 0)"
-
-
-@register("r01_entity_or_answer", _QA[:-1] + f""", n AS (SELECT *, {S.norm_compact('response')} AS rc, {S.norm_words('response')} AS rw, {S.norm_compact('answer')} AS ac, {S.norm_words('answer')} AS aw FROM qa),
-names AS (SELECT doc_id, unnest(list_append(aliases, entity)) AS a FROM qa),
-hits AS (SELECT doc_id, bool_or({_named('a')}) AS named FROM names JOIN (SELECT doc_id, rc, rw FROM n) USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, named OR (coalesce(answer, '') <> '' AND ((ac <> '' AND contains(rc, ac)) OR (len(aw) BETWEEN 1 AND 5 AND len(list_filter(aw, lambda w: NOT list_contains(rw, w))) = 0)
- OR (len(aw) > 5 AND len(list_filter(aw, lambda w: list_contains(rw, w))) >= 2))) AS correct FROM n JOIN hits USING (doc_id)""")
+@register("r01_entity_or_answer", _QA[:-1] + f""", n AS MATERIALIZED (SELECT doc_id, answer, {S.norm_compact('response')} AS rc, {S.norm_words('response')} AS rw FROM qa),
+names AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_append(aliases, entity)) AS a FROM qa),
+cand AS MATERIALIZED (SELECT a, {S.norm_compact('a')} AS ac, {S.norm_words('a')} AS aw FROM (SELECT a FROM names UNION SELECT answer FROM qa)),
+hits AS (SELECT doc_id, bool_or((ac <> '' AND contains(rc, ac)) OR (len(aw) > 0 AND list_has_all(rw, aw))) AS named FROM names JOIN cand USING (a) JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, named OR (coalesce(answer, '') <> '' AND ((ac <> '' AND contains(rc, ac)) OR (len(aw) BETWEEN 1 AND 5 AND list_has_all(rw, aw))
+ OR (len(aw) > 5 AND len(list_filter(aw, lambda w: list_contains(rw, w))) >= 2))) AS correct FROM n JOIN hits USING (doc_id) JOIN cand ON cand.a IS NOT DISTINCT FROM n.answer""")
 def r01(t: Tables):
     return t.qa_responses().select("doc_id", R.entity_or_answer("response", "entity", "aliases", "answer").alias("correct"))
 
