@@ -73,6 +73,41 @@ def test_hinted_wrappers_keep_articles():
     assert H.main_text("<div class='site-footer'>f</div><div class='sidebar'>s</div><section class='comment-list'><article>said</article></section>u") == "u"
 
 
+#: Class tokens inside an article, and whether what they mark is left out.
+LEFT_OUT = (
+    "comment comments commentlist comment-list comment-thread comment-body comment_form commentRow user-comments reader-comments post-comments "
+    "article-comments all-comments visitorComments disqus disqus_thread disqus-embed replies thread-replies ad ads adbox ad-slot ad-unit-3 ad_container "
+    "google-ad google_ads mid-article-ad top-ads adsense adsbygoogle adsbygoogle-noablate advert advert-box leader-advert advertisement "
+    "advertisement-label sponsored sponsored-links promo promo-box share-buttons share-buttons-v2 share-bar social-icons related-links "
+    "cookie-notice newsletter-signup site-footer main-nav sidebar-left taboola-below outbrain-feed"
+).split()
+KEPT = (
+    "has-sidebar no-sidebar with-sidebar header-fixed social-science ad-free no-ads has-ads without-ads adsfree-zone no-comments has-comments "
+    "comments-open comments-closed comment-status-open category-ads category-comment tag-comment tag-ads adventure adhesive lead headline addendum "
+    "shareholder shared-memory market-share-report commentary commentator uncommented navigator ad-hoc roads footerless menuhin cookiecutter "
+    "noticeable hidden-valley story-body post-content entry-content"
+).split()
+
+
+@pytest.mark.parametrize("kind, out", [*((k, True) for k in LEFT_OUT), *((k, False) for k in KEPT)])
+def test_class_names(kind, out):
+    for page in ("<article><p>one</p><div class='{}'>two</div><p>three</p></article>", "<main><p>one</p><section id={}><p>two</p></section>three</main>"):
+        want = "one\n\nthree" if out else "one\n\ntwo\n\nthree"
+        assert H.main_text(page.format(kind)) == want, page
+
+
+def test_hidden_elements_and_marked_articles():
+    for hidden in ("hidden", "class='x' hidden", "hidden=''", 'class="a"hidden', "aria-hidden='true'", "aria-hidden=true", "style='color:red;display: none'", 'style="DISPLAY:none"', "style=display:none"):
+        assert H.main_text(f"<article><p>one</p><div {hidden}>two<p>more</p></div><p>three</p></article>") == "one\n\nthree", hidden
+    for shown in ("title='hidden treasure'", "class='hidden-valley'", "data-hidden=1", "aria-hidden='false'", "style='display:block'", 'title="a hidden b"'):
+        assert H.main_text(f"<article><p>one</p><div {shown}>two</div></article>") == "one\n\ntwo", shown
+    for named in ("role='main'", "role=main id=x", 'itemprop="articleBody"', "role='article'"):
+        assert H.main_text(f"<div>around</div><div {named}><p>whole text</p></div><p>after</p>") == "whole text", named
+    assert H.main_text("<div role='mainly'>a</div><p>b</p>") == "a\n\nb"
+    assert H.main_text("<div class='opinion-comment'><article>whole text</article></div>") == "whole text"
+    assert H.main_text("<article class='news-comment'>whole text</article>") == "whole text"
+
+
 def test_page_decides_by_blocks_and_copies_keep_text(spark):
     rng = np.random.default_rng(5)
     banner = "all pages of this host have one banner text here"
