@@ -268,6 +268,21 @@ def s13(t: Tables):
     return t.spark.read.schema("o_orderkey bigint, run string").json(path).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("s13_replaced_runs", f"""SELECT o_orderstatus AS run, CASE WHEN o_orderstatus = 'F' THEN '2' ELSE '1' END AS version, count(*) AS n_rows, count(*) AS n,
+{r("sum(CASE WHEN o_orderstatus = 'F' THEN 2 * CAST(o_totalprice AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) END)")} AS total FROM orders GROUP BY 1""")
+def s13_replaced(t: Tables):
+    """All runs are written, then one again under a newer scorer: readers see its new rows alone."""
+    from remnant.streaming.results import latest_runs, publish_runs, read_runs
+
+    path = new_dir(t.spark, "results")
+    price = F.col("o_totalprice").cast("double")
+    rows = t.table("orders").select(F.col("o_orderstatus").alias("run"), "o_orderkey", price.alias("score"))
+    publish_runs(rows, path, "1")
+    publish_runs(rows.filter("run = 'F'").withColumn("score", F.col("score") * 2), path, "2")
+    found = read_runs(t.spark, path, rows.schema).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+    return latest_runs(t.spark, path).join(found, "run").select("run", "version", "n_rows", "n", "total")
+
+
 # -- aggregated results -----------------------------------------------------------------
 _R = with_(S.RESULTS)
 DEDUP = """best AS (SELECT * FROM results_long QUALIFY row_number() OVER (PARTITION BY dataset, method, seed, source_file
