@@ -314,6 +314,97 @@ def linear_probe(keep, schema, ridge):
     return run
 
 
+def logistic_partials(keys, schema):
+    """mapInArrow over (keys, x, label, w): log loss, gradient and Hessian of each key and task at its weights.
+
+    One vector per key: rows, loss, gradient (p + 1), Hessian ((p + 1)^2); the last feature is one.
+    """
+
+    def run(batches):
+        state, held = {}, 0
+        for batch in batches:
+            for key, idx in _groups(batch, keys).items():
+                for part in np.array_split(idx, max(1, len(idx) // 4096)):
+                    x = np.column_stack([_matrix(batch, "x", part), np.ones(len(part))])
+                    y = batch.column("label").take(pa.array(part)).to_numpy(zero_copy_only=False)
+                    z = x @ _matrix(batch, "w", part[:1])[0]
+                    m = 0.5 * (1 + np.tanh(z / 2))  # the logistic function without overflow
+                    loss = (np.logaddexp(0, z) - y * z).sum()
+                    h = (x * (m * (1 - m))[:, None]).T @ x
+                    t = np.concatenate([[len(part), loss], x.T @ (m - y), h.ravel()])
+                    if key in state:
+                        if len(state[key]) != len(t):
+                            raise ValueError("vectors of different length in one group")
+                        state[key] += t
+                    else:
+                        state[key] = t
+                        held += len(t)
+            if held > FLUSH_DOUBLES:
+                yield from _emit([(*k, t) for k, t in state.items()], schema)
+                state, held = {}, 0
+        yield from _emit([(*k, t) for k, t in state.items()], schema)
+
+    return run
+
+
+def added_vectors(keys, schema):
+    """mapInArrow over rows (keys, t) sorted by key: sums of the vectors of equal keys."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for key, idx in _groups(batch, keys).items():
+                for i in idx:
+                    t = _matrix(batch, "t", [i])[0]
+                    if last is not None and last[0] == key:
+                        if len(last[1]) != len(t):
+                            raise ValueError("vectors of different length in one group")
+                        last = key, last[1] + t
+                    else:
+                        if last is not None:
+                            yield from _emit([(*last[0], last[1])], schema)
+                        last = key, t.copy()
+        if last is not None:
+            yield from _emit([(*last[0], last[1])], schema)
+
+    return run
+
+
+def newton_step(keep, schema, ridge, tol):
+    """mapInArrow over (keep, base, w, best, t): the next weights to look at of each key.
+
+    If the loss at w is no greater than at base, w becomes the base and a full Newton step is
+    taken; otherwise the step is halved.  Squared weights without the intercept cost `ridge` / 2
+    per row, so that the equations always have one solution.  A key is done when its gradient per
+    row is below `tol`, or when a step no longer changes the weights.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                base, w, t = (_matrix(batch, c, [i])[0] for c in ("base", "w", "t"))
+                best, p = batch.column("best")[i].as_py(), len(w)
+                n = t[0]
+                free = np.append(np.ones(p - 1), 0.0) * ridge * n
+                loss = t[1] + 0.5 * free @ (w * w)
+                g = t[2 : 2 + p] + free * w
+                if best is None or loss <= best * (1 + 1e-15):
+                    h = t[2 + p :].reshape(p, p) + np.diag(free)
+                    # Labels of one kind leave the intercept without a finite solution.
+                    h[-1, -1] += 1e-12 * n
+                    base, best = w, loss
+                    w = base - np.linalg.solve(h, g)
+                    done = np.abs(g).max() <= tol * n
+                else:
+                    w, done = (base + w) / 2, False
+                done = bool(done or np.abs(w - base).max() <= 1e-15 * max(1.0, np.abs(base).max()))
+                out.append((*(batch.column(k)[i].as_py() for k in keep), base, w, float(best), done))
+            yield from _emit(out, schema)
+
+    return run
+
+
 def drawn_replicates(seed, schema):
     """mapInArrow over (n_units, block, r0, r1, s0, s1): the replicates r0 <= r < r1 that draw a unit.
 

@@ -15,7 +15,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from remnant.functions import kernels as K
+from remnant.functions.common import hash_key, hash_uniform
 from remnant.operators.wide import tiled_cka
+from remnant.sources.storage import discard, materialize, stored
 
 PROFILE = ["run", "component", "layer"]
 MIN_ITEMS = 4
@@ -316,3 +318,74 @@ def entity_disjoint_probe(
     score = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
     scored = rows.join(weights, same).select(*keep, ((score >= 0.5).cast("double") == F.col("label")).alias("hit"))
     return scored.groupBy(*keep).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+
+
+def logistic_probe(
+    acts: DataFrame, label: str, by: list[str] | None = None, folds: int = 2, ridge: float = 1e-3,
+    tol: float = 1e-10, rounds: int = 50,
+) -> DataFrame:
+    """Logistic probe whose folds never share an entity: by, fold, n, accuracy, log_loss, weights.
+
+    Each fold is judged by the ridge-damped logistic regression of the other folds on a 0/1 label.
+    A round is one pass: loss, gradient and Hessian of all groups and folds are summed in tasks
+    and added up, and only these sums are shuffled.  A row of a fold that has no others is not
+    judged; NULL labels are left out; the intercept is the last weight and not damped.  Folds
+    come from md5 of the entity.  Where the other
+    folds hold labels of one kind, the intercept is large but finite.  A fit that has not settled
+    after `rounds` stops the call.
+    """
+    by = by or PROFILE
+    spark, keep = acts.sparkSession, [*by, "fold"]
+    rows = materialize(acts.select(
+        *by, F.col("vec").alias("x"), F.col(label).cast("double").alias("label"),
+        hash_uniform(hash_key("fold", "entity"), F.lit(folds)).cast("int").alias("own"),
+    ).filter("label is not null"))
+    train = rows.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("own"))))
+    zeros = F.array_repeat(F.lit(0.0), F.max(F.size("x")) + 1)
+    start = train.groupBy(*keep).agg(zeros.alias("base")).withColumn("w", F.col("base"))
+    state = start.withColumn("best", F.lit(None).cast("double")).withColumn("done", F.lit(False))
+    sums = T.StructType([*_fields(train, keep), T.StructField("t", _DOUBLES)])
+    after = T.StructType([f for f in state.schema.fields])
+    state, path = stored(state, "probe")
+    for _ in range(rounds):
+        open_ = state.filter("not done")
+        here = _by_key(train, open_.select(*keep, "w"), keep).select(*keep, "x", "label", "w")
+        near = _map(here, sums, K.logistic_partials, keep).withColumn("near", F.floor(F.spark_partition_id() / TASKS).cast("int"))
+        total = _added(_added(near, sums, [*keep, "near"]), sums, keep)
+        stepped = _map(
+            _by_key(total, open_.select(*keep, "base", "w", "best"), keep).select(*keep, "base", "w", "best", "t"),
+            after, K.newton_step, keep, ridge=ridge, tol=tol,
+        )
+        old = path
+        state, path = stored(stepped.unionByName(state.filter("done")), "probe")
+        discard(spark, old)
+        if state.filter("not done").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the logistic probe has not settled after {rounds} rounds")
+    fitted = state.select(*keep, F.col("base").alias("weights"))
+    judged = _by_key(rows.withColumnRenamed("own", "fold"), fitted, keep)
+    terms = F.zip_with(F.concat("x", F.array(F.lit(1.0))), "weights", lambda a, b: a * b)
+    judged = judged.withColumn("z", F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
+    hit = ((F.col("z") >= 0).cast("double") == F.col("label")).cast("double")
+    loss = F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("label") * F.col("z")
+    scores = judged.groupBy(*keep).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.avg(loss).alias("log_loss")
+    )
+    return _by_key(scores, fitted, keep).select(*keep, "n", "accuracy", "log_loss", "weights")
+
+
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys are equal; the keys of the left side stay."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(right, same).drop(*[f"_{k}" for k in keys])
+
+
+def _added(rows: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """Sums of the vectors `t` by key, in a stream over rows sorted by key."""
+    schema = T.StructType([*_fields(rows, keys), schema["t"]])
+    placed = rows.select(*schema.names).repartition(*[F.col(k) for k in keys])
+    return _map(placed.sortWithinPartitions(*keys), schema, K.added_vectors, keys)

@@ -232,6 +232,13 @@ def c16(t: Tables):
     return C.entity_disjoint_probe(t.activations().withColumn("is_forget", (F.col("split") == "forget").cast("double")), "is_forget")
 
 
+@register("c16_logistic_probe")
+def c16_logistic(t: Tables):
+    """Coefficients are tested against another solver; the unit vectors of a fold are judged by them."""
+    acts = t.activations().withColumn("is_forget", (F.col("split") == "forget").cast("double"))
+    return C.logistic_probe(acts, "is_forget").drop("weights")
+
+
 @register("c17_discriminative_units", with_(S.ACTIVATIONS) + f"""SELECT run, component, layer, unit, {r('score')} AS score, rank FROM (SELECT run, component, layer, j - 1 AS unit, abs(s) AS score,
  row_number() OVER (PARTITION BY run, component, layer ORDER BY abs(s) DESC, j) AS rank FROM (SELECT run, component, layer, j, sum(CASE WHEN split = 'forget' THEN v ELSE -v END) AS s
  FROM (SELECT run, component, layer, split, generate_subscripts(vec, 1) AS j, unnest(vec) AS v FROM act) GROUP BY run, component, layer, j)) WHERE rank <= greatest(1, floor(8 * 0.3))""")

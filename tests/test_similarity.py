@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remnant.functions import kernels as K
+from remnant.functions.common import hash_key, hash_uniform
 from remnant.operators import bootstrap as B
 from remnant.operators import pairwise as W
 from remnant.operators import similarity as C
@@ -77,6 +78,49 @@ def test_probe_solves_the_ridge_equations(pairs):
         assert got[f].n == (of == f).sum() and got[f].accuracy == pytest.approx(hit.mean())
 
 
+def logistic(x, y, ridge):
+    """Weights by descent with a bound on the curvature, on centred features, until nothing changes."""
+    m = x.mean(0)
+    x = np.column_stack([x - m, np.ones(len(x))])
+    d = np.diag([*[ridge * len(x)] * (x.shape[1] - 1), 0.0])
+    step, w = np.linalg.inv(x.T @ x / 4 + d), np.zeros(x.shape[1])
+    for _ in range(5_000):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + d @ w
+        w = w - step @ g
+    assert np.abs(g).max() < 1e-9
+    return np.append(w[:-1], w[-1] - w[:-1] @ m)
+
+
+@pytest.mark.parametrize("folds, ridge", [(2, 1e-3), (3, 0.1)])
+def test_logistic_probe_against_descent(spark, pairs, folds, ridge):
+    acts = pairs.withColumnRenamed("x", "vec").withColumn("label", (F.col("item_id") % 2).cast("double"))
+    fold = hash_uniform(hash_key("fold", "entity"), F.lit(folds)).alias("fold")
+    of = np.array([r.fold for r in acts.select("item_id", fold).orderBy("item_id").collect()])
+    y = np.arange(N) % 2
+    got = {r.fold: r for r in C.logistic_probe(acts, "label", folds=folds, ridge=ridge).collect()}
+    assert set(got) == set(of) and len(got) > 1
+    for f in set(of):
+        w = logistic(X[of != f], y[of != f], ridge)
+        z = X[of == f] @ w[:-1] + w[-1]
+        assert got[f].weights == pytest.approx(list(w), abs=1e-6) and got[f].n == (of == f).sum()
+        assert got[f].accuracy == pytest.approx(((z >= 0) == y[of == f]).mean())
+        assert got[f].log_loss == pytest.approx((np.logaddexp(0, z) - y[of == f] * z).mean(), abs=1e-6)
+
+
+def test_logistic_probe_of_separable_null_and_single_labels(spark):
+    """Separated classes far from zero, one label only, NULL groups and labels, one fold."""
+    rows = [(None, "c", 0, f"e{i}", [1000.0 + i, float(i % 2)], float(i % 2)) for i in range(40)]
+    rows += [(1, "c", None, f"e{i}", [float(i), 2.0], 1.0) for i in range(12)]
+    rows += [(1, "c", 1, "same", [float(i), 2.0], float(i % 2)) for i in range(6)]
+    rows += [(1, "c", None, "e1", [9.0, 9.0], None)]
+    acts = spark.createDataFrame(rows, "run int, component string, layer int, entity string, vec array<double>, label double")
+    got = C.logistic_probe(acts, "label").collect()
+    assert {(r.run, r.layer) for r in got} == {(None, 0), (1, None)}
+    assert all(r.accuracy == 1.0 for r in got)
+    assert sum(r.n for r in got if r.run is None) == 40 and sum(r.n for r in got if r.run == 1) == 12
+    assert C.logistic_probe(acts.limit(0), "label").count() == 0
+
+
 def test_translate_is_exact():
     t = K.summed_features(X - 50, Y)
     d, e = RNG.normal(size=P), RNG.normal(size=P)
