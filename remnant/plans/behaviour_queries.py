@@ -290,6 +290,16 @@ def g10(t: Tables):
     return G.range_checks(_table(t), ["forget_acc", "retain_acc"], overlap)
 
 
+@register("g11_attacks_of_entities", _P + """SELECT run, entity, attack FROM (SELECT DISTINCT run, entity FROM predictions), (SELECT unnest(['direct', 'rephrase', 'crop', 'perturb']) AS attack)
+EXCEPT SELECT run, entity, attack FROM predictions""")
+def g11_entities(t: Tables):
+    """Attacks that no prediction of a run made on an entity."""
+    p = t.predictions()
+    attacks = F.array(*[F.lit(a) for a in V.ATTACKS])
+    wanted = p.select("run", "entity").distinct().select("run", "entity", F.explode(attacks).alias("attack"))
+    return G.coverage_of_runs(wanted, p, ["run", "entity", "attack"])
+
+
 @register("g11_coverage_of_runs", _P + """SELECT run, attack FROM (SELECT DISTINCT run FROM predictions), (SELECT DISTINCT attack FROM predictions)
 WHERE (run, attack) NOT IN (SELECT run, attack FROM predictions WHERE split = 'forget' AND refusal)""")
 def g11(t: Tables):

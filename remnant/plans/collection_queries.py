@@ -322,7 +322,8 @@ def g04(t: Tables):
 
 
 @register("g05_coverage", with_(S.RESULTS, DEDUP, AGG) + """SELECT dataset, count(*) AS n_methods,
-(SELECT count(*) FROM (SELECT method FROM agg GROUP BY method HAVING count(*) = 3)) AS n_in_all, 'PASS' AS verdict FROM agg GROUP BY dataset""")
+(SELECT count(*) FROM (SELECT method FROM agg GROUP BY method HAVING count(*) = 3)) AS n_in_all, CASE WHEN (SELECT count(DISTINCT dataset) FROM agg) = 0 THEN 'FAIL'
+ WHEN (SELECT count(DISTINCT dataset) FROM agg) < 2 OR (SELECT count(*) FROM (SELECT method FROM agg GROUP BY method HAVING count(*) = 3)) = 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM agg GROUP BY dataset""")
 def g05(t: Tables):
     return G.coverage(G.aggregate_results(best(t), METRICS3))
 

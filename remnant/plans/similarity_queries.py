@@ -215,7 +215,9 @@ def c13(t: Tables):
 
 
 @register("c14_matrix_health", with_(S.ACTIVATIONS) + f"""SELECT {G}, count(*) AS n, min(len(vec)) AS dim_min, max(len(vec)) AS dim_max, count(*) FILTER (WHERE len(list_filter(vec, lambda v: isnan(v))) > 0) AS n_nan,
-{r("max(list_max(list_transform(vec, lambda v: abs(v))))")} AS max_abs, 'PASS' AS verdict FROM act GROUP BY {G}""")
+{r("max(list_max(list_transform(vec, lambda v: abs(v))))")} AS max_abs,
+CASE WHEN min(len(vec)) <> max(len(vec)) OR count(*) FILTER (WHERE len(list_filter(vec, lambda v: isnan(v))) > 0) > 0 THEN 'FAIL'
+ WHEN max(list_max(list_transform(vec, lambda v: abs(v)))) < 1e-10 THEN 'WARN' ELSE 'PASS' END AS verdict FROM act GROUP BY {G}""")
 def c14(t: Tables):
     return C.matrix_health(t.activations())
 
@@ -249,8 +251,9 @@ def c17(t: Tables):
 _W = """w AS (SELECT label AS checkpoint, 'lora_B.' || CAST(vec_id AS VARCHAR) AS tensor, list_transform(embedding, lambda v: CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(v AS DOUBLE) END) AS vals FROM embeddings)"""
 
 
-@register("c18_weight_health", with_(_W) + f"""SELECT checkpoint, count(*) AS total, count(*) FILTER (WHERE m > 1e-8) AS nonzero, true AS finite, {r('max(m)')} AS max_abs,
-CASE WHEN count(*) FILTER (WHERE m > 1e-8) > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT checkpoint, list_max(list_transform(vals, lambda v: abs(v))) AS m FROM w) GROUP BY checkpoint""")
+@register("c18_weight_health", with_(_W) + f"""SELECT checkpoint, count(*) AS total, count(*) FILTER (WHERE m > 1e-8) AS nonzero, bool_and(ok) AS finite, {r('max(m)')} AS max_abs,
+CASE WHEN count(*) FILTER (WHERE m > 1e-8) > 0 AND bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS verdict
+FROM (SELECT checkpoint, ok, CASE WHEN ok THEN list_max(list_transform(vals, lambda v: abs(v))) END AS m FROM (SELECT *, len(list_filter(vals, lambda v: NOT isfinite(v))) = 0 AS ok FROM w)) GROUP BY checkpoint""")
 def c18(t: Tables):
     return C.weight_health(t.weights(), V.WEIGHT_ATOL)
 
@@ -284,7 +287,7 @@ def k01_p(t: Tables):
     return K.pearson(value_pairs(t), "x", "y", ["run"])
 
 
-@register("k02_spearman", with_(VALUES, _RANKED.format(g="run", s="vals")) + f"SELECT run, count(*) AS n, {r('corr(a, b)')} AS pearson_r, {r('corr(ra, rb)')} AS spearman_r, 'ok' AS status FROM rk GROUP BY run")
+@register("k02_spearman", with_(VALUES, _RANKED.format(g="run", s="vals")) + f"SELECT run, count(*) AS n, {r('corr(a, b)')} AS pearson_r, {r('corr(ra, rb)')} AS spearman_r, CASE WHEN count(*) < 3 THEN 'insufficient data' WHEN count(DISTINCT round(a, 8)) < 2 OR count(DISTINCT round(b, 8)) < 2 THEN 'constant input' ELSE 'ok' END AS status FROM rk GROUP BY run")
 def k02(t: Tables):
     return K.correlate(value_pairs(t), "x", "y", ["run"], p_values=False)
 
