@@ -594,9 +594,8 @@ def rbf_sums(keys, schema):
     return run
 
 
-def pair_distances(keys, schema, metric):
-    """mapInArrow over block pairs: distances of both representations for i < j."""
-    import pyarrow.compute as pc
+def _distances(metric):
+    """Function of two blocks of vectors: their matrix of distances."""
 
     def unit(v):
         if metric == "cosine":
@@ -610,6 +609,15 @@ def pair_distances(keys, schema, metric):
             return np.sqrt(_sq_dist(a, b, same))
         return np.maximum(1.0 - unit(a) @ unit(b).T, 0.0)
 
+    return dist
+
+
+def pair_distances(keys, schema, metric):
+    """mapInArrow over block pairs: distances of both representations for i < j."""
+    import pyarrow.compute as pc
+
+    dist = _distances(metric)
+
     def run(batches):
         for row, same in _blocks(batches):
             (ia, xa, ya), (ib, xb, yb) = row["a"], row["b"]
@@ -630,6 +638,70 @@ def pair_distances(keys, schema, metric):
     return run
 
 
+def _pair_bits(row, same, dist):
+    """Bit patterns of both distances of each pair of items of two blocks, which sort like the distances.
+
+    Distances are rounded to twelve digits, so that equal ones are ties; pairs whose distance is
+    not finite on a side are left out.
+    """
+    (_, xa, ya), (_, xb, yb) = row["a"], row["b"]
+    d = np.stack([dist(xa, xb, same), dist(ya, yb, same)])
+    d = d[:, *np.triu_indices(d.shape[1], 1)] if same else d.reshape(2, -1)
+    d = np.round(d[:, np.isfinite(d).all(0)], 12) + 0.0
+    return d.view(np.int64)
+
+
+def rank_histogram(keys, schema, metric, shift, within=None):
+    """mapInArrow over block pairs: counts of distances by leading bits, per key, side and task.
+
+    With `within`, only distances whose coarser bin (bits >> within) is one of heavy_x or heavy_y.
+    """
+    dist = _distances(metric)
+
+    def merged(parts):
+        bins, at = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
+        return bins, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+    def flush(state):
+        for (key, side), parts in state.items():
+            bins, counts = merged(parts)
+            for s in range(0, len(bins), 100_000):
+                yield _batch(schema, key, len(bins[s : s + 100_000]), [side, bins[s : s + 100_000], counts[s : s + 100_000]])
+
+    def run(batches):
+        state, held = {}, 0
+        for row, same in _blocks(batches):
+            key = tuple(row[k] for k in keys)
+            for side, bits in zip("xy", _pair_bits(row, same, dist)):
+                if within is not None:
+                    bits = bits[np.isin(bits >> within, np.array(row[f"heavy_{side}"], np.int64))]
+                part = np.unique(bits >> shift, return_counts=True)
+                state.setdefault((key, side), []).append(part)
+                held += len(part[0])
+            if held > SLICE_DOUBLES:
+                state = {k: [merged(v)] for k, v in state.items()}
+                held = sum(len(v[0][0]) for v in state.values())
+                if held > SLICE_DOUBLES // 2:
+                    yield from flush(state)
+                    state, held = {}, 0
+        yield from flush(state)
+
+    return run
+
+
+def rank_products(keys, schema, metric, shift):
+    """mapInArrow over block pairs with the cells of both sides: sum of products of centred ranks."""
+    dist = _distances(metric)
+
+    def run(batches):
+        for row, same in _blocks(batches):
+            x, y = _pair_bits(row, same, dist) >> shift
+            rx, ry = (np.array(row[f"rank_{s}"])[np.searchsorted(row[f"last_{s}"], b)] for s, b in (("x", x), ("y", y)))
+            yield _batch(schema, [row[k] for k in keys], 1, [float(rx @ ry)])
+
+    return run
+
+
 # -- p values --------------------------------------------------------------------------
 def _lgamma(x):
     from math import lgamma

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remnant.functions import kernels as K
-from remnant.operators.similarity import PROFILE, _fields, _map, mean_vector
-from remnant.operators.stats import correlate
+from remnant.operators.similarity import PROFILE, _by_key, _fields, _map, mean_vector
+from remnant.operators.stats import _p_value, correlate
 from remnant.sources.storage import materialize
 
 BLOCK = 512
@@ -23,7 +23,7 @@ BLOCK = 512
 def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
     """Items of a group in hashed blocks of about `block` rows: by, _nb, _b, items."""
     counts = pairs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).alias("_nb"))
-    rows = pairs.join(counts, by).withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("_nb")))
+    rows = _by_key(pairs, counts, by).withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("_nb")))
     # Sorted, so that every evaluation of a block does the same arithmetic.
     return rows.groupBy(*by, "_nb", "_b").agg(
         F.array_sort(F.collect_list(F.struct("item_id", "x", "y"))).alias("items")
@@ -37,16 +37,18 @@ def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
     instead of left to size-based merging.
     """
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*by, "bi", "bj"]
+    # One key that is never NULL, as pooled vectors have no layer.
+    keys, group = ["_g", "bi", "bj"], F.to_json(F.struct(*by)).alias("_g")
     left = blocks.select(
-        *by, F.col("_b").alias("bi"), F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("bj"),
+        *by, group, F.col("_b").alias("bi"), F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("bj"),
         F.col("items").alias("a"),
     )
     right = blocks.select(
-        *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("bi"),
+        group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("bi"),
         F.col("_b").alias("bj"), F.col("items").alias("b"),
     )
-    return left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
+    joined = left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
+    return joined.select(*by, "bi", "bj", "a", "b")
 
 
 _COARSE, _FINE = 40, 14  # bits dropped from the 64-bit pattern of a squared distance
@@ -62,7 +64,7 @@ def _selected(hist: DataFrame, by: list[str], want: DataFrame | None) -> DataFra
         total = F.sum("c").over(Window.partitionBy(*keys))
         cum = cum.withColumn("rank", F.floor((total - 1) / 2) + 1)
     else:
-        cum = cum.join(want.select(*keys, "rank"), keys)
+        cum = _by_key(cum, want.select(*keys, "rank"), keys)
     hit = F.col("cum") >= F.col("rank")
     return cum.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(hit, F.col("bin"))), F.max("bin")).alias("bin"),
@@ -93,7 +95,7 @@ def median_sigma(blocks: DataFrame, by: list[str]) -> DataFrame:
     )
     coarse = _selected(_map(blocks, schema, K.distance_histogram, by, shift=_COARSE), by, None)
     coarse = materialize(coarse)  # two rows per group, used twice below
-    marked = blocks.join(_wide(coarse, by, F.col("bin")), by)
+    marked = _by_key(blocks, _wide(coarse, by, F.col("bin")), by)
     fine = _selected(
         _map(marked, schema, K.distance_histogram, by, shift=_FINE, prefix_shift=_COARSE), by, coarse
     )
@@ -123,7 +125,7 @@ def rbf_cka(pairs: DataFrame, by: list[str] | None = None, block: int = BLOCK, s
         + [T.StructField("item_id", blocks.schema["a"].dataType.elementType["item_id"].dataType)]
         + [T.StructField(c, T.DoubleType()) for c in ("rx", "ry", "xy", "xx", "yy")]
     )
-    parts = _map(blocks.join(sigma, by), schema, K.rbf_sums, by)
+    parts = _map(_by_key(blocks, sigma, by), schema, K.rbf_sums, by)
     per_item = parts.groupBy(*by, "item_id").agg(
         *[F.sum(c).alias(c) for c in ("rx", "ry", "xy", "xx", "yy")]
     )
@@ -184,3 +186,70 @@ def rsa(
     out = correlate(materialize(d), "d_x", "d_y", by, p_values)
     cols = [*by, "n", F.col("spearman_r").alias("rho")]
     return out.select(*cols, F.col("spearman_p").alias("p")) if p_values else out.select(*cols)
+
+
+CELLS = 1 << 14  # of ranks that a block pair carries per side
+_RANKS, _CLOSE = 34, 16  # bits dropped from a distance's 64 in all bins, and in heavy ones
+
+
+def rsa_of_items(
+    pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = BLOCK, cells: int = CELLS,
+) -> DataFrame:
+    """Spearman correlation of both distance matrices of many items: by, n (pairs), rho, p.
+
+    As `rsa`, without a list of pairs.  One pass over the block pairs counts distances by their
+    leading bits, and a second looks closer at bins that hold more than 1 / `cells` of all pairs.
+    Counts turn into ranks, where neighbouring bins share a rank until about `cells` are left;
+    a last pass looks ranks up and adds up their products.  Two distances share a rank if they
+    agree in 36 binary digits or if all between them are at most 1 / `cells` of all pairs, which
+    moves rho by about the square of that share: with fewer pairs than `cells`, not at all.
+    Pairs without
+    a finite distance on both sides are left out; fewer than three pairs, or distances all
+    alike, give a NULL rho.
+    """
+    if metric not in ("cosine", "euclidean", "correlation"):
+        raise ValueError(f"unknown metric {metric}")
+    by = by or PROFILE
+    blocks = block_pairs(materialize(item_blocks(pairs, by, block)), by)
+    schema = T.StructType(
+        _fields(blocks, by)
+        + [T.StructField("side", T.StringType()), T.StructField("bin", T.LongType()), T.StructField("c", T.LongType())]
+    )
+    keys = [*by, "side"]
+    share = F.sum("c").over(Window.partitionBy(*keys)) / F.lit(float(cells))
+    coarse = _map(blocks, schema, K.rank_histogram, by, metric=metric, shift=_RANKS).groupBy(*keys, "bin").agg(F.sum("c").alias("c"))
+    coarse = materialize(coarse.withColumn("heavy", (F.col("c") > 1) & (F.col("c") > share)))
+    heavy = coarse.groupBy(*by).agg(
+        # Fewer than `cells` bins can hold more than that share.
+        *[F.array_sort(F.collect_list(F.when(F.col("heavy") & (F.col("side") == s), F.col("bin")))).alias(f"heavy_{s}") for s in "xy"]
+    )
+    close = _map(_by_key(blocks, heavy, by), schema, K.rank_histogram, by, metric=metric, shift=_CLOSE, within=_RANKS)
+    light = coarse.filter("not heavy").withColumn("bin", F.shiftleft(F.col("bin") + 1, _RANKS - _CLOSE) - 1)
+    bins = light.select(*keys, "bin", "c").unionByName(close.groupBy(*keys, "bin").agg(F.sum("c").alias("c")))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))
+    total = F.sum("c").over(Window.partitionBy(*keys))
+    placed = bins.withColumns({"hi": upto, "total": total}).withColumn("lo", F.col("hi") - F.col("c"))
+    # A bin goes by the rank of its middle, so that a heavy bin does not pull in those before it.
+    middle = (F.col("lo") + F.col("hi")).cast("double") / 2 / F.col("total")
+    shared = placed.withColumn("cell", F.floor(middle * F.lit(float(cells)))).groupBy(*keys, "cell").agg(
+        F.max("bin").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("total").alias("n"),
+    )
+    # Average rank, about the middle of all ranks.
+    ranks = shared.withColumn("rank", (F.col("lo") + F.col("hi") - F.col("n")).cast("double") / 2)
+
+    def side(s: str) -> list:
+        of = F.col("side") == s
+        table = F.array_sort(F.collect_list(F.when(of, F.struct("last", "rank"))))
+        return [
+            table["last"].alias(f"last_{s}"), table["rank"].alias(f"rank_{s}"),
+            F.sum(F.when(of, (F.col("hi") - F.col("lo")) * F.col("rank") * F.col("rank"))).alias(f"ss_{s}"),
+        ]
+
+    table = materialize(ranks.groupBy(*by).agg(F.max("n").alias("n"), *side("x"), *side("y")))
+    looked = _by_key(blocks, table.drop("n", "ss_x", "ss_y"), by)
+    sums = T.StructType([*_fields(blocks, by), T.StructField("xy", T.DoubleType())])
+    xy = _map(looked, sums, K.rank_products, by, metric=metric, shift=_CLOSE).groupBy(*by).agg(F.sum("xy").alias("xy"))
+    norm = F.sqrt(F.col("ss_x")) * F.sqrt(F.col("ss_y"))
+    rho = F.when((F.col("n") >= 3) & (norm > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / norm)))
+    out = _by_key(table.select(*by, "n", "ss_x", "ss_y"), xy, by).select(*by, "n", rho.alias("rho"))
+    return out.withColumn("p", _p_value()("rho", F.col("n").cast("double")))

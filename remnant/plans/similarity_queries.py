@@ -135,6 +135,15 @@ def c05_p(t: Tables):
     return W.rsa(W.entity_means(t.pairs()))
 
 
+_ITEMS = "em AS (SELECT run, component, layer, item_id, x, y FROM pairs)"
+
+
+@register("c05_rsa_of_items", with_(*_PAIRS, _ITEMS, _rdm_sql(_COS), _RANKED.format(g=G, s=f"(SELECT {G}, round(d_x, 12) AS a, round(d_y, 12) AS b FROM rdm)"))
+          + f"SELECT {G}, count(*) AS n, {r('corr(ra, rb)')} AS rho FROM rk GROUP BY {G}")
+def c05_items(t: Tables):
+    return W.rsa_of_items(t.pairs()).drop("p")
+
+
 @register("c06_component_profile", _CKA + f"SELECT {G}, n, {r('cka')} AS cka FROM cka")
 def c06(t: Tables):
     return C.component_profile(t.pairs())

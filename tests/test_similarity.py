@@ -201,6 +201,29 @@ def test_item_rdm_and_rsa(pairs, metric):
     assert got.rho == pytest.approx(want, abs=1e-6) and 0 <= got.p <= 1 and got.n == len(rows)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "correlation"])
+def test_rsa_without_stored_pairs(spark, pairs, metric):
+    """Equal to the ranking of stored pairs, with ties, repeated items, an outlier and NULL groups."""
+    tied = pairs.withColumn("y", F.transform("y", lambda v: F.round(v / 40))).withColumn("run", F.lit(2))
+    far = pairs.withColumn("x", F.when(F.col("item_id") == 0, F.transform("x", lambda v, j: v * (1 + 1000.0 * j))).otherwise(F.col("x"))).withColumn("run", F.lit(3))
+    every = pairs.unionByName(tied).unionByName(far)
+    want = {r.run: r for r in W.rsa(every, metric, block=9).collect()}
+    got = {r.run: r for r in W.rsa_of_items(every, metric, block=9).collect()}
+    assert set(got) == set(want) and len(got) == 3
+    for k, r in got.items():
+        assert r.n == want[k].n and r.rho == pytest.approx(want[k].rho, abs=2e-6) and r.p == pytest.approx(want[k].p, abs=1e-5)
+    coarse = W.rsa_of_items(pairs, metric, block=9, cells=128).first()
+    assert coarse.rho == pytest.approx(got[1].rho, abs=1e-3)
+    assert W.rsa_of_items(pairs.withColumn("y", F.array(F.lit(1.0), F.lit(2.0))).withColumn("layer", F.lit(None).cast("int")), metric).first().rho is None
+    assert W.rsa_of_items(pairs.limit(0), metric).count() == 0
+
+
+def test_pooled_vectors_have_no_layer(pairs):
+    pooled = pairs.withColumn("layer", F.lit(None).cast("int"))
+    assert W.rdm(pooled, block=9).count() == N * (N - 1) // 2
+    assert W.rbf_cka(pooled, block=9).first().cka == pytest.approx(W.rbf_cka(pairs, block=9).first().cka)
+
+
 def test_health(spark, pairs):
     acts = "run int, component string, layer int, item_id long, vec array<double>"
     nan = float("nan")
