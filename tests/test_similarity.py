@@ -208,7 +208,7 @@ def test_rsa_without_stored_pairs(spark, pairs, metric):
     far = pairs.withColumn("x", F.when(F.col("item_id") == 0, F.transform("x", lambda v, j: v * (1 + 1000.0 * j))).otherwise(F.col("x"))).withColumn("run", F.lit(3))
     every = pairs.unionByName(tied).unionByName(far)
     want = {r.run: r for r in W.rsa(every, metric, block=9).collect()}
-    got = {r.run: r for r in W.rsa_of_items(every, metric, block=9).collect()}
+    got = {r.run: r for r in W.rsa_of_items(every, metric, block=3).collect()}
     assert set(got) == set(want) and len(got) == 3
     for k, r in got.items():
         assert r.n == want[k].n and r.rho == pytest.approx(want[k].rho, abs=2e-6) and r.p == pytest.approx(want[k].p, abs=1e-5)
