@@ -29,12 +29,17 @@ def squash_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text_or_blank(c), _WS, " "))
 
 
-def clean_generated(c: Column | str) -> Column:
-    """Remove tokenizer markers, then squash whitespace."""
+def _unmarked(c: Column | str) -> Column:
+    """Text with a space in place of each tokenizer marker; enough where spaces are dropped anyway."""
     out = text_or_blank(c)
     for marker in V.GENERATION_MARKERS:
         out = F.replace(out, F.lit(marker), F.lit(" "))
-    return F.trim(F.regexp_replace(out, _WS, " "))
+    return out
+
+
+def clean_generated(c: Column | str) -> Column:
+    """Remove tokenizer markers, then squash whitespace."""
+    return F.trim(F.regexp_replace(_unmarked(c), _WS, " "))
 
 
 class _Table(NamedTuple):
@@ -126,19 +131,19 @@ def fold_ascii(c: Column) -> Column:
 
 def norm_compact(c: Column | str) -> Column:
     """Letters and digits only, no spaces left; a match may therefore cross word borders."""
-    return F.regexp_replace(fold_ascii(clean_generated(c)), "[^a-z0-9]+", "")
+    return F.regexp_replace(fold_ascii(_unmarked(c)), "[^a-z0-9]+", "")
 
 
 def norm_words(c: Column | str) -> Column:
     """Distinct runs of letters and digits, in order of appearance."""
     return F.array_distinct(
-        F.regexp_extract_all(fold_ascii(clean_generated(c)), F.lit("([a-z0-9]+)"), F.lit(1))
+        F.regexp_extract_all(fold_ascii(_unmarked(c)), F.lit("([a-z0-9]+)"), F.lit(1))
     )
 
 
 def words_text(c: Column | str) -> Column:
     """All words of `norm_words` in order of appearance, each surrounded by single spaces."""
-    runs = F.regexp_replace(fold_ascii(clean_generated(c)), "[^a-z0-9]+", " ")
+    runs = F.regexp_replace(fold_ascii(_unmarked(c)), "[^a-z0-9]+", " ")
     return F.concat(F.lit(" "), F.trim(runs), F.lit(" "))
 
 

@@ -95,6 +95,15 @@ def kind(v: Column) -> Column:
     return F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Za-z]+", 0))
 
 
+def is_object(v: Column) -> Column:
+    """True for an object, looking at its head only; `kind` walks the whole value."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
 def _get(v: Column | str, key: str) -> Column:
     return F.try_variant_get(v, f"$['{key}']", "variant")
 
@@ -116,13 +125,13 @@ def unwrap_records(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     doc = F.col("doc")
     lists = [_get(doc, k) for k in keys or V.RECORD_KEYS]
-    known = F.coalesce(*[F.when(kind(v) == "array", v) for v in [doc, *lists]])
+    known = F.coalesce(*[F.when(is_array(v), v) for v in [doc, *lists]])
     marked = docs.filter(doc.isNotNull()).select(
-        "source_file", F.coalesce(known, F.when(kind(doc) == "object", doc)).alias("box"),
+        "source_file", F.coalesce(known, F.when(is_object(doc), doc)).alias("box"),
         known.isNull().alias("named"),
     )
     rows = _explode(marked, F.col("box"), ["source_file", "named"])
-    return rows.filter(kind(F.col("child")) == "object").select(
+    return rows.filter(is_object(F.col("child"))).select(
         "source_file", F.col("child").alias("record"), F.when(F.col("named"), F.col("key")).alias("source_key")
     )
 
@@ -139,16 +148,13 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
     key becomes container_key), and the objects of a top-level list.
     Output: source_file, row_id, container_key, row.
     """
-    doc = F.col("doc")
-    top = F.col("_kind")
-    box = lambda name, v, inside: F.struct(F.lit(name).alias("name"), v.alias("v"), F.lit(inside).alias("inside"))
+    doc, top = F.col("doc"), F.col("_object")
+    box = lambda name, v, inside: F.struct(F.lit(name).alias("name"), v.alias("v"), inside.alias("inside"))
     boxes = F.array(
-        box("$", F.when(top == "object", doc), False),
-        box("$", F.when(top == "array", doc), True),
-        *[box(k, F.when(top == "object", _get(doc, k)), True) for k in V.ROW_COLLECTION_KEYS],
+        box("$", doc, ~top), *[box(k, F.when(top, _get(doc, k)), F.lit(True)) for k in V.ROW_COLLECTION_KEYS]
     )
     opened = (
-        docs.filter(doc.isNotNull()).withColumn("_kind", kind(doc))
+        docs.filter(doc.isNotNull()).withColumn("_object", is_object(doc))
         .select("source_file", F.explode(F.filter(boxes, lambda b: b["v"].isNotNull())).alias("b"))
         .select("source_file", "b.name", "b.v", "b.inside")
     )
@@ -160,17 +166,52 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
         "source_file", F.when(F.col("inside"), place).otherwise(F.col("name")).alias("row_id"),
         F.col("key").alias("container_key"),
         F.when(F.col("inside"), F.col("child")).otherwise(F.col("v")).alias("row"),
-    ).filter(kind(F.col("row")) == "object")
+    ).filter(is_object(F.col("row")))
 
 
-def flatten(rows: DataFrame, max_list: int = 10, keep: list[str] | None = None) -> DataFrame:
+def _opened(leaves: DataFrame, keep: list[str]) -> DataFrame:
+    """Objects replaced by their fields, everything else as it is: keep, key (dotted path), v."""
+    # The table function also emits pos, key and value, so other columns get other names.
+    named = leaves.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col("key").alias("_path"), F.col("v").alias("_v"))
+    named = named.withColumn("_open", is_object(F.col("_v")))
+    out = named.lateralJoin(leaves.sparkSession.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("_v")).outer()))
+    path = F.concat_ws(".", F.nullif("_path", F.lit("")), "key")
+    return out.select(
+        *[F.col(f"_k_{c}").alias(c) for c in keep], F.when(F.col("_open"), path).otherwise(F.col("_path")).alias("key"),
+        F.when(F.col("_open"), F.col("value")).otherwise(F.col("_v")).alias("v"),
+    ).filter(F.col("v").isNotNull())
+
+
+LEVELS = 3
+
+
+def flatten(rows: DataFrame, max_list: int = 10, keep: list[str] | None = None, levels: int = LEVELS) -> DataFrame:
     """Leaves by dotted path: scalars, and lists of at most max_list scalars as JSON text.
 
+    The first levels are opened one after another in the JVM; what is still an object below
+    them, however deep, is walked in Arrow batches.
     Output: the kept columns (source_file, row_id), key, value, type.
     """
     keep = keep or ["source_file", "row_id"]
-    found = rows.select(*keep, F.explode(json_walk.leaves_udf(max_list)(F.to_json("row"))).alias("leaf"))
-    return found.select(*keep, "leaf.key", "leaf.value", "leaf.type")
+    v = F.col("v")
+    found = rows.select(*keep, F.lit("").alias("key"), F.col("row").alias("v")).filter(v.isNotNull())
+    for _ in range(levels):
+        found = _opened(found, keep)
+    items = F.try_variant_get(v, "$", "array<variant>")
+    short = (F.size(items) <= max_list) & ~F.exists(items, lambda x: is_object(x) | is_array(x))
+    found = found.withColumn("_kind", F.when(is_object(v), "object").when(is_array(v), "array").otherwise(kind(v)))
+    found = found.filter((F.col("_kind") != "array") | F.coalesce(short, F.lit(True)))
+    json = F.to_json("v")
+    text = F.when(F.col("_kind") == "string", F.try_variant_get(v, "$", "string")).otherwise(F.nullif(json, F.lit("null")))
+    whole = (F.col("_kind") == "decimal") & ~F.contains(json, F.lit("."))
+    kinds = F.when(whole, "bigint").otherwise(F.col("_kind"))
+    leaf = F.struct(F.lit("").alias("key"), text.alias("value"), kinds.alias("type"))
+    below = json_walk.leaves_udf(max_list)(F.when(F.col("_kind") == "object", json))
+    out = found.select(
+        *keep, F.col("key").alias("_path"), F.explode(F.when(F.col("_kind") == "object", below).otherwise(F.array(leaf))).alias("leaf")
+    )
+    path = F.concat_ws(".", F.nullif("_path", F.lit("")), F.nullif("leaf.key", F.lit("")))
+    return out.select(*keep, path.alias("key"), "leaf.value", "leaf.type")
 
 
 def find_records(
@@ -195,7 +236,7 @@ def read_entity_values(docs: DataFrame) -> DataFrame:
         v = F.coalesce(*[F.try_variant_get("child", f"$['{k}']", "double") for k in keys])
         return F.when(~F.isnan(v), v)
 
-    return rows.filter(kind(F.col("child")) == "object").select(
+    return rows.filter(is_object(F.col("child"))).select(
         "source_file", F.col("key").alias("entity"),
         num("ve", "ve_mean").alias("ve"),
         num("bridge", "bridge_mean", "br", "br_mean").alias("br"),

@@ -159,3 +159,26 @@ def test_sinks_and_resume(spark, tmp_path):
     assert done.count() == 2
     want = spark.createDataFrame([("a",), ("b",), ("c",)], "run string")
     assert [r.run for r in pending_runs(want, done, ["run"]).collect()] == ["c"]
+
+
+def test_levels_opened_natively_equal_the_walk(spark):
+    texts = [
+        '{"a":{"b":{"c":{"d":{"e":1.5}}},"l":[1,"x",null]},"":{"":3},"n":null,"t":true,"q\'":{"x.y":"s"}}',
+        '{"long":[0,1,2,3,4,5,6,7,8,9,10],"nested":[[1]],"objects":[{"a":1}],"empty":{},"none":[]}',
+        '{"whole":3.0,"big":10000000000000000000000000,"exp":1e300,"neg":-2.50,"bell":"\\u0007\\"é"}',
+        "{}", "[]", "[1,2]", "[{}]", "5", "null", '"null"',
+    ]
+    rows = spark.createDataFrame([(str(i), "$", t) for i, t in enumerate(texts)], "source_file string, row_id string, t string")
+    rows = rows.withColumn("row", D.strict_json("t"))
+    walked = sorted(map(str, D.flatten(rows, levels=0).collect()))
+    for levels in (1, 3, 6):
+        assert sorted(map(str, D.flatten(rows, levels=levels).collect())) == walked
+
+
+def test_a_document_of_depth_900_is_opened(spark):
+    text = "1"
+    for _ in range(900):
+        text = '{"k":%s}' % text
+    docs = spark.createDataFrame([("a", text)], "source_file string, t string").withColumn("doc", D.strict_json("t"))
+    got = D.flatten(D.candidate_rows(docs)).collect()
+    assert [(r.key, r.value) for r in got] == [(".".join("k" * 900), "1")]
