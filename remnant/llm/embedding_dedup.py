@@ -2,12 +2,16 @@
 
 Vectors are scaled to length one and projected on many random lines.  On one line, a pair at
 cosine c lies N(0, 2 - 2c) apart, so a window of half-width WIDTH * sqrt(2 - 2 * threshold)
-around the query misses a pair at the threshold with a known small chance.  Per pair, the
-collisions of these query-centred windows are counted over COUNTED lines, and pairs pass with at
-most `misses` missing: the least number for which a pair exactly at the threshold passes with
-chance RECALL (binomial).  Those that pass are verified by cosine in double precision.
+around the query holds a pair at the threshold with a known chance.  Each line is sorted and read
+from every query to the end of its window; the collisions are counted per pair over COUNTED
+lines, and pairs pass with at most `misses` missing: the least number for which a pair exactly at
+the threshold passes with chance RECALL (binomial).  Those that pass are verified by cosine in
+double precision.
 
-The lines are sorted by cells: `tables` tables each cut `bits` further lines at zero, and
+Narrow windows with many misses beat wide ones with few: at WIDTH 1 a window holds a fifth of
+unrelated vectors and one pair in some thousands passes; at 2.4 it holds half.
+
+Cells only bound a scan: `tables` tables each cut `bits` further lines at zero, and
 vectors meet in a table when they lie on the same side of all its lines.  bits grows with the
 logarithm of the largest label, and the number of tables follows from RECALL at the threshold,
 so cells keep their size as data grow.  A pair counts in the first table in which it meets.
@@ -32,9 +36,9 @@ from remnant.sources.storage import materialize
 
 THRESHOLD = 0.93
 RECALL = 0.995
-WIDTH = 2.4
+WIDTH = 1.0
 COUNTED = 40
-CELL = 2048  # vectors that a cell should have
+CELL = 1024  # vectors that a cell should have
 CHUNK = 4096
 BLOCK = 512
 SEED = 20240
@@ -62,9 +66,9 @@ def design(largest: int, threshold: float = THRESHOLD, recall: float = RECALL) -
     while chance < each:
         misses += 1
         chance += math.comb(COUNTED, misses) * miss**misses * (1 - miss) ** (COUNTED - misses)
-    bits = max(1, math.ceil(math.log2(max(2, largest) / CELL)))
+    bits = max(0, math.ceil(math.log2(max(1, largest) / CELL)))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - each) / math.log(1 - meet))
+    tables = math.ceil(math.log(1 - each) / math.log(1 - meet)) if bits else 1
     return Design(threshold, WIDTH * apart, misses, bits, tables)
 
 
@@ -87,46 +91,60 @@ def table_cells(x: np.ndarray, a: np.ndarray, d: Design) -> np.ndarray:
     return side @ (1 << np.arange(d.bits, dtype=np.int64))
 
 
+def collisions(left: np.ndarray, right: np.ndarray | None, window: float) -> tuple[np.ndarray, int]:
+    """Collisions per pair over all lines, and the number of window entries that were read.
+
+    Rows are vectors, columns lines.  Each line is sorted once and read from each vector of
+    `left` outwards as far as its window goes; entries outside are never looked at.  Without
+    `right`, pairs lie within `left` and count once, for the vector that comes first.
+    """
+    same = right is None
+    right = left if same else right
+    counts, read = np.zeros(len(left) * len(right), np.uint8), 0
+    for k in range(left.shape[1]):
+        order = np.argsort(right[:, k], kind="stable")
+        line = right[order, k]
+        if same:
+            query, at = order, np.arange(1, len(order) + 1)
+        else:
+            query, at = np.arange(len(left)), np.searchsorted(line, left[:, k] - window, "left")
+        wide = np.searchsorted(line, left[query, k] + window, "right") - at
+        longest = np.argsort(-wide, kind="stable")  # queries whose windows go on are a prefix
+        wide, at, row = wide[longest], at[longest], query[longest] * len(right)
+        for step in range(max(0, int(wide[0]))):
+            n = int(np.searchsorted(-wide, -step, "left"))
+            counts[row[:n] + order[at[:n] + step]] += 1
+            read += n
+    counts = counts.reshape(len(left), len(right))
+    return (np.triu(counts + counts.T, 1) if same else counts), read
+
+
 def cell_links(x: np.ndarray, cells: np.ndarray, a: np.ndarray, t: int, d: Design, split: int):
     """Linked positions (i, j) among the vectors of one cell of table t.
 
     split > 0: only pairs with one vector before and one from `split`.
     """
-    p = (x @ a[d.tables * d.bits :].T).astype(np.float32)
-    order = np.argsort(p[:, 0], kind="stable")
-    if split:
-        order = np.concatenate([order[order < split], order[order >= split]])
+    p = x @ a[d.tables * d.bits :].T
     n, found = len(x), []
-    left = [(s, min(s + BLOCK, split or n)) for s in range(0, split or n, BLOCK)]
-    right = [(s, min(s + BLOCK, n)) for s in range(split, n, BLOCK)] if split else left
-    w = np.float32(d.window)
-    for ls, le in left:
-        for rs, re in right:
-            if not split and re <= ls:
+    for s in range(0, split or n, BLOCK):
+        e = min(s + BLOCK, split or n)
+        # Within a block, then the block against all that follows it.
+        sides = [(split, n)] if split else [(s, e), (e, n)]
+        for rs, re in sides:
+            if rs == re:
                 continue
-            i, j = order[ls:le], order[rs:re]
-            missed = np.zeros((len(i), len(j)), np.uint8)
-            for k in range(8):  # the first lines for the whole block, the others for what is left
-                missed += np.abs(p[i, k][:, None] - p[j, k][None, :]) > w
-            u, v = np.nonzero(missed <= d.misses)
-            count = missed[u, v]
-            u, v = i[u], j[v]
-            if not split and rs == ls:
-                once = u < v
-                u, v, count = u[once], v[once], count[once]
-            for k in range(8, COUNTED, 8):
-                count = count + (np.abs(p[u, k : k + 8] - p[v, k : k + 8]) > w).sum(axis=1)
-                near = count <= d.misses
-                u, v, count = u[near], v[near], count[near]
+            counts, _ = collisions(p[s:e], None if rs == s else p[rs:re], d.window)
+            u, v = np.nonzero(counts >= COUNTED - d.misses)
+            u, v = u + s, v + rs
             if t:
                 first = (cells[u, :t] != cells[v, :t]).all(axis=1)
                 u, v = u[first], v[first]
-            for s in range(0, len(u), 65_536):
-                uu, vv = u[s : s + 65_536], v[s : s + 65_536]
+            for c in range(0, len(u), 65_536):
+                uu, vv = u[c : c + 65_536], v[c : c + 65_536]
                 real = np.einsum("ij,ij->i", x[uu], x[vv]) >= d.threshold
                 found.append((uu[real], vv[real]))
     if not found:
-        return order[:0], order[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 

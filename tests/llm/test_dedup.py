@@ -175,3 +175,34 @@ def test_design_reaches_recall():
         p = both @ a[d.tables * d.bits :].T
         passed = (np.abs(p[:600] - p[600:]) > d.window).sum(axis=1) <= d.misses
         assert (meet & passed).mean() > 0.98
+
+
+def test_windows_are_scanned_not_all_pairs():
+    """Counts equal brute force, and only window entries are read: a fifth of all pairs a line."""
+    d = E.design(10)
+    x = np.random.default_rng(5).standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x @ E.lines(64, d).T[:, d.tables * d.bits :]
+    near = (np.abs(p[:, None, :] - p[None, :, :]) <= d.window).sum(axis=2)
+    counts, read = E.collisions(p, None, d.window)
+    assert (counts == np.triu(near, 1)).all()
+    assert read == np.triu(near, 1).sum() < 0.25 * E.COUNTED * 400 * 399 / 2
+    counts, read = E.collisions(p[:150], p[150:], d.window)
+    assert (counts == near[:150, 150:]).all() and read == near[:150, 150:].sum()
+    assert (near >= E.COUNTED - d.misses)[np.triu_indices(400, 1)].mean() < 0.005
+
+
+def test_links_of_a_cell_reach_recall():
+    """Pairs around the threshold in one cell, also where the cell is dealt in two parts."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[750:] = x[:750] + rng.uniform(0.2, 0.4, (750, 1)) / 8 * rng.standard_normal((750, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(1500)]
+    d = E.design(1000)
+    a = E.lines(64, d)
+    true = set(zip(*np.nonzero(np.triu(x @ x.T >= d.threshold, 1))))
+    for split, wanted in ((0, true), (700, {(i, j) for i, j in true if i < 700 <= j})):
+        found = set(zip(*E.cell_links(x, E.table_cells(x, a, d), a, 0, d, split)))
+        assert found <= wanted and len(found) >= 0.99 * len(wanted) > 0
