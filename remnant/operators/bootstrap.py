@@ -22,7 +22,8 @@ from remnant.operators.similarity import (
 SEED = V.BOOTSTRAP_SEED
 BLOCK = 125  # replicates that a task draws or finishes together
 SLOTS = 1 << 16  # of a replicate that one task draws
-ROWS = 1 << 18  # units of a group that one task adds up
+ROWS = 1 << 14  # units of a tile, whose draws meet its rows in one task
+BUCKETS = 16  # of groups that share a tile's draws, where there are few tiles
 
 
 def indexed_units(units: DataFrame, unit: str, by: list[str] | None = None) -> DataFrame:
@@ -63,22 +64,43 @@ def _tasks(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _drawn(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """n_units, unit_index, r0, reps: the replicates of a block, counted from r0, that draw a unit.
+def _packed(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """n_units, tile, r0, counts, places: the draws of each tile of ROWS units; see `packed_draws`.
 
     sizes: distinct n_units.  The draws are made inside tasks, one per block of replicates and range
-    of slots; a unit has a row for each that draws it.
+    of slots, and take two bytes each.
     """
     jobs = (
         sizes.select("n_units", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("r0"))
         .select("n_units", "r0", F.least(F.col("r0") + BLOCK, F.lit(replicates)).alias("r1"), F.explode(F.sequence(F.lit(0), F.col("n_units") - 1, F.lit(SLOTS))).alias("s0"))
         .withColumn("s1", F.least(F.col("s0") + SLOTS, F.col("n_units")))
     )
+    schema = T.StructType([
+        T.StructField("n_units", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("r0", T.IntegerType()),
+        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()),
+    ])
+    return _map(jobs.repartition(_tasks(sizes)), schema, K.packed_draws, seed, ROWS)
+
+
+def _drawn(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """n_units, unit_index, r0, reps: the replicates of a block, counted from r0, that draw a unit."""
     schema = T.StructType([
         T.StructField("n_units", T.LongType()), T.StructField("unit_index", T.LongType()), T.StructField("r0", T.IntegerType()),
         T.StructField("reps", T.ArrayType(T.ShortType())),
     ])
-    return _map(jobs.repartition(_tasks(sizes)), schema, K.drawn_replicates, seed)
+    return _map(_packed(sizes, replicates, seed), schema, K.unpacked_draws, ROWS)
+
+
+def _met(draws: DataFrame, rows: DataFrame, by: list[str], place: list[str]) -> DataFrame:
+    """Draws of a tile (kind 0) and then its rows (kind 1), in one task per `place`, rows sorted by group.
+
+    Union instead of a join: a tile's draws arrive once, and nothing is sent to all tasks.
+    """
+    index = F.col("unit_index")
+    tiled = rows.withColumns({"tile": F.floor(index / F.lit(ROWS)), "place": (index % ROWS).cast("int"), "kind": F.lit(1)}).drop("unit_index")
+    both = tiled.unionByName(draws.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    order = [*place, "kind", *by, "place", "r0"]
+    return both.repartition(4 * _tasks(rows), *place).sortWithinPartitions(*order)
 
 
 def cka_replicates(
@@ -87,25 +109,24 @@ def cka_replicates(
     """Debiased CKA of every replicate: by, replicate, value.
 
     unit="item_id" resamples items; any other unit (entities) takes all its items, whose
-    moments are added up before the draws are applied.  Rows move once per block of replicates, and
-    the task that reads a group's rows for a block finishes its replicates.  Beyond ROWS units a
-    group is dealt to several tasks, whose moments are added up.
+    moments are added up before the draws are applied.  Rows move once and meet the draws of their
+    tile of ROWS units, in a task that adds up all replicates.  Groups of one tile are finished
+    there; the moments of others are added up across tiles.
     """
     by = by or PROFILE
     from_moments = unit != "item_id"
     rows = paired_moments(pairs, [*by, unit]) if from_moments else pairs.select(*by, unit, "x", "y")
     units = indexed_units(pairs, unit)
     sizes = units.select("n_units").distinct()
-    n = (sizes.first() or [0])[0]
-    drawn = units.join(_drawn(sizes, replicates, seed), ["n_units", "unit_index"]).select(unit, "r0", "reps")
-    salts = max(1, -(-n // ROWS))
-    placed = rows.join(drawn, unit).withColumn("salt", F.pmod(F.xxhash64(unit), F.lit(salts)).cast("int")).drop(unit)
-    full = [*by, "r0", "salt"]
-    placed = placed.repartition(_tasks(pairs), *full).sortWithinPartitions(*full)
+    tiles = -(-(sizes.first() or [0])[0] // ROWS)
+    buckets = max(1, min(BUCKETS, _tasks(pairs)) // max(1, tiles))
+    draws = _packed(sizes, replicates, seed).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    placed = rows.join(units, unit).drop(unit).withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    met = _met(draws, placed, by, ["n_units", "tile", "bucket"])
     kept = _fields(rows, by) + [T.StructField("replicate", T.IntegerType())]
-    finish = salts == 1
+    finish = tiles <= 1
     schema = T.StructType(kept + ([T.StructField("value", T.DoubleType())] if finish else _MOMENTS))
-    out = _map(placed, schema, K.replicate_blocks, by, n_replicates=replicates, width=BLOCK, from_moments=from_moments, finish=finish)
+    out = _map(met, schema, K.replicate_moments, by, n_replicates=replicates, rows=ROWS, from_moments=from_moments, finish=finish)
     if finish:
         return out
     keys = [*by, "replicate"]
@@ -140,15 +161,13 @@ def value_replicates(
     rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     units = indexed_units(rows, unit, by)
     # Groups with as many units share their draws.
-    drawn = _drawn(units.select("n_units").distinct(), replicates, seed)
-    placed = (
-        rows.select(*by, unit, F.col(value).cast("double").alias("value")).join(units, [*by, unit]).join(drawn, ["n_units", "unit_index"])
-        .select(*by, "r0", "reps", "value")
-    )
+    draws = _packed(units.select("n_units").distinct(), replicates, seed)
+    placed = rows.select(*by, unit, F.col(value).cast("double").alias("value")).join(units, [*by, unit]).drop(unit)
     schema = T.StructType(
         _fields(rows, by) + [T.StructField("replicate", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ("n", "total")]
     )
-    out = _map(placed, schema, K.replicate_sums, by, width=BLOCK).groupBy(*by, "replicate").agg(
+    met = _met(draws, placed, by, ["n_units", "tile"])
+    out = _map(met, schema, K.replicate_sums, by, rows=ROWS).groupBy(*by, "replicate").agg(
         F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("value")
     )
     return out.filter(F.col("n") >= min_n).drop("n")

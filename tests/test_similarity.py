@@ -273,3 +273,24 @@ def test_drawn_lists_are_the_draws(spark, pairs):
         for k in r["reps"]:
             got[r["item_id"], r["r0"] + k] = got.get((r["item_id"], r["r0"] + k), 0) + 1
     assert got == want
+
+
+def test_draws_are_not_sent_to_all_tasks(spark):
+    """Draws look small to the planner, as they are made from one row; none of them may be broadcast."""
+    values = spark.range(40).select("id", F.col("id").cast("double").alias("v"))
+    for reps in (B.value_replicates(values, "id", "v", 3), B.cka_replicates(values.select(F.lit(0).alias("run"), F.col("id").alias("item_id"), F.array("v").alias("x"), F.array("v").alias("y")), "item_id", 3, by=["run"])):
+        plan = reps._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Broadcast" in line and "n_units" in line]
+        assert "MapInArrow" in plan and not joins, plan
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 7])
+def test_value_replicates_are_means_of_the_draws(spark, rows, monkeypatch):
+    """Tiles of few units and one tile give the means over draw_indices, per group."""
+    monkeypatch.setattr(B, "ROWS", rows)
+    values = spark.range(50).select("id", (F.col("id") * F.col("id")).cast("double").alias("v"), F.when(F.col("id") < 20, "a").otherwise("b").alias("run"))
+    units = B.indexed_units(values, "id", ["run"]).join(values, ["run", "id"])
+    drawn = B.draw_indices(values, "id", 130, by=["run"]).join(units.select("run", "unit_index", "v"), ["run", "unit_index"])
+    want = {(r[0], r[1]): r[2] for r in drawn.groupBy("run", "replicate").agg(F.avg("v")).collect()}
+    got = {(r["run"], r["replicate"]): r["value"] for r in B.value_replicates(values, "id", "v", 130, by=["run"]).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
