@@ -38,7 +38,9 @@ def draw_indices(
 ) -> DataFrame:
     """As many draws as there are units in each replicate: replicate, slot, unit_index."""
     by = by or []
-    slots = indexed_units(units, unit, by).select(
+    # Numbered units are few bytes and would all stay in one task, which then makes every draw.
+    numbered = indexed_units(units, unit, by).select(*by, "unit_index", "n_units").repartition(_tasks(units))
+    slots = numbered.select(
         *by, F.col("unit_index").alias("slot"), "n_units",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )

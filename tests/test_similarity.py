@@ -294,3 +294,11 @@ def test_value_replicates_are_means_of_the_draws(spark, rows, monkeypatch):
     want = {(r[0], r[1]): r[2] for r in drawn.groupBy("run", "replicate").agg(F.avg("v")).collect()}
     got = {(r["run"], r["replicate"]): r["value"] for r in B.value_replicates(values, "id", "v", 130, by=["run"]).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_draws_fill_many_tasks(spark, monkeypatch):
+    """The units of one task are dealt out before their draws are listed."""
+    monkeypatch.setattr(B, "_tasks", lambda df: 6)
+    draws = B.draw_indices(spark.range(200).coalesce(1), "id", 5)
+    rows = [r[0] for r in draws.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(rows) == 1000 and len(rows) == 6 and max(rows) < 300
