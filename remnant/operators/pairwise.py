@@ -17,7 +17,8 @@ from remnant.operators.similarity import PROFILE, _by_key, _fields, _map, mean_v
 from remnant.operators.stats import _p_value, correlate
 from remnant.sources.storage import materialize
 
-BLOCK = 512
+BLOCK = 1 << 14  # items; kernels hold the distances of a small tile of a block pair
+PAIRS = 512  # items of a block whose pairs are given out as rows
 
 
 def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
@@ -36,7 +37,7 @@ def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
     The work per row is large and its bytes are few, so the number of partitions is stated
     instead of left to size-based merging.
     """
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One key that is never NULL, as pooled vectors have no layer.
     keys, group = ["_g", "bi", "bj"], F.to_json(F.struct(*by)).alias("_g")
     left = blocks.select(
@@ -157,7 +158,7 @@ def entity_means(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def rdm(pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def rdm(pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = PAIRS) -> DataFrame:
     """Upper triangle of both distance matrices: by, i, j, d_x, d_y."""
     if metric not in ("cosine", "euclidean", "correlation"):
         raise ValueError(f"unknown metric {metric}")
@@ -173,7 +174,7 @@ def rdm(pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, b
 
 
 def rsa(
-    pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = BLOCK,
+    pairs: DataFrame, metric: str = "cosine", by: list[str] | None = None, block: int = PAIRS,
     p_values: bool = True,
 ) -> DataFrame:
     """Spearman correlation of both distance matrices: by, n (pairs), rho, p."""
@@ -257,7 +258,7 @@ def rsa_of_items(
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))).drop("_copies")
     looked = _by_key(salted, spread, [*by, "_salt"])
     sums = T.StructType([*_fields(blocks, by), T.StructField("xy", T.DoubleType())])
-    xy = _map(looked, sums, K.rank_products, by, metric=metric, shift=_CLOSE).groupBy(*by).agg(F.sum("xy").alias("xy"))
+    xy = _map(looked, sums, K.rank_products, by, metric=metric, shift=_CLOSE, drop=_RANKS - _CLOSE).groupBy(*by).agg(F.sum("xy").alias("xy"))
     norm = F.sqrt(F.col("ss_x")) * F.sqrt(F.col("ss_y"))
     rho = F.when((F.col("n") >= 3) & (norm > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / norm)))
     out = _by_key(table.select(*by, "n", "ss_x", "ss_y"), xy, by).select(*by, "n", rho.alias("rho"))

@@ -302,3 +302,29 @@ def test_draws_fill_many_tasks(spark, monkeypatch):
     draws = B.draw_indices(spark.range(200).coalesce(1), "id", 5)
     rows = [r[0] for r in draws.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(rows) == 1000 and len(rows) == 6 and max(rows) < 300
+
+
+def test_blocks_hold_many_items(spark):
+    """Items are sent once per block pair: 2,000 of a group are one block, and tiles of it give all pairs."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2, 1200, 4))
+    rows = [(0, i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    pairs = spark.createDataFrame(rows, "run int, item_id bigint, x array<double>, y array<double>")
+    assert W.block_pairs(W.item_blocks(pairs, ["run"]), ["run"]).count() == 1
+    sq = [((v[:, None] - v[None]) ** 2).sum(-1) for v in (x, y)]
+    k = [np.exp(-d / (2 * (np.sqrt(np.sort(d.ravel())[(d.size - 1) // 2]) + 1e-8) ** 2)) for d in sq]
+    k = [v - v.mean(0) - v.mean(1)[:, None] + v.mean() for v in k]
+    want = (k[0] * k[1]).sum() / np.sqrt((k[0] ** 2).sum() * (k[1] ** 2).sum())
+    assert abs(W.rbf_cka(pairs, ["run"]).first()["cka"] - want) < 1e-9
+    assert abs(W.rbf_cka(pairs, ["run"], block=300).first()["cka"] - want) < 1e-9
+
+
+def test_counts_of_few_and_many():
+    v = np.random.default_rng(2).integers(0, 50, 3_000_000) * 1000
+    few, many = K._Counts(), K._Counts()
+    few.add(v[:100], 2)
+    for part in np.array_split(v, 5):
+        many.add(part)
+    for got, want, times in ((few, v[:100], 2), (many, v, 1)):
+        bins, counts = np.unique(want, return_counts=True)
+        assert (got.bins()[0] == bins).all() and (got.bins()[1] == times * counts).all()
