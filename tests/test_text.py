@@ -134,3 +134,11 @@ def test_normalizers_over_every_code_point(spark):
     )
     assert got.count() == 0x110000 - 2048 - 1
     assert got.mapInPandas(wrong, "c string, rule string, got string, want string").collect() == []
+
+
+def test_rephrased_questions_keep_their_texts(spark):
+    """Only the name in a text is replaced; whole texts as their own names made all questions equal."""
+    from remnant.plans.registry import queries
+
+    rows = queries()["t12_rephrase_question"](spark, "/root/testdata/sf0.001")
+    assert rows.filter("question <> 'Who is this? this person'").count() > rows.count() / 2
