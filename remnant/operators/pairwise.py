@@ -184,7 +184,7 @@ def rsa(
         {"d_x": F.round("d_x", 12), "d_y": F.round("d_y", 12)}
     )
     # Stored once: ranking reads the distances several times.
-    out = correlate(materialize(d), "d_x", "d_y", by, p_values)
+    out = correlate(d, "d_x", "d_y", by, p_values)
     cols = [*by, "n", F.col("spearman_r").alias("rho")]
     return out.select(*cols, F.col("spearman_p").alias("p")) if p_values else out.select(*cols)
 

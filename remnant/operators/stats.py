@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from remnant.functions import kernels
 from remnant.operators.ordering import with_average_rank
+from remnant.sources.storage import materialize
 
 
 def _p_value():
@@ -50,8 +51,12 @@ def correlation_guard(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame
 def correlate(
     df: DataFrame, x: str, y: str, by: list[str], p_values: bool = True,
 ) -> DataFrame:
-    """Pearson and Spearman correlation with p values per group."""
-    ranked = with_average_rank(_pairs(df, x, y, by), by, "_x", "_rx")
+    """Pearson and Spearman correlation with p values per group.
+
+    Ranks are joined back by value, and a double that is computed twice may differ in its last
+    digit: the pairs are stored, so that each is computed once.
+    """
+    ranked = with_average_rank(materialize(_pairs(df, x, y, by)), by, "_x", "_rx")
     ranked = with_average_rank(ranked, by, "_y", "_ry")
     agg = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *_constant_sides(),

@@ -328,3 +328,18 @@ def test_counts_of_few_and_many():
     for got, want, times in ((few, v[:100], 2), (many, v, 1)):
         bins, counts = np.unique(want, return_counts=True)
         assert (got.bins()[0] == bins).all() and (got.bins()[1] == times * counts).all()
+
+
+def test_correlation_of_values_that_differ_when_computed_again(spark):
+    """Sums of doubles in the order of arrival: ranks are joined by value, and no row may be lost."""
+    from pyspark.sql.types import DoubleType
+
+    from remnant.operators.stats import correlate
+
+    def jitter(v):
+        return v + np.random.default_rng().uniform(0, 1e-12, len(v))
+
+    noisy = F.pandas_udf(jitter, DoubleType()).asNondeterministic()
+    rows = spark.range(8).select(F.lit("m").alias("g"), noisy(F.col("id").cast("double")).alias("x"), noisy((F.col("id") % 5).cast("double")).alias("y"))
+    got = correlate(rows, "x", "y", ["g"], p_values=False).collect()
+    assert [(r["n"], r["status"]) for r in got] == [(8, "ok")]
