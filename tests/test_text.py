@@ -142,3 +142,21 @@ def test_rephrased_questions_keep_their_texts(spark):
 
     rows = queries()["t12_rephrase_question"](spark, "/root/testdata/sf0.001")
     assert rows.filter("question <> 'Who is this? this person'").count() > rows.count() / 2
+
+
+def test_compatibility_forms_hold_few_python_strings():
+    """A batch of 40 MB takes a few MB more than its result, and equals unicodedata."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from remnant.functions import kernels
+
+    texts = ["Éclair ½ ﬁne 한국 " * 160 + str(i) for i in range(10_000)] + [None, ""]
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = kernels.nfkd(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert got.to_pylist() == [t if t is None else unicodedata.normalize("NFKD", t) for t in texts]
