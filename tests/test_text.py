@@ -160,3 +160,17 @@ def test_compatibility_forms_hold_few_python_strings():
     tracemalloc.stop()
     assert peak < 20 << 20
     assert got.to_pylist() == [t if t is None else unicodedata.normalize("NFKD", t) for t in texts]
+
+
+def test_probe_names_go_to_the_texts(spark):
+    """No text travels to its source: tables above the broadcast limit are joined with one name a source."""
+    from remnant.plans.views import Tables
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 10))
+    try:
+        plan = Tables(spark, "/root/testdata/sf0.001").probes()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
