@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remnant.functions import text as T
 from remnant.functions.common import hash_key
 from remnant.operators.ordering import with_neighbor
+from remnant.sources.storage import materialize
 
 
 def item_key(entity="entity", question="question", answer="answer", position=None) -> Column:
@@ -195,6 +196,7 @@ def edge_probe_join(edges: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 GRAM = 8
+BLOCK = 32
 
 
 def answers_in_corpus(answers: DataFrame, texts: DataFrame, norm=T.norm_answer) -> DataFrame:
@@ -204,6 +206,11 @@ def answers_in_corpus(answers: DataFrame, texts: DataFrame, norm=T.norm_answer)
     answer of three or more words, every inner word must be a whole word of the text; other
     answers (and normalizers without spaces) use character n-grams, and answers shorter than
     the n-gram use themselves.  Each answer is looked up by its rarest entry in the corpus.
+
+    Wherever an answer of 2 * BLOCK - 1 or more characters stands in a text, it covers a whole one
+    of the text's consecutive blocks of BLOCK characters: the texts list these alone.  Of the
+    answer, BLOCK n-grams in a row meet every place of the cuts; those rarest in the corpus are
+    looked up.
     """
     a = answers.select("answer_id", norm("answer").alias("a")).filter(F.col("a") != "")
     t = texts.select("text_id", norm("text").alias("t"))
@@ -216,9 +223,10 @@ def answers_in_corpus(answers: DataFrame, texts: DataFrame, norm=T.norm_answer)
         return F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
 
     worded = F.size(F.split("a", " ")) >= 3
-    mode = F.when(worded, 0).otherwise(F.least(F.length("a"), F.lit(GRAM))).alias("mode")
+    long = F.length("a") >= 2 * BLOCK - 1
+    mode = F.when(worded, 0).when(long, BLOCK).otherwise(F.least(F.length("a"), F.lit(GRAM))).alias("mode")
     a = a.select("answer_id", "a", mode)
-    # Which entry kinds are needed: at most GRAM + 1 values.
+    # Which entry kinds are needed: at most GRAM + 2 values.
     modes = sorted(r[0] for r in a.select("mode").distinct().collect())
     if not modes:
         return a.select("answer_id").join(t.select("text_id").limit(0), F.lit(True))
@@ -228,25 +236,40 @@ def answers_in_corpus(answers: DataFrame, texts: DataFrame, norm=T.norm_answer)
         if size == 0:
             keys = mine.select("answer_id", F.explode(inner_words("a")).alias("g"))
             corpus = t.select("text_id", F.explode(F.array_distinct(F.split("t", " "))).alias("g"))
+        elif size == BLOCK:
+            place = F.posexplode(F.regexp_extract_all("a", F.lit(f"(?=(.{{{size}}}))"), F.lit(1))).alias("at", "g")
+            keys = mine.select("answer_id", place)
+            cut = F.regexp_extract_all("t", F.lit(f"(.{{{size}}})"), F.lit(1))
+            corpus = t.select("text_id", F.explode(F.array_distinct(cut)).alias("g"))
         else:
             keys = mine.select("answer_id", F.explode(grams("a", size)).alias("g"))
             corpus = t.select("text_id", F.explode(grams("t", size)).alias("g"))
-        if size in (0, GRAM):
-            wanted = corpus.join(keys.select("g").distinct(), "g", "left_semi")
-            seen = wanted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        # Stored: texts are read once, for the counts and for the hits.
+        wanted = materialize(corpus.join(keys.select("g").distinct(), "g", "left_semi"))
+        seen = wanted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        if size == BLOCK:
+            row = Window.partitionBy("answer_id").orderBy("at").rowsBetween(0, BLOCK - 1)
+            counted = keys.join(seen, "g", "left").select("answer_id", "at", "g", F.coalesce("n", F.lit(0)).alias("n"))
+            runs = counted.select("answer_id", "at", F.sum("n").over(row).alias("n"), F.count(F.lit(1)).over(row).alias("k"))
+            first = runs.filter(F.col("k") == BLOCK).groupBy("answer_id").agg(F.min_by("at", F.struct("n", "at")).alias("first"))
+            keys = keys.join(first, "answer_id").filter(F.col("at").between(F.col("first"), F.col("first") + BLOCK - 1))
+        elif size in (0, GRAM):
             # An entry absent from the corpus proves that its answer is absent.
             keys = (
                 keys.join(seen, "g", "left")
                 .groupBy("answer_id")
                 .agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
             )
-        parts.append(keys.join(corpus, "g").select("answer_id", "text_id"))
+        parts.append(keys.join(wanted, "g").select("answer_id", "text_id"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
+    hits = hits.distinct()
+    # Only the texts that were hit are normalized again.
+    met = texts.join(hits.select("text_id").distinct(), "text_id", "left_semi").select("text_id", norm("text").alias("t"))
     return (
         hits.join(a.select("answer_id", "a"), "answer_id")
-        .join(t, "text_id")
+        .join(met, "text_id")
         .filter(F.contains(F.col("t"), F.col("a")))
         .select("answer_id", "text_id")
     )

@@ -150,3 +150,23 @@ def test_answers_in_corpus_by_brute_force(spark):
     norm = lambda s: " ".join(re.sub("[^a-z0-9]", " ", s.lower()).split())
     want = {(i, j) for i, x in enumerate(answers) for j, y in enumerate(texts) if norm(x) and norm(x) in norm(y)}
     assert {tuple(r) for r in J.answers_in_corpus(a, t).collect()} == want
+
+
+def test_long_answers_in_corpus_at_every_place(spark, monkeypatch):
+    """Long answers at each offset of the text's blocks, repeated signs included; texts list few entries."""
+    import random
+
+    from remnant.functions import text as T
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    answers = [word(62), word(63), word(64), word(150), "a" * 63, "ab" * 40]
+    texts = [word(k) + x + word(k % 7) for k in range(40) for x in answers]
+    texts += [x[:-1] + "z" for x in answers] + ["a" * 62, "a" * 200, "ba" * 60, ""]
+    a = spark.createDataFrame(list(enumerate(answers)), "answer_id int, answer string")
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    want = sorted((i, j) for i, x in enumerate(answers) for j, y in enumerate(texts) if x in y)
+    stored, plain = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df: stored.append(df) or plain(df))
+    assert sorted(tuple(r) for r in J.answers_in_corpus(a, t, T.norm_compact).collect()) == want
+    assert len(stored) == 2  # blocks of 32 for five answers, n-grams for the one of 62 characters
