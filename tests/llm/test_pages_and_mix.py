@@ -122,6 +122,43 @@ def test_page_decides_by_blocks_and_copies_keep_text(spark):
     assert got[20] == f"{own[0]} one" and got[21] == f"{own[0]} two"
 
 
+def test_every_page_goes_through_the_array(spark):
+    """Pages that name an article are looked up too, and keep its text."""
+    banner = "all pages of this host have one banner text here"
+    rows = [(i, f"http://n.com/{i}", f"<nav>m{i}</nav><div>{banner}</div><article>own {i} {banner}</article>") for i in range(5)]
+    rows += [(5, "http://n.com/5", f"<div>{banner}</div><p>words of page five</p>"), (6, "http://o.com/6", f"<div>{banner}</div><article>a</article>"), (7, "http://n.com/7", None)]
+    got = {r["page_id"]: (r["text"], r["n_repeats"]) for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    n = len(banner.split()) - H.DEPTH + 1
+    assert got == {**{i: (f"own {i} {banner}", n) for i in range(5)}, 5: ("words of page five", n), 6: ("a", 0), 7: ("", 0)}
+
+
+@pytest.mark.parametrize("size, parts", [(1, 1), (3, 2), (7, 5), (1000, 3)])
+def test_runs_of_the_array_may_be_cut_anywhere(size, parts):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    rows = sorted({(f"h{a}", f"s{b}", int(c)) for a, b, c in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300) ** 2 // 40, rng.integers(0, 9, 300))})
+    got = {}
+    for k in range(parts):
+        part = rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part[i : i + size])], ["host", "s", "class"]) for i in range(0, len(part), size)]
+        for b in H._runs(batches):
+            for r in b.to_pylist():
+                got[r["host"], r["s"]] = got.get((r["host"], r["s"]), 0) + r["n"]
+    want = {}
+    for h, s, _ in rows:
+        want[h, s] = want.get((h, s), 0) + 1
+    assert {k: n for k, n in got.items() if n > 1} == {k: n for k, n in want.items() if n > 1}
+
+
+def test_array_is_sorted_and_one_passage_fills_many_partitions(spark):
+    rows = spark.range(20_000).select(F.lit("h").alias("host"), F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("hot").alias("s"), F.col("id").alias("class"))
+    array = H.suffix_array(rows.unionAll(rows)).withColumn("part", F.spark_partition_id()).collect()
+    keys = [(r["s"], r["class"]) for r in sorted(array, key=lambda r: r["part"])]
+    assert len(keys) == 20_000 and keys == sorted(keys)
+    assert len({r["part"] for r in array if r["s"] == "hot"}) > 1
+
+
 URLS = [None, "", "no scheme", "http://A.Example.org/es/x?q", "https://example.org/en/1", "http://x.com", "http://x.com/fr/1#a", "http://com/de/1", "x://y://z/p", "http://ex.com?x=/de/", "http://notexample.org/es/", "http://example.org/en/2"]
 
 
