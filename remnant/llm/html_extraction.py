@@ -44,6 +44,7 @@ DEPTH = 6
 SHARE = 0.1  # of a host's pages have what is boilerplate
 SIGNS, ROWS = 64, 4
 _ODD = (np.random.default_rng(10).integers(0, 1 << 63, SIGNS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_PLACES = np.random.default_rng(6).integers(0, 1 << 63, DEPTH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ALIKE = 0.6  # of all suffixes of two near copies are shared
 
 #: Element names, and words of class, id and role that name what is left out.
@@ -243,17 +244,36 @@ def suffixes(words: list[str], depth: int = DEPTH) -> list[str]:
     return [" ".join(words[i : i + depth]) for i in range(max(1, len(words) - depth + 1))]
 
 
-def signature(stream: list[str]) -> list[int]:
-    """The least hash of the suffixes under each of SIGNS multipliers, its upper half."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in stream], np.uint64)
-    return ((hashes[:, None] * _ODD).min(axis=0) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+def signature(texts: list[str], hashes: dict[str, int], depth: int = DEPTH) -> list[int]:
+    """The least hash of the texts' suffixes under each of SIGNS multipliers, its upper half.
+
+    hashes: those of words, kept from page to page.  A short text is filled up with zeros.
+    """
+    values, ends = [], []
+    for t in texts:
+        for w in t.split():
+            h = hashes.get(w)
+            if h is None:
+                h = hashes[w] = xxhash.xxh3_64_intdigest(w)
+            values.append(h)
+        values += [0] * max(0, depth - len(values) + (ends[-1] if ends else 0))
+        ends.append(len(values))
+    words, last = np.array(values, np.uint64), len(values) - depth + 1
+    windows = sum(words[j : last + j] * _PLACES[j] for j in range(depth))
+    # Those that go on from one text to the next are none.
+    own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    windows = windows[own[:last] == own[depth - 1 :]]
+    return ((windows * _ODD[:, None]).min(axis=1) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
 def _streams(texts: list) -> dict:
-    """The suffixes of each page outside named articles, their signature, and whether it names no article."""
+    """The suffixes of each page outside named articles, the signature of all, and whether it names no article."""
     found = [blocks(t) for t in texts]
     streams = [sorted({s for b in f if b.zone not in (MAIN, HINTED) for s in suffixes(b.text.split())}) for f in found]
-    return {"s": streams, "sig": [signature(s) if s else None for s in streams], "asks": [named_text(f) is None for f in found]}
+    # Articles tell pages apart that share nothing but the host's boilerplate.
+    hashes: dict[str, int] = {}
+    signs = [signature([b.text for b in f], hashes) if s else None for f, s in zip(found, streams)]
+    return {"s": streams, "sig": signs, "asks": [named_text(f) is None for f in found]}
 
 
 def _named(texts: list) -> dict:
@@ -353,8 +373,11 @@ def suffix_array(entries: DataFrame) -> DataFrame:
 
     A run may be cut between partitions, as its classes are sorted too.
     """
-    # Equal rows are dropped first, where they are; the sort then holds each once.
-    return entries.select("host", "s", "class").distinct().repartitionByRange("host", "s", "class").sortWithinPartitions("host", "s", "class")
+    # Equal rows are dropped first, where they are; the sort then holds each once.  With a number of
+    # its own the array stays cut where adaptive execution would join its parts again.
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["host", "s", "class"]
+    return entries.select(*keys).distinct().repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
 
 def repeated_suffixes(streams: DataFrame) -> DataFrame:
@@ -381,7 +404,9 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(page_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("page", F.xxhash64("html"))
     # Only the streams are stored and moved; html is read again for the texts.
-    parsed = rows.select("host", "page", text_udf(_streams, "s array<string>, sig array<int>, asks boolean")(F.col("html")).alias("p"))
+    # Called non-deterministic, so that the filter on its result doesn't run it again.
+    split = text_udf(_streams, "s array<string>, sig array<int>, asks boolean").asNondeterministic()
+    parsed = rows.select("host", "page", split(F.col("html")).alias("p"))
     streams = parsed.select("host", "page", "p.*").filter("size(s) > 0").dropDuplicates(["host", "page"])
     streams, _ = stored(streams, "streams")
     # An article's text needs no list of repeats, only pages that ask get one.
