@@ -154,9 +154,9 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
         box("$", doc, ~top), *[box(k, F.when(top, _get(doc, k)), F.lit(True)) for k in V.ROW_COLLECTION_KEYS]
     )
     opened = (
-        docs.filter(doc.isNotNull()).withColumn("_object", is_object(doc))
-        .select("source_file", F.explode(F.filter(boxes, lambda b: b["v"].isNotNull())).alias("b"))
-        .select("source_file", "b.name", "b.v", "b.inside")
+        # Exploded, a document is parsed once: a filter on a plain column would move below and parse it again.
+        docs.select("source_file", F.explode(F.array(doc)).alias("doc")).withColumn("_object", is_object(doc))
+        .select("source_file", F.inline(boxes).alias("name", "v", "inside")).filter(F.col("v").isNotNull())
     )
     rows = _explode(opened, F.when(F.col("inside"), F.col("v")), ["source_file", "name", "v", "inside"])
     place = F.when(F.col("key").isNull(), F.concat("name", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
@@ -200,7 +200,7 @@ def flatten(rows: DataFrame, max_list: int = 10, keep: list[str] | None = None,
     items = F.try_variant_get(v, "$", "array<variant>")
     short = (F.size(items) <= max_list) & ~F.exists(items, lambda x: is_object(x) | is_array(x))
     found = found.withColumn("_kind", F.when(is_object(v), "object").when(is_array(v), "array").otherwise(kind(v)))
-    found = found.filter((F.col("_kind") != "array") | F.coalesce(short, F.lit(True)))
+    none = (F.col("_kind") == "array") & ~F.coalesce(short, F.lit(True))
     json = F.to_json("v")
     text = F.when(F.col("_kind") == "string", F.try_variant_get(v, "$", "string")).otherwise(F.nullif(json, F.lit("null")))
     whole = (F.col("_kind") == "decimal") & ~F.contains(json, F.lit("."))
@@ -208,7 +208,8 @@ def flatten(rows: DataFrame, max_list: int = 10, keep: list[str] | None = None,
     leaf = F.struct(F.lit("").alias("key"), text.alias("value"), kinds.alias("type"))
     below = json_walk.leaves_udf(max_list)(F.when(F.col("_kind") == "object", json))
     out = found.select(
-        *keep, F.col("key").alias("_path"), F.explode(F.when(F.col("_kind") == "object", below).otherwise(F.array(leaf))).alias("leaf")
+        # A filter on the kind would find it out twice.
+        *keep, F.col("key").alias("_path"), F.explode(F.when(F.col("_kind") == "object", below).when(~none, F.array(leaf))).alias("leaf")
     )
     path = F.concat_ws(".", F.nullif("_path", F.lit("")), F.nullif("leaf.key", F.lit("")))
     return out.select(*keep, path.alias("key"), "leaf.value", "leaf.type")

@@ -182,3 +182,9 @@ def test_a_document_of_depth_900_is_opened(spark):
     docs = spark.createDataFrame([("a", text)], "source_file string, t string").withColumn("doc", D.strict_json("t"))
     got = D.flatten(D.candidate_rows(docs)).collect()
     assert [(r.key, r.value) for r in got] == [(".".join("k" * 900), "1")]
+
+
+def test_candidate_rows_parse_a_document_once(spark):
+    files = spark.createDataFrame([("a", 1, "{}")], "source_file string, size_bytes bigint, text string")
+    plan = D.candidate_rows(D.parse_docs(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1
