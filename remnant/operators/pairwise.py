@@ -15,15 +15,18 @@ from pyspark.sql import types as T
 from remnant.functions import kernels as K
 from remnant.operators.similarity import PROFILE, _by_key, _fields, _map, mean_vector
 from remnant.operators.stats import _p_value, correlate
-from remnant.sources.storage import materialize
+from remnant.sources.storage import materialize, stored
 
-BLOCK = 1 << 14  # items; kernels hold the distances of a small tile of a block pair
+BLOCK = 1 << 15  # items; kernels hold the distances of a small tile of a block pair
+NUMBERS = 1 << 21  # of a block's matrix: wide vectors come in smaller blocks
 PAIRS = 512  # items of a block whose pairs are given out as rows
+SHIFTS = 8  # tiles of sampled pairs that an item is in, for the bracket of a median
 
 
 def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
     """Items of a group in hashed blocks of about `block` rows: by, _nb, _b, items."""
-    counts = pairs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).alias("_nb"))
+    most = F.least(F.lit(float(block)), F.ceil(F.lit(NUMBERS) / F.greatest(F.max(F.size("x")), F.lit(1))))
+    counts = pairs.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias("_nb"))
     rows = _by_key(pairs, counts, by).withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("_nb")))
     # Sorted, so that every evaluation of a block does the same arithmetic.
     return rows.groupBy(*by, "_nb", "_b").agg(
@@ -31,10 +34,11 @@ def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFram
     )
 
 
-def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, bi, bj, a, b) with bi <= bj: two blocks of items of one group.
+def block_pairs(blocks: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by, bi, bj, a, b, carry) with bi <= bj: two blocks of items of one group.
 
-    The work per row is large and its bytes are few, so the number of partitions is stated
+    A block paired with itself is sent once, and b is NULL.  `carry` are columns that are equal in all
+    blocks of a group.  The work per row is large and its bytes are few, so the number of partitions is stated
     instead of left to size-based merging.
     """
     parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -42,14 +46,93 @@ def block_pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
     keys, group = ["_g", "bi", "bj"], F.to_json(F.struct(*by)).alias("_g")
     left = blocks.select(
         *by, group, F.col("_b").alias("bi"), F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("bj"),
-        F.col("items").alias("a"),
+        F.col("items").alias("a"), *carry,
     )
     right = blocks.select(
         group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("bi"),
-        F.col("_b").alias("bj"), F.col("items").alias("b"),
-    )
+        F.col("_b").alias("bj"), F.col("_b").alias("_own"), F.col("items").alias("_items"),
+    ).select("_g", "bi", "bj", F.when(F.col("bi") != F.col("_own"), F.col("_items")).alias("b"))
     joined = left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
-    return joined.select(*by, "bi", "bj", "a", "b")
+    return joined.select(*by, "bi", "bj", "a", "b", *carry)
+
+
+def _packed(pairs: DataFrame, by: list[str], block: int, metric: str, shifts: int) -> DataFrame:
+    """Blocks of a group as matrices, with facts of both sides; stored, as several passes read them."""
+    blocks = item_blocks(pairs, by, block)
+    item = blocks.schema["items"].dataType.elementType["item_id"].dataType
+    facts = (T.IntegerType(), T.BooleanType(), T.LongType(), T.LongType(), T.BinaryType(), T.LongType())
+    schema = T.StructType(
+        _fields(blocks, [*by, "_nb", "_b"])
+        + [T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(item))]
+        + [
+            T.StructField(name, kind)
+            for s in "xy"
+            for name, kind in ((s, T.BinaryType()), *zip((f"{f}_{s}" for f in K.SIDE), facts))
+        ]
+    )
+    return materialize(_map(blocks, schema, K.pack_blocks, by, metric=metric, shifts=shifts))
+
+
+_SIDES = ["_p", "_q"]  # hashes of the vectors of a side
+
+
+def _brackets(packed: DataFrame, by: list[str], share: float | None = None) -> DataFrame:
+    """Of both sides of a group: hashes of its vectors and a bracket of distances (see `side_facts`)."""
+    facts = F.struct("n", *[f"{f}_{s}" for s in "xy" for f in K.SIDE])
+    groups = packed.groupBy(*by).agg(F.collect_list(facts).alias("blocks"))
+    schema = T.StructType(
+        _fields(packed, by)
+        + [T.StructField("side", T.StringType()), T.StructField("finite", T.BooleanType())]
+        + [T.StructField(c, T.LongType()) for c in _SIDES]
+        + [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]
+    )
+    return stored(_map(groups, schema, K.side_facts, by, share=share), "sides")[0]
+
+
+def _side_pairs(packed: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Block pairs of one side each.  Sides that hold the same vectors, as those of a base run do, come once."""
+    first = brackets.filter("finite").groupBy(*_SIDES).agg(F.min(F.struct(*by, "side", "_lo", "_hi")).alias("r"))
+    own = _by_key(packed, first.select(*_SIDES, "r.*"), by)
+    matrix = F.when(F.col("side") == "x", F.col("x")).otherwise(F.col("y"))
+    blocks = own.select(*_SIDES, "_nb", "_b", F.struct("n", matrix.alias("x")).alias("items"), "_lo", "_hi")
+    return block_pairs(blocks, _SIDES, ("_lo", "_hi"))
+
+
+def _by_side(found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """One row per group from one per side: by, name_x and name_y."""
+    return found.groupBy(*by).agg(
+        *[F.first(F.when(F.col("side") == s, F.col(c)), True).alias(f"{c}_{s}") for c in names for s in "xy"]
+    )
+
+
+def _matrices(packed: DataFrame, *more: str) -> DataFrame:
+    return packed.withColumn("items", F.struct("n", *more, "x", "y"))
+
+
+def sigma_of_blocks(packed: DataFrame, by: list[str]) -> DataFrame:
+    """As `median_sigma`, in one pass over all pairs of each distinct side: by, sigma_x, sigma_y.
+
+    A sample of pairs gives a bracket; the pass counts the distances below it and gives out those in
+    it, of which one is the median.  Groups where it is not, or whose numbers are not all finite, go
+    through `median_sigma`.
+    """
+    brackets = _brackets(packed, by)
+    schema = T.StructType(
+        [T.StructField(c, T.LongType()) for c in (*_SIDES, "n", "below")]
+        + [T.StructField("over", T.BooleanType()), T.StructField("near", T.BinaryType()), T.StructField("counts", T.BinaryType())]
+    )
+    near = _map(_side_pairs(packed, brackets, by), schema, K.near_median, _SIDES)
+    schema = T.StructType([*schema.fields[:2], T.StructField("median", T.DoubleType())])
+    near = near.repartition(*_SIDES).sortWithinPartitions(*_SIDES)
+    medians = brackets.join(_map(near, schema, K.pick_median, _SIDES), _SIDES, "left")
+    medians = medians.withColumn("sigma", F.sqrt("median") + F.lit(1e-8))
+    sigma = stored(_by_side(medians, by, ["sigma"]), "sigma")[0]
+    known = F.col("sigma_x").isNotNull() & F.col("sigma_y").isNotNull()
+    odd = sigma.filter(~known)
+    if odd.isEmpty():
+        return sigma
+    rest = _by_key(_matrices(packed), odd.select(*by), by)
+    return sigma.filter(known).unionByName(median_sigma(block_pairs(rest, by), by))
 
 
 _COARSE, _FINE = 40, 14  # bits dropped from the 64-bit pattern of a squared distance
@@ -118,15 +201,15 @@ def _bits_to_double(bits):
 def rbf_cka(pairs: DataFrame, by: list[str] | None = None, block: int = BLOCK, sigma: DataFrame | None = None) -> DataFrame:
     """CKA with Gaussian kernels and double centring: by, n, cka."""
     by = by or PROFILE
-    # Three passes over the block pairs: store the blocks once (as many rows as items).
-    blocks = block_pairs(materialize(item_blocks(pairs, by, block)), by)
-    sigma = median_sigma(blocks, by) if sigma is None else sigma
+    packed = _packed(pairs, by, block, "squared", SHIFTS)
+    sigma = sigma_of_blocks(packed, by) if sigma is None else sigma
+    blocks = block_pairs(_by_key(_matrices(packed, "ids"), sigma, by), by, ("sigma_x", "sigma_y"))
     schema = T.StructType(
         _fields(blocks, by)
-        + [T.StructField("item_id", blocks.schema["a"].dataType.elementType["item_id"].dataType)]
+        + [T.StructField("item_id", packed.schema["ids"].dataType.elementType)]
         + [T.StructField(c, T.DoubleType()) for c in ("rx", "ry", "xy", "xx", "yy")]
     )
-    parts = _map(_by_key(blocks, sigma, by), schema, K.rbf_sums, by)
+    parts = _map(blocks, schema, K.rbf_sums, by)
     per_item = parts.groupBy(*by, "item_id").agg(
         *[F.sum(c).alias(c) for c in ("rx", "ry", "xy", "xx", "yy")]
     )

@@ -343,3 +343,46 @@ def test_correlation_of_values_that_differ_when_computed_again(spark):
     rows = spark.range(8).select(F.lit("m").alias("g"), noisy(F.col("id").cast("double")).alias("x"), noisy((F.col("id") % 5).cast("double")).alias("y"))
     got = correlate(rows, "x", "y", ["g"], p_values=False).collect()
     assert [(r["n"], r["status"]) for r in got] == [(8, "ok")]
+
+
+def lower_median(v):
+    d = np.sort(((v[:, None] - v[None]) ** 2).sum(-1).ravel())
+    return np.sqrt(d[(d.size - 1) // 2]) + 1e-8
+
+
+def test_medians_in_one_pass_over_distinct_sides(spark):
+    """Runs that share a base have its distances counted once; ties, few items, shifted and copied vectors, and NaN."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 4))
+    sides = {
+        1: (x, x + rng.normal(size=x.shape)), 2: (x, np.round(x)), 3: (x, x + 1000.0),
+        4: (x[:1], x[:1]), 5: (x[:2], 2 * x[:2]), 6: (x[:3], x[3:6]),
+        7: (np.repeat(x[:150], 2, 0), (x > 0).astype(float)), 8: (x[:40], np.zeros((40, 4))),
+    }
+    rows = [(run, i, a.tolist(), b.tolist()) for run, (v, w) in sides.items() for i, (a, b) in enumerate(zip(v, w))]
+    rows += [(9, i, a.tolist(), [float("nan"), 1.0]) for i, a in enumerate(x[:20])]
+    pairs = spark.createDataFrame(rows, "run int, item_id bigint, x array<double>, y array<double>")
+    packed = W._packed(pairs, ["run"], 100, "squared", W.SHIFTS)
+    found = {r.run: r for r in W.sigma_of_blocks(packed, ["run"]).collect()}
+    assert set(found) == {*sides, 9}
+    for run, (v, w) in sides.items():
+        assert found[run].sigma_x == pytest.approx(lower_median(v), rel=1e-9), run
+        assert found[run].sigma_y == pytest.approx(lower_median(w), rel=1e-9), run
+    assert found[9].sigma_x == pytest.approx(lower_median(x[:20]), rel=1e-9) and found[9].sigma_y == np.inf  # as median_sigma has it
+    shared = packed.filter("run < 3")
+    # One base and two others, each of three blocks with six pairs of blocks.
+    assert W._side_pairs(shared, W._brackets(shared, ["run"]), ["run"]).count() == 3 * 6
+    sums = W.block_pairs(W._matrices(shared, "ids"), ["run"])
+    assert sums.count() == 2 * 6 and sums.filter("b IS NULL").count() == 2 * 3
+    assert W.rbf_cka(pairs.filter("run = 1"), ["run"], block=100).first().cka == pytest.approx(rbf(*sides[1]), abs=1e-9)
+
+
+def test_bracket_of_sampled_pairs_holds_the_median():
+    """More items than are taken whole: the sampled bracket is narrow, and counts in it give the median."""
+    v = np.random.default_rng(3).normal(size=(2500, 3))
+    points, m = K._sampled(v, "squared", 8)
+    d = np.sort(((v[:, None] - v[None]) ** 2).sum(-1)[np.triu_indices(2500, 1)])
+    at = np.searchsorted(d, points[[K.POINTS // 4, K.POINTS // 2, 3 * K.POINTS // 4]]) / len(d)
+    assert m > 1e6 and np.abs(at - [0.25, 0.5, 0.75]).max() < 3e-3
+    v = np.sort(np.random.default_rng(4).normal(size=1000) ** 2).view(np.int64)
+    assert (K._from_planes(K._planes(v)) == v).all()
