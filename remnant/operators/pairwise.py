@@ -74,9 +74,10 @@ def _packed(pairs: DataFrame, by: list[str], block: int, metric: str, shifts: in
 
 
 _SIDES = ["_p", "_q"]  # hashes of the vectors of a side
+_BRACKET = ("_lo", "_hi", "_cells")  # distances of a side between which they are looked at closely, and in how many bins
 
 
-def _brackets(packed: DataFrame, by: list[str], share: float | None = None) -> DataFrame:
+def _brackets(packed: DataFrame, by: list[str], share: float | None = None, cells: int = 1) -> DataFrame:
     """Of both sides of a group: hashes of its vectors and a bracket of distances (see `side_facts`)."""
     facts = F.struct("n", *[f"{f}_{s}" for s in "xy" for f in K.SIDE])
     groups = packed.groupBy(*by).agg(F.collect_list(facts).alias("blocks"))
@@ -85,17 +86,18 @@ def _brackets(packed: DataFrame, by: list[str], share: float | None = None) -> D
         + [T.StructField("side", T.StringType()), T.StructField("finite", T.BooleanType())]
         + [T.StructField(c, T.LongType()) for c in _SIDES]
         + [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]
+        + [T.StructField("_cells", T.IntegerType())]
     )
-    return stored(_map(groups, schema, K.side_facts, by, share=share), "sides")[0]
+    return stored(_map(groups, schema, K.side_facts, by, share=share, cells=cells), "sides")[0]
 
 
 def _side_pairs(packed: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     """Block pairs of one side each.  Sides that hold the same vectors, as those of a base run do, come once."""
-    first = brackets.filter("finite").groupBy(*_SIDES).agg(F.min(F.struct(*by, "side", "_lo", "_hi")).alias("r"))
+    first = brackets.filter("finite").groupBy(*_SIDES).agg(F.min(F.struct(*by, "side", *_BRACKET)).alias("r"))
     own = _by_key(packed, first.select(*_SIDES, "r.*"), by)
     matrix = F.when(F.col("side") == "x", F.col("x")).otherwise(F.col("y"))
-    blocks = own.select(*_SIDES, "_nb", "_b", F.struct("n", matrix.alias("x")).alias("items"), "_lo", "_hi")
-    return block_pairs(blocks, _SIDES, ("_lo", "_hi"))
+    blocks = own.select(*_SIDES, "_nb", "_b", F.struct("n", matrix.alias("x")).alias("items"), *_BRACKET)
+    return block_pairs(blocks, _SIDES, _BRACKET)
 
 
 def _by_side(found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -282,14 +284,14 @@ def rsa_of_items(
 ) -> DataFrame:
     """Spearman correlation of both distance matrices of many items: by, n (pairs), rho, p.
 
-    As `rsa`, without a list of pairs.  One pass over the block pairs counts distances by their
-    leading bits, and a second looks closer at bins that hold more than 1 / `cells` of all pairs.
-    Counts turn into ranks, where neighbouring bins share a rank until about `cells` are left;
-    a last pass looks ranks up and adds up their products.  Two distances share a rank if they
-    agree in 36 binary digits or if all between them are at most 1 / `cells` of all pairs.  With
-    fewer pairs than `cells` rho is exact; else shared ranks move it by about 0.3 / (cells * sqrt(n)),
-    below 1e-8 for the default.  Ranks are sent once per SHARED block pairs, so that block pairs
-    of one group stay spread over many tasks.
+    As `rsa`, without a list of pairs.  Groups of one block with up to 16 * `cells` pairs are ranked
+    whole.  Of others a first pass counts distances in bins of equal width, cells / 2 or more of them,
+    and a second looks ranks up and adds up their products (`_by_bins`).  Distances of one bin share a
+    rank, which takes at most 64 / cells^2 of the variance of the ranks and moves rho by about
+    2 / (bins * sqrt(pairs)), some 1e-8 at most for the default.  Where sharing would take more, as with many
+    equal or very unevenly spread distances, or where numbers are not finite, distances are counted by
+    their leading bits (`_by_bits`): two share a rank if they agree in 36 binary digits or if all
+    between them are at most 1 / `cells` of all pairs.
     Pairs without
     a finite distance on both sides are left out; fewer than three pairs, or distances all
     alike, give a NULL rho.
@@ -297,7 +299,64 @@ def rsa_of_items(
     if metric not in ("cosine", "euclidean", "correlation"):
         raise ValueError(f"unknown metric {metric}")
     by = by or PROFILE
-    stored_blocks = materialize(item_blocks(pairs, by, block))
+    packed = _packed(pairs, by, block, metric, 1)
+    whole = (F.col("_nb") == 1) & (F.col("n") * (F.col("n") - 1) <= F.lit(32 * cells))
+    schema = T.StructType([*_fields(packed, by), T.StructField("n", T.LongType()), T.StructField("rho", T.DoubleType())])
+    out = _map(packed.filter(whole), schema, K.whole_rho, by, metric=metric)
+    large = packed.filter(~whole)
+    if not large.isEmpty():
+        ranked, odd = _by_bins(large, by, metric, cells)
+        out = out.unionByName(ranked)
+        if not odd.isEmpty():
+            out = out.unionByName(_by_bits(_by_key(_matrices(large), odd, by), by, metric, cells))
+    return out.withColumn("p", _p_value()("rho", F.col("n").cast("double")))
+
+
+EDGE = 1e-4  # share of the sampled distances beyond the first and the last bin
+
+
+def _rho():
+    norm = F.sqrt(F.col("ss_x")) * F.sqrt(F.col("ss_y"))
+    return F.when((F.col("n") >= 3) & (norm > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / norm)))
+
+
+def _by_bins(packed: DataFrame, by: list[str], metric: str, cells: int) -> tuple[DataFrame, DataFrame]:
+    """Groups whose distances spread over bins of equal width (by, n, rho), and the keys of the others.
+
+    A sample gives the ends of the bins.  One pass counts the distances of each distinct side, and one
+    looks their ranks up in both sides.
+    """
+    brackets = _brackets(packed, by, EDGE, max(cells // 2, 2))
+    ends = [*_SIDES, "_lo", "_hi"]
+    sides = _side_pairs(packed, brackets, by)
+    schema = T.StructType([*_fields(sides, ends), T.StructField("counts", T.BinaryType())])
+    counts = _map(sides, schema, K.bin_counts, ends, metric=metric)
+    schema = T.StructType(
+        [*_fields(sides, ends), T.StructField("n", T.LongType()), T.StructField("ok", T.BooleanType())]
+        + [T.StructField("ss", T.DoubleType()), T.StructField("ranks", T.BinaryType())]
+    )
+    counts = counts.repartition(*_SIDES).sortWithinPartitions(*_SIDES)
+    tables = _map(counts, schema, K.rank_tables, ends, most=64 / cells**2)
+    tables = brackets.drop(*_BRACKET).join(tables, _SIDES, "left")
+    tables = stored(_by_side(tables, by, ["n", "ok", "ss", "ranks", "_lo", "_hi"]), "ranks")[0]
+    ok = F.coalesce(F.col("ok_x") & F.col("ok_y"), F.lit(False))
+    sums = tables.filter(ok).select(*by, F.col("n_x").alias("n"), "ss_x", "ss_y")
+    carry = ("ranks_x", "ranks_y", "_lo_x", "_lo_y", "_hi_x", "_hi_y")
+    blocks = _by_key(_matrices(packed), tables.filter(ok).select(*by, *carry), by)
+    schema = T.StructType([*_fields(packed, by), T.StructField("xy", T.DoubleType())])
+    dots = _map(block_pairs(blocks, by, carry), schema, K.rank_dots, by, metric=metric)
+    xy = dots.groupBy(*by).agg(F.sum("xy").alias("xy"))
+    return _by_key(sums, xy, by).select(*by, "n", _rho().alias("rho")), tables.filter(~ok).select(*by)
+
+
+def _by_bits(stored_blocks: DataFrame, by: list[str], metric: str, cells: int) -> DataFrame:
+    """Spearman correlation whatever the distances: by, n, rho.
+
+    One pass over the block pairs counts distances by their leading bits, and a second looks closer at
+    bins that hold more than 1 / `cells` of all pairs.  Counts turn into ranks, where neighbouring bins
+    share a rank until about `cells` are left; a last pass looks ranks up and adds up their products.
+    Ranks are sent once per SHARED block pairs, so that block pairs of one group stay spread over many tasks.
+    """
     blocks = block_pairs(stored_blocks, by)
     schema = T.StructType(
         _fields(blocks, by)
@@ -342,7 +401,4 @@ def rsa_of_items(
     looked = _by_key(salted, spread, [*by, "_salt"])
     sums = T.StructType([*_fields(blocks, by), T.StructField("xy", T.DoubleType())])
     xy = _map(looked, sums, K.rank_products, by, metric=metric, shift=_CLOSE, drop=_RANKS - _CLOSE).groupBy(*by).agg(F.sum("xy").alias("xy"))
-    norm = F.sqrt(F.col("ss_x")) * F.sqrt(F.col("ss_y"))
-    rho = F.when((F.col("n") >= 3) & (norm > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / norm)))
-    out = _by_key(table.select(*by, "n", "ss_x", "ss_y"), xy, by).select(*by, "n", rho.alias("rho"))
-    return out.withColumn("p", _p_value()("rho", F.col("n").cast("double")))
+    return _by_key(table.select(*by, "n", "ss_x", "ss_y"), xy, by).select(*by, "n", _rho().alias("rho"))

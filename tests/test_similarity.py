@@ -386,3 +386,29 @@ def test_bracket_of_sampled_pairs_holds_the_median():
     assert m > 1e6 and np.abs(at - [0.25, 0.5, 0.75]).max() < 3e-3
     v = np.sort(np.random.default_rng(4).normal(size=1000) ** 2).view(np.int64)
     assert (K._from_planes(K._planes(v)) == v).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "correlation"])
+def test_ranks_by_bins_or_by_bits(spark, metric):
+    """Spread distances are ranked in bins, counted once for a shared base; equal ones and NaN by their bits."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5))
+    sides = {
+        1: (x, x + rng.normal(size=x.shape)), 2: (x, x - 0.3 * rng.normal(size=x.shape)),
+        3: (x, np.repeat(rng.normal(size=(3, 5)), 100, 0)), 4: (x[:250], np.vstack([x[:249] * 2, 1e9 * x[249:250]])),
+        5: (x, np.where(np.arange(300)[:, None] == 7, np.nan, x[::-1])),
+    }
+    rows = [(run, i, a.tolist(), b.tolist()) for run, (v, w) in sides.items() for i, (a, b) in enumerate(zip(v, w))]
+    pairs = spark.createDataFrame(rows, "run int, item_id bigint, x array<double>, y array<double>")
+    packed = W._packed(pairs, ["run"], 100, metric, 1)
+    ranked, odd = W._by_bins(packed, ["run"], metric, 1 << 12)
+    by_bits = {3, 5, 4} if metric == "euclidean" else {3, 5}  # the far one spreads the bins there
+    assert {r.run for r in odd.collect()} == by_bits and {r.run for r in ranked.collect()} == set(sides) - by_bits
+    found = {r.run: r for r in W.rsa_of_items(pairs, metric, ["run"], block=100, cells=1 << 12).collect()}
+    whole = {r.run: r for r in W.rsa_of_items(pairs, metric, ["run"]).collect()}
+    want = {r.run: r for r in W.rsa(pairs, metric, ["run"], p_values=False).collect()}
+    assert set(found) == set(whole) == set(want) == set(sides)
+    for run, r in want.items():
+        assert whole[run].n == found[run].n == r.n
+        assert whole[run].rho == pytest.approx(r.rho, abs=1e-9)
+        assert found[run].rho == pytest.approx(r.rho, abs=1e-4 if run in by_bits else 2e-6), run
