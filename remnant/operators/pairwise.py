@@ -17,9 +17,10 @@ from remnant.operators.similarity import PROFILE, _by_key, _fields, _map, mean_v
 from remnant.operators.stats import _p_value, correlate
 from remnant.sources.storage import materialize, stored
 
-BLOCK = 1 << 15  # items; kernels hold the distances of a small tile of a block pair
+BLOCK = 3 << 13  # items; kernels hold the distances of a small tile of a block pair
 NUMBERS = 1 << 21  # of a block's matrix: wide vectors come in smaller blocks
 PAIRS = 512  # items of a block whose pairs are given out as rows
+TOGETHER = 8  # groups with the same base that share a task
 SHIFTS = 8  # tiles of sampled pairs that an item is in, for the bracket of a median
 
 
@@ -63,7 +64,7 @@ def _packed(pairs: DataFrame, by: list[str], block: int, metric: str, shifts: in
     facts = (T.IntegerType(), T.BooleanType(), T.LongType(), T.LongType(), T.BinaryType(), T.LongType())
     schema = T.StructType(
         _fields(blocks, [*by, "_nb", "_b"])
-        + [T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(item))]
+        + [T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(item)), T.StructField("same", T.StringType())]
         + [
             T.StructField(name, kind)
             for s in "xy"
@@ -100,6 +101,28 @@ def _side_pairs(packed: DataFrame, brackets: DataFrame, by: list[str]) -> DataFr
     return block_pairs(blocks, _SIDES, _BRACKET)
 
 
+def _base_pairs(packed: DataFrame, own: DataFrame, by: list[str], x: list[str], y: list[str], *ids: str) -> DataFrame:
+    """Block pairs of groups whose x are the same, item by item, as those of the runs of one base: up to TOGETHER in a row.
+
+    `own` has the columns `x` and `y` of each group, which also agree in `x`.  Those of `y` come as
+    `facts`, beside the key of the group.
+    """
+    blocks = F.array_sort(F.collect_list(F.struct("_b", "same")))
+    base = packed.groupBy(*by).agg(F.md5(F.to_json(blocks)).alias("_base"))
+    # Equal in what decides on x: a bracket or a width, but not a long table.
+    alike = ["_base", *[c for c in x if c != "ranks_x"]]
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy(*by)) - 1
+    base = _by_key(base, own, by).withColumn("_k", place).withColumn("_part", F.floor(F.col("_k") / TOGETHER))
+    keys = [*alike, "_part"]
+    nested = _by_key(packed.select(*by, "_nb", "_b", "n", "ids", "x", "y"), base, by).groupBy(*keys, "_nb", "_b").agg(
+        *[F.first(c).alias(c) for c in ("n", "x", *[c for c in x if c == "ranks_x"])],
+        F.array_sort(F.collect_list(F.struct("_k", "y", *ids))).alias("groups"),
+        F.array_sort(F.collect_list(F.struct("_k", F.struct(*by).alias("key"), *y))).alias("facts"),
+    )
+    items = nested.withColumn("items", F.struct("n", "x", "groups")).select(*keys, *[c for c in x if c not in keys], "_nb", "_b", "items", "facts")
+    return block_pairs(items, keys, ("facts", *[c for c in x if c not in keys]))
+
+
 def _by_side(found: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """One row per group from one per side: by, name_x and name_y."""
     return found.groupBy(*by).agg(
@@ -205,9 +228,9 @@ def rbf_cka(pairs: DataFrame, by: list[str] | None = None, block: int = BLOCK, s
     by = by or PROFILE
     packed = _packed(pairs, by, block, "squared", SHIFTS)
     sigma = sigma_of_blocks(packed, by) if sigma is None else sigma
-    blocks = block_pairs(_by_key(_matrices(packed, "ids"), sigma, by), by, ("sigma_x", "sigma_y"))
+    blocks = _base_pairs(packed, sigma, by, ["sigma_x"], ["sigma_y"], "ids")
     schema = T.StructType(
-        _fields(blocks, by)
+        _fields(packed, by)
         + [T.StructField("item_id", packed.schema["ids"].dataType.elementType)]
         + [T.StructField(c, T.DoubleType()) for c in ("rx", "ry", "xy", "xx", "yy")]
     )
@@ -341,10 +364,10 @@ def _by_bins(packed: DataFrame, by: list[str], metric: str, cells: int) -> tuple
     tables = stored(_by_side(tables, by, ["n", "ok", "ss", "ranks", "_lo", "_hi"]), "ranks")[0]
     ok = F.coalesce(F.col("ok_x") & F.col("ok_y"), F.lit(False))
     sums = tables.filter(ok).select(*by, F.col("n_x").alias("n"), "ss_x", "ss_y")
-    carry = ("ranks_x", "ranks_y", "_lo_x", "_lo_y", "_hi_x", "_hi_y")
-    blocks = _by_key(_matrices(packed), tables.filter(ok).select(*by, *carry), by)
+    x, y = (["ranks_" + s, "_lo_" + s, "_hi_" + s] for s in "xy")
+    blocks = _base_pairs(packed, tables.filter(ok).select(*by, *x, *y), by, x, y)
     schema = T.StructType([*_fields(packed, by), T.StructField("xy", T.DoubleType())])
-    dots = _map(block_pairs(blocks, by, carry), schema, K.rank_dots, by, metric=metric)
+    dots = _map(blocks, schema, K.rank_dots, by, metric=metric)
     xy = dots.groupBy(*by).agg(F.sum("xy").alias("xy"))
     return _by_key(sums, xy, by).select(*by, "n", _rho().alias("rho")), tables.filter(~ok).select(*by)
 

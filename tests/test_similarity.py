@@ -372,8 +372,12 @@ def test_medians_in_one_pass_over_distinct_sides(spark):
     shared = packed.filter("run < 3")
     # One base and two others, each of three blocks with six pairs of blocks.
     assert W._side_pairs(shared, W._brackets(shared, ["run"]), ["run"]).count() == 3 * 6
-    sums = W.block_pairs(W._matrices(shared, "ids"), ["run"])
-    assert sums.count() == 2 * 6 and sums.filter("b IS NULL").count() == 2 * 3
+    # The kernels of both runs are taken over six pairs of blocks together.
+    sigma = W.sigma_of_blocks(shared, ["run"])
+    sums = W._base_pairs(shared, sigma, ["run"], ["sigma_x"], ["sigma_y"], "ids")
+    assert sums.count() == 6 and sums.filter("b IS NULL").count() == 3
+    got = {r.run: r.cka for r in W.rbf_cka(pairs.filter("run < 4"), ["run"], block=100).collect()}
+    assert got == {run: pytest.approx(rbf(*sides[run]), abs=1e-9) for run in (1, 2, 3)}
     assert W.rbf_cka(pairs.filter("run = 1"), ["run"], block=100).first().cka == pytest.approx(rbf(*sides[1]), abs=1e-9)
 
 
