@@ -18,7 +18,7 @@ from remnant.operators.stats import _p_value, correlate
 from remnant.sources.storage import materialize, stored
 
 BLOCK = 3 << 13  # items; kernels hold the distances of a small tile of a block pair
-NUMBERS = 1 << 21  # of a block's matrix: wide vectors come in smaller blocks
+NUMBERS = 1 << 19  # of a block's matrix: wide vectors come in smaller blocks
 PAIRS = 512  # items of a block whose pairs are given out as rows
 TOGETHER = 8  # groups with the same base that share a task
 SHIFTS = 8  # tiles of sampled pairs that an item is in, for the bracket of a median
@@ -35,6 +35,11 @@ def item_blocks(pairs: DataFrame, by: list[str], block: int = BLOCK) -> DataFram
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """For rows of many bytes, of which a task should hold few at once."""
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def block_pairs(blocks: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (by, bi, bj, a, b, carry) with bi <= bj: two blocks of items of one group.
 
@@ -42,7 +47,7 @@ def block_pairs(blocks: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -
     blocks of a group.  The work per row is large and its bytes are few, so the number of partitions is stated
     instead of left to size-based merging.
     """
-    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _tasks(blocks)
     # One key that is never NULL, as pooled vectors have no layer.
     keys, group = ["_g", "bi", "bj"], F.to_json(F.struct(*by)).alias("_g")
     left = blocks.select(
@@ -148,7 +153,7 @@ def sigma_of_blocks(packed: DataFrame, by: list[str]) -> DataFrame:
     )
     near = _map(_side_pairs(packed, brackets, by), schema, K.near_median, _SIDES)
     schema = T.StructType([*schema.fields[:2], T.StructField("median", T.DoubleType())])
-    near = near.repartition(*_SIDES).sortWithinPartitions(*_SIDES)
+    near = near.repartition(_tasks(near), *_SIDES).sortWithinPartitions(*_SIDES)
     medians = brackets.join(_map(near, schema, K.pick_median, _SIDES), _SIDES, "left")
     medians = medians.withColumn("sigma", F.sqrt("median") + F.lit(1e-8))
     sigma = stored(_by_side(medians, by, ["sigma"]), "sigma")[0]
